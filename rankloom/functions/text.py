@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from rankloom.functions.wordlists import SLUG_STOPWORDS, TERM_STOPWORDS, KEYWORD_STOPWORDS
 
@@ -99,18 +100,30 @@ def is_number(word) -> Column:
     return word.rlike(r"^\p{Nd}+$")
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once a row, whatever the optimizer does with projections."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_BEST_GRAM = "struct<cover:int,n:int,cnt:int,phrase:string>"
+
+
 def dominant_ngram(tokens, min_count: int = 4) -> Column:
     """W06. Most repeated 2- or 3-gram of a folded token array as struct(cover, n, cnt, phrase), or null.
 
     Sorted grams are folded once with run lengths, so a page is handled inside its own row: no
     exploded gram ever reaches a shuffle.
     """
+    return let(tokens, lambda t: _best_run(_usable_grams(t), min_count))
+
+
+def _usable_grams(t) -> Column:
     stop = F.array(*[F.lit(w) for w in sorted(SLUG_STOPWORDS)])
 
     def grams(n):
-        last = F.size(tokens) - F.lit(n - 1)
+        last = F.size(t) - F.lit(n - 1)
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.slice(tokens, i, F.lit(n)).alias("w")))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.slice(t, i, F.lit(n)).alias("w")))
 
     usable = F.filter(
         F.concat(grams(2), grams(3)),
@@ -118,23 +131,21 @@ def dominant_ngram(tokens, min_count: int = 4) -> Column:
         & ~F.array_contains(stop, F.element_at(g["w"], -1))
         & F.exists(g["w"], lambda w: ~is_number(w)),
     )
-    ordered = F.array_sort(
-        F.transform(usable, lambda g: F.struct(g["n"].alias("n"), F.array_join(g["w"], " ").alias("g")))
-    )
-    best_t = "struct<cover:int,n:int,cnt:int,phrase:string>"
+    return F.array_sort(F.transform(usable, lambda g: F.struct(g["n"].alias("n"), F.array_join(g["w"], " ").alias("g"))))
+
+
+def _best_run(ordered, min_count) -> Column:
     start = F.struct(
-        F.lit(0).alias("n"), F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(None).cast(best_t).alias("best")
+        F.lit(0).alias("n"), F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(None).cast(_BEST_GRAM).alias("best")
     )
 
     def step(acc, x):
         run = F.when((acc["n"] == x["n"]) & (acc["g"] == x["g"]), acc["run"] + 1).otherwise(F.lit(1))
-        cand = F.struct(
-            (run * x["n"]).alias("cover"), x["n"].alias("n"), run.alias("cnt"), x["g"].alias("phrase")
-        )
+        cand = F.struct((run * x["n"]).alias("cover"), x["n"].alias("n"), run.alias("cnt"), x["g"].alias("phrase"))
         better = (run >= min_count) & (acc["best"].isNull() | (cand > acc["best"]))
         return F.struct(
             x["n"].alias("n"), x["g"].alias("g"), run.alias("run"),
-            F.when(better, cand).otherwise(acc["best"]).cast(best_t).alias("best"),
+            F.when(better, cand).otherwise(acc["best"]).cast(_BEST_GRAM).alias("best"),
         )
 
     return F.aggregate(ordered, start, step, lambda acc: acc["best"])
@@ -155,7 +166,7 @@ def squeeze(text) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

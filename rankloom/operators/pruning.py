@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.urls import (
     brand_compact, host, is_brand_query, is_home, match_key, root_of, slug_words,
 )
+from rankloom.lineage import cut
 from rankloom.operators.setjoin import jaccard_pairs
 
 REVIEW_IMPRESSIONS = 10
@@ -82,14 +83,15 @@ def targets_by_query(
     with the same set of heavy queries get the same heavy score, hence one of them (most clicks, then
     URL) stands for all that share nothing else with the ghost. Both ways together are exact.
     """
-    g, a = _ghost_side(ghosts, query_page, sitemap), _page_side(query_page, sitemap)
+    g, a = cut(_ghost_side(ghosts, query_page, sitemap)), cut(_page_side(query_page, sitemap))
     q = ["site", "query"]
     load = g.groupBy(*q).agg(F.count("*").alias("gs")).join(a.groupBy(*q).agg(F.count("*").alias("ps")), q)
-    heavy = load.filter(F.col("gs") * F.col("ps") > heavy_pairs).select(*q)
-    light = g.join(heavy, q, "left_anti").join(a, q)
+    heavy = cut(load.filter(F.col("gs") * F.col("ps") > heavy_pairs).select(*q))
     pair = ["site", "match_key", "url"]
     points = [F.sum(F.col("w") * F.col("n")).alias("score"), F.sum(F.col("m") * F.col("c")).alias("pair_clicks")]
-    light_pairs = light.groupBy(*pair).agg(*points)
+    if heavy.isEmpty():
+        return _best_target(g.join(a, q).groupBy(*pair).agg(*points))
+    light_pairs = g.join(heavy, q, "left_anti").join(a, q).groupBy(*pair).agg(*points)
 
     gh, ah = g.join(heavy, q, "left_semi"), a.join(heavy, q, "left_semi")
     # what heavy queries add to pairs that already share a light one
@@ -113,6 +115,10 @@ def targets_by_query(
     scored = light_pairs.unionByName(added).groupBy(*pair).agg(
         F.sum("score").alias("score"), F.sum("pair_clicks").alias("pair_clicks")
     ).unionByName(heavy_only)
+    return _best_target(scored)
+
+
+def _best_target(scored: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("pair_clicks")).alias("c"), F.col("url").alias("u")))
     return scored.groupBy("site", "match_key").agg(best.alias("b")).select(
         "site", "match_key", F.col("b.u").alias("target"), (-F.col("b.s")).alias("score")
@@ -156,7 +162,7 @@ def pruning_plan(
     min_impressions: int = REVIEW_IMPRESSIONS, home_fallback: bool = True,
 ) -> DataFrame:
     """G05. Old URLs with suggested action and target: by query, else by slug, else home for those with traffic."""
-    olds = ghosts_and_exports(metrics, sitemap, exports)
+    olds = cut(ghosts_and_exports(metrics, sitemap, exports))
     keys = ["site", "match_key"]
     spelled = sitemap_keys(sitemap)
 

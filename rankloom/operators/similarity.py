@@ -39,13 +39,13 @@ def _unit(vecs) -> np.ndarray:
 
 def _cell(v):
     """Side of a few fixed pseudo-random planes: near vectors tend to share it."""
+    def signed(plane):
+        flip = lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(plane)), F.lit(2)) == 0, x).otherwise(-x).cast("double")
+        return F.aggregate(F.transform(v, flip), F.lit(0.0), lambda a, x: a + x)
+
     side = F.lit(0)
-    for p in range(PLANES):
-        signed = F.aggregate(
-            F.transform(v, lambda x, i, p=p: F.when(F.pmod(F.xxhash64(i, F.lit(p)), F.lit(2)) == 0, x).otherwise(-x).cast("double")),
-            F.lit(0.0), lambda a, x: a + x,
-        )
-        side = side * 2 + F.when(signed > 0, 1).otherwise(0)
+    for plane in range(PLANES):
+        side = side * 2 + F.when(signed(plane) > 0, 1).otherwise(0)
     return side
 
 

@@ -54,7 +54,7 @@ def pruning_csv_rows(plan: DataFrame, max_query: int = 60) -> DataFrame:
     return plan.select(
         "site", "url", F.col("action").alias("acao_final"), F.coalesce("suggested_target", F.lit("")).alias("destino_final"),
         F.col("origin").alias("origem"), F.col("impressions").alias("impressoes"), F.col("clicks").alias("cliques"),
-        F.coalesce(F.replace(F.format_string("%.1f", "position"), F.lit("."), F.lit(",")), F.lit("")).alias("posicao").alias("posicao"),
+        F.when(F.col("position").isNotNull(), F.replace(F.format_string("%.1f", "position"), F.lit("."), F.lit(","))).otherwise("").alias("posicao"),
         F.coalesce("target_source", F.lit("")).alias("fonte_sugestao"),
         F.array_join(F.transform("top_queries", short), " | ").alias("top_queries"),
     )
