@@ -192,7 +192,8 @@ CTES = {
     "slug_metrics": f"select 'all' site, lower({ascii_fold(chr(39) + chr(39) + ' || ' + 'string_split(url, ' + chr(39) + '/' + chr(39) + ')[-1]')}) page, clicks, impressions, position from page_metrics",
     "enriched": "select c.site, c.cluster, c.page, coalesce(m.clicks, 0) clicks, coalesce(m.impressions, 0) impressions, m.position from clusters c left join slug_metrics m on m.site = c.site and m.page = c.page",
     "perf": """select e.site, e.cluster, h.size, h.cohesion, r.representative, arg_min(e.page, (-clicks, -impressions, coalesce(position, 9999), e.page)) canonical, sum(clicks)::bigint group_clicks, sum(impressions)::bigint group_impressions,
-  arg_min(e.page, (-clicks, -impressions, coalesce(position, 9999), e.page)) <> r.representative canonical_differs from enriched e join cohesion h using (site, cluster) join repr r using (site, cluster) group by all""",
+  arg_min(e.page, (-clicks, -impressions, coalesce(position, 9999), e.page)) <> any_value(r.representative) canonical_differs from enriched e join cohesion h using (site, cluster) join repr r using (site, cluster)
+  group by e.site, e.cluster, h.size, h.cohesion, r.representative""",
     "priority": "select * from (select *, row_number() over (partition by site order by group_impressions desc, size desc, cluster)::int as rank from perf where size >= 2) where rank <= 8",
     "keyword_plan": """select 'all' site, p_size::bigint as cluster, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || p_partkey slug, concat_ws(' ', p_name, case when p_size % 3 > 0 then lower(p_type) end,
   replace(p_brand, '#', ''), case when p_size % 3 = 2 then 'de Tamanho ' || p_size end) keyword, p_size::bigint * 10 impressions from part""",

@@ -111,14 +111,14 @@ CTRC = lambda f: f"coalesce({rnd(f'avg(least(1.0, ctr / ({expected_ctr(chr(112)
 HEALTH = f"""(select *, score, case when score >= 80 then 'Excelente' when score >= 60 then 'Bom' when score >= 40 then 'Regular' else 'Crítico' end grade, indexation_score is not null has_indexation_data from (
   select *, {rnd('coalesce(indexation_score * 0.4 + position_score * 0.4 + ctr_score * 0.2, position_score * (0.4 / 0.6) + ctr_score * (0.2 / 0.6))', 1)} score from (
   select site, {POS} position_score, {CTRC('has_data and position <= 10')} ctr_score from position_rows group by site) left join (
-  select site, {rnd("count(*) filter (category = 'indexed') / count(*) * 100", 1)} indexation_score from inspections i where date = (select max(date) from inspections x where x.site = i.site) group by site) using (site)))"""
+  select site, {rnd("count(*) filter (category = 'indexed') / count(*) * 100", 1)} indexation_score from inspections i group by site) using (site)))"""
 HEALTH = HEALTH.replace("select *, score, case", "select *, case", 1)
 Q["F03_component_alerts"] = f"""select site, component, label, value, case when value < 50 then 'critico' else 'alto' end severity, component || ': ' || printf('%.1f', value) || '/100' message from (
   select site, 'indexation' component, 'Indexação' as label, indexation_score as value from {HEALTH} union all select site, 'position', 'Posicionamento', position_score from {HEALTH} union all select site, 'ctr', 'CTR vs benchmark', ctr_score from {HEALTH}) where value < 60"""
 INLINK = """(select k.site, k.page, coalesce(i.n, 0) inlinks, coalesce(o.n, 0) outlinks, coalesce(m.clicks, 0) clicks, coalesce(m.impressions, 0) impressions, m.position from known k
   left join (select site, dst, count(distinct src) n from edges group by all) i on i.site = k.site and i.dst = k.page left join (select site, src, count(distinct dst) n from edges group by all) o on o.site = k.site and o.src = k.page
   left join known_metrics m on m.site = k.site and m.page = k.page)"""
-Q["F04_underlinked_pages"] = f"select * from {INLINK} where inlinks <= 1 and impressions >= 1"
+Q["F04_underlinked_pages"] = f"select * from {INLINK} where inlinks <= 4 and impressions >= 1"
 Q["F05_entity_filter"] = "select * from entities"
 Q["F05_category_filter"] = "select * from categories"
 
@@ -175,7 +175,7 @@ Q["W08_trend_chart_series"] = f"""select site, rank, series[1:35] as label, date
 Q["J15_trend_x_best_position"] = f"""select t.site, t.series, t.rank, t.trend, t.peak, t.latest, b.position best_position, b.impressions best_impressions from {W02} t left join (
   select site, replace(query, 'kw ', 'k') series, position, impressions, row_number() over (partition by site, query order by position, impressions desc) rn from query_page) b on b.site = t.site and b.series = t.series and b.rn = 1"""
 Q["J17_brand_entity"] = f"""select site, domain, brand, name, url, score from (select *, row_number() over (partition by site order by score desc, name, url) rn from {CAND}) where rn = 1 and {PLAUSIBLE}"""
-Q["J18_refresh_worklist"] = "select site, url from page_metrics p where not exists (select 1 from stored_results r where r.site = p.site and r.url = p.url and not failed and cached_at >= timestamp '2024-01-27')"
+Q["J18_refresh_worklist"] = "select site, url from page_metrics p where not exists (select 1 from stored_results r where r.site = p.site and r.url = p.url and not failed and cached_at >= timestamp '2024-01-30')"
 Q["J19_cosine_pairs"] = f"select site, a, b, {rnd('sim', 6)} sim from pairs"
 
 # ---- aggregations ----
@@ -246,8 +246,8 @@ GRAMS = GRAMS.replace(' collate "binary"', "")
 Q["W06_dominant_ngram"] = f"select url, phrase, cnt::int occurrences from {GRAMS}"
 NW = "[^\\p{L}\\p{N}_]"
 OCC = lambda text, ph: f"len(regexp_extract_all(regexp_replace({text}, '({NW})', '\\1\\1', 'g'), '(?s)(?:^|{NW})' || replace({ph}, ' ', '  ') || '(?:{NW}|$)'))"
-VERDICT = f"""(with base as (select t.site, t.url, text, tok, len(tok) wc, coalesce(k.kws, []) kws, {PHRASE.replace('url', 't.url')} sp, g.phrase gp, g.cnt gc, g.n gn, s.entity_count, s.salience_concentration, s.names, s.n_entities, s.classified
-    from texts t left join {KW} k on k.site = t.site and k.url = t.url left join {GRAMS} g on g.url = t.url join {SIGNALS} s on s.site = t.site and s.url = t.url),
+VERDICT = f"""(with base as (select t.site, t.url, text, tok, len(tok) wc, coalesce(k.kws, []) kws, t.sp, g.phrase gp, g.cnt gc, g.n gn, s.entity_count, s.salience_concentration, s.names, s.n_entities, s.classified
+    from (select *, {PHRASE} sp from texts) t left join {KW} k on k.site = t.site and k.url = t.url left join {GRAMS} g on g.url = t.url join {SIGNALS} s on s.site = t.site and s.url = t.url),
   cand as (select url, i as pri, kw, 'query' src, {OCC('lower(text)', 'kw')} occ, len(string_split(kw, ' ')) n, wc from (select url, text, wc, unnest(kws) kw, generate_subscripts(kws, 1) i from base)
     union all select url, 100, sp, 'slug', {OCC(folded('lower(text)'), folded('sp'))}, len(string_split(sp, ' ')), len(regexp_extract_all({folded('lower(text)')}, '[\\p{{L}}\\p{{N}}_]+')) from base where sp is not null
     union all select url, 200, gp, 'ngram', gc, gn, wc from base where gp is not null),

@@ -213,7 +213,7 @@ def j16(d):
 
 
 def j18(d):
-    return hist.refresh_worklist(d.page_metrics(), d.stored_results(), _as_of(), 24)
+    return hist.refresh_worklist(d.page_metrics(), d.stored_results(), F.lit("2024-01-31").cast("timestamp"), TTL_HOURS["inspection"])
 
 
 # ---- similarity ---------------------------------------------------------------------------------------
@@ -290,9 +290,7 @@ def _members_of_groups(d):
 
 
 def _health(d):
-    newest = d.inspections()
-    last = newest.groupBy("site").agg(F.max("date").alias("date"))
-    return ranking.health_score(d.position_rows(), ranking.indexing_summary(newest.join(last, ["site", "date"], "left_semi")))
+    return ranking.health_score(d.position_rows(), ranking.indexing_summary(d.inspections()))
 
 
 def _run_summary(d):
@@ -389,7 +387,7 @@ QUERIES = {
     "F01_pages_without_impressions": lambda d: ranking.pages_without_impressions(d.position_rows()),
     "F02_opportunity_urls": lambda d: ranking.opportunity_urls(d.query_page().withColumn("has_data", F.lit(True)).withColumn("url", F.concat_ws(" ", "url", "query"))).select("site", "url", "position", "impressions", "rank"),
     "F03_component_alerts": lambda d: ranking.component_alerts(_health(d), 60.0, 50.0),
-    "F04_underlinked_pages": lambda d: links.underlinked_pages(links.inlink_report(d.known_pages(), d.edges(), d.known_metrics())),
+    "F04_underlinked_pages": lambda d: links.underlinked_pages(links.inlink_report(d.known_pages(), d.edges(), d.known_metrics()), max_inlinks=4),
     "F05_entity_filter": lambda d: d.entities(),
     "F05_category_filter": lambda d: d.categories(),
     # 2.5 joins

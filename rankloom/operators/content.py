@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.urls import slug_phrase
 from rankloom.functions.wordlists import VERDICT_ORDER
+from rankloom.operators.entities import thousandths
 
 MIN_WORDS, THIN_WORDS = 300, 180
 DENSITY_HIGH, DENSITY_VERY_HIGH = 3.0, 5.0
@@ -33,9 +34,10 @@ def target_keywords(query_page: DataFrame, top: int = 3, min_impressions: int =
 def entity_signals(analysed: DataFrame, entities: DataFrame, categories: DataFrame) -> DataFrame:
     """A20. Per analysed page: breadth, concentration and the names of its top entities."""
     page = ["site", "url"]
+    parts = thousandths("salience")
     e = entities.groupBy(*page).agg(
         F.countDistinct(F.when(F.col("name") != "", F.lower("name"))).alias("entity_count"),
-        F.when(F.sum("salience") > 0, F.round(F.max("salience") / F.sum("salience"), 3)).alias("salience_concentration"),
+        F.when(F.sum(parts) > 0, F.round(F.max(parts) / F.sum(parts), 3)).alias("salience_concentration"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", F.lower("name").alias("name"))))),
             lambda x: x["name"],

@@ -24,16 +24,21 @@ def category_filter(raw: DataFrame, top: int = 3) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def thousandths(salience):
+    """Rounded saliences as whole numbers, so that sums do not depend on the order of the rows."""
+    return F.round(F.col(salience) * 1000).cast("long")
+
+
 def topical_pillars(entities: DataFrame) -> DataFrame:
     """A14. Names on two or more pages with their usual type and mean first salience."""
     named = entities.withColumn("name", F.trim("name"))
     first = named.groupBy(*PAGE, "name").agg(F.min_by(F.struct("salience", "type"), "rank").alias("f"))
     typed = first.groupBy("site", "name", F.col("f.type").alias("type")).agg(
-        F.count("*").alias("cnt"), F.min("url").alias("since"), F.sum("f.salience").alias("sal")
+        F.count("*").alias("cnt"), F.min("url").alias("since"), F.sum(thousandths("f.salience")).alias("sal")
     )
     return typed.groupBy("site", "name").agg(
         F.min_by("type", F.struct((-F.col("cnt")).alias("c"), "since")).alias("type"),
-        F.sum("cnt").alias("pages"), F.round(F.sum("sal") / F.sum("cnt"), 3).alias("avg_salience"),
+        F.sum("cnt").alias("pages"), F.round(F.sum("sal") / F.sum("cnt") / 1000, 3).alias("avg_salience"),
     ).filter(F.col("pages") >= 2)
 
 

@@ -70,7 +70,9 @@ def ctr_component(rows: DataFrame) -> DataFrame:
 
 
 def _ctr_component():
-    reached = F.when(_ranked(), F.least(F.lit(1.0), F.col("ctr") / expected_ctr(F.col("position"))))
+    # least() skips nulls, so rows beyond the benchmark have to be taken out by hand
+    expected = expected_ctr(F.col("position"))
+    reached = F.when(_ranked() & expected.isNotNull(), F.least(F.lit(1.0), F.col("ctr") / expected))
     return F.coalesce(F.round(F.avg(reached) * 100.0, 1), F.lit(50.0))
 
 
