@@ -96,10 +96,6 @@ def vocab_diversity(tokens) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_distinct(tokens)) / n, 3))
 
 
-def is_number(word) -> Column:
-    return word.rlike(r"^\p{Nd}+$")
-
-
 def let(value, body) -> Column:
     """``body(value)`` with the value computed once a row, whatever the optimizer does with projections."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -111,44 +107,47 @@ _BEST_GRAM = "struct<cover:int,n:int,cnt:int,phrase:string>"
 def dominant_ngram(tokens, min_count: int = 4) -> Column:
     """W06. Most repeated 2- or 3-gram of a folded token array as struct(cover, n, cnt, phrase), or null.
 
-    Sorted grams are folded once with run lengths, so a page is handled inside its own row: no
-    exploded gram ever reaches a shuffle.
+    A page is handled inside its own row: its grams are sorted, and a gram that occurs ``min_count``
+    times equals the one ``min_count`` - 1 places further. No exploded gram ever reaches a shuffle.
     """
-    return let(tokens, lambda t: _best_run(_usable_grams(t), min_count))
-
-
-def _usable_grams(t) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted(SLUG_STOPWORDS)])
-
-    def grams(n):
-        last = F.size(t) - F.lit(n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.slice(t, i, F.lit(n)).alias("w")))
-
-    usable = F.filter(
-        F.concat(grams(2), grams(3)),
-        lambda g: ~F.array_contains(stop, F.element_at(g["w"], 1))
-        & ~F.array_contains(stop, F.element_at(g["w"], -1))
-        & F.exists(g["w"], lambda w: ~is_number(w)),
-    )
-    return F.array_sort(F.transform(usable, lambda g: F.struct(g["n"].alias("n"), F.array_join(g["w"], " ").alias("g"))))
-
-
-def _best_run(ordered, min_count) -> Column:
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(None).cast(_BEST_GRAM).alias("best")
-    )
-
-    def step(acc, x):
-        run = F.when((acc["n"] == x["n"]) & (acc["g"] == x["g"]), acc["run"] + 1).otherwise(F.lit(1))
-        cand = F.struct((run * x["n"]).alias("cover"), x["n"].alias("n"), run.alias("cnt"), x["g"].alias("phrase"))
-        better = (run >= min_count) & (acc["best"].isNull() | (cand > acc["best"]))
-        return F.struct(
-            x["n"].alias("n"), x["g"].alias("g"), run.alias("run"),
-            F.when(better, cand).otherwise(acc["best"]).cast(_BEST_GRAM).alias("best"),
-        )
+    def best(t):
+        edge = F.transform(t, lambda w: F.when(~w.isin(*sorted(SLUG_STOPWORDS)), w))
+        return let(edge, lambda e: F.greatest(_best_gram(_bigrams(e), 2, min_count), _best_gram(_trigrams(t, e), 3, min_count)))
+
+    return let(tokens, best)
+
+
+def _tail(a, start: int) -> Column:
+    return F.slice(a, F.lit(start), F.greatest(F.size(a) - (start - 1), F.lit(0)))
+
+
+def _joined(a, b) -> Column:
+    """Element-wise "a b"; null where either side is, and past the shorter side."""
+    return F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y))
+
+
+def _bigrams(edge) -> Column:
+    return _joined(edge, _tail(edge, 2))
+
+
+def _trigrams(tokens, edge) -> Column:
+    return _joined(_joined(edge, _tail(tokens, 2)), _tail(edge, 3))
+
+
+def _best_gram(grams, n: int, min_count: int) -> Column:
+    ahead = min_count - 1
+    ordered = F.array_sort(F.array_compact(grams))
+    frequent = let(ordered, lambda s: F.filter(s, lambda g, i: g == F.get(s, i + ahead)))
+    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(None).cast(_BEST_GRAM).alias("best"))
+
+    def step(acc, g):
+        run = F.when(acc["g"] == g, acc["run"] + 1).otherwise(F.lit(1))
+        cnt = run + ahead
+        cand = F.struct((cnt * n).alias("cover"), F.lit(n).alias("n"), cnt.alias("cnt"), g.alias("phrase"))
+        better = (acc["best"].isNull() | (cand > acc["best"])) & ~g.rlike(r"^[\p{Nd} ]+$")
+        return F.struct(g.alias("g"), run.alias("run"), F.when(better, cand).otherwise(acc["best"]).cast(_BEST_GRAM).alias("best"))
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["best"])
+    return F.aggregate(frequent, start, step, lambda acc: acc["best"])
 
 
 def cut_element(markup, tag: str) -> Column:

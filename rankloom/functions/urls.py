@@ -1,4 +1,8 @@
-"""URL expressions. Regexes rather than ``parse_url``, which rejects URLs with spaces."""
+"""URL expressions. Regexes rather than ``parse_url``, which rejects URLs with spaces.
+
+Each expression mentions its input as few times as it can: a column expression is a tree, and nesting
+expressions that repeat their input multiplies its size.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +31,23 @@ def query_string(url) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
-def percent_decode(c) -> Column:
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+def marked_query(url) -> Column:
+    """The query string with its question mark, blank without one."""
+    return F.regexp_extract(url, r"^[^?#]*(\?[^#]+)", 1)
+
+
+def no_trailing_slash(c) -> Column:
+    return F.rtrim(c, F.lit("/"))
+
+
+def or_root(c) -> Column:
+    return F.regexp_replace(c, "^$", "/")
+
+
+def percent_decode(c, of) -> Column:
+    """``c``, a part of the URL ``of``, without percent escapes; as it is when an escape is broken."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return F.when(F.contains(of, F.lit("%")), decoded).otherwise(c)
 
 
 def normalize_domain(site) -> Column:
@@ -48,27 +67,21 @@ def site_url(domain) -> Column:
 def match_key(url) -> Column:
     """X03. Key under which two spellings of one page meet; the query string stays."""
     u = F.trim(url)
-    p = F.regexp_replace(percent_decode(path(u)), "/+$", "")
-    q = query_string(u)
-    return F.concat(
-        bare_host(u), F.when(p == "", F.lit("/")).otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
-    )
+    return F.concat(bare_host(u), or_root(no_trailing_slash(percent_decode(path(u), url))), marked_query(u))
 
 
 def path_or_root(url) -> Column:
-    p = path(url)
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    return or_root(path(url))
 
 
 def url_path_query(url) -> Column:
     """X04."""
-    q = query_string(url)
-    return F.concat(path_or_root(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(path_or_root(url), marked_query(url))
 
 
 def is_home(url) -> Column:
     """X05."""
-    return F.regexp_replace(path(url), "/+$", "") == ""
+    return no_trailing_slash(path(url)) == ""
 
 
 def root_of(url) -> Column:
@@ -93,7 +106,7 @@ def slug_words(url) -> Column:
     """X07. Words of the last path segment without stopwords and bare numbers."""
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
     slug = F.regexp_replace(
-        percent_decode(F.try_element_at(segments, F.lit(-1))), r"(?i)\.(x?html?|php|aspx?|jsp)$", ""
+        percent_decode(F.try_element_at(segments, F.lit(-1)), url), r"(?i)\.(x?html?|php|aspx?|jsp)$", ""
     )
     stop = F.array(*[F.lit(w) for w in sorted(SLUG_STOPWORDS)])
     return F.filter(

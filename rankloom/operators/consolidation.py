@@ -5,15 +5,18 @@ not redirected yet is the canonical one, the others redirect to it unless they a
 redirected already. A URL changes its state at most once, from free to redirected or to canonical,
 and a group matters only while it would redirect one of its free URLs. So all groups that come first
 for each of their free URLs are decided together; the walk takes as many rounds as the longest chain
-of groups that wait for each other, and no site, component or hot URL is ever gathered in one task.
+of groups that wait for each other, and no site, component or hot URL is ever gathered in one task. Once
+the rows that are still open are counted to be few, what is left is walked in order, a task per site.
 """
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
 
 _KEYS = ["site", "gkey"]
+TAIL_ROWS = 500_000
 
 
 def _rows(members: DataFrame) -> DataFrame:
@@ -29,7 +32,37 @@ def _rows(members: DataFrame) -> DataFrame:
     )
 
 
-def url_states(members: DataFrame) -> DataFrame:
+def _walk_rest(open_rows: DataFrame) -> DataFrame:
+    """The walk itself over a counted, small rest."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = {u: k for u, k in zip(pdf["url"], pdf["kind"]) if k is not None}
+        moved = []
+        rows = sorted(zip(pdf["s"], pdf["n"], pdf["q"], pdf["c"], pdf["p"], pdf["i"], pdf["url"]))
+        at = 0
+        while at < len(rows):
+            group = rows[at][:3]
+            urls = []
+            while at < len(rows) and rows[at][:3] == group:
+                urls.append(rows[at][6])
+                at += 1
+            head = next((u for u in urls if kind.get(u) != "redirect"), None)
+            leave = [u for u in urls if u != head and u not in kind]
+            if head is None or not leave:
+                continue
+            kind.update(dict.fromkeys(leave, "redirect"))
+            moved += [(u, "redirect", head, *group) for u in leave]
+            if head not in kind:
+                kind[head] = "canonical"
+                moved.append((head, "canonical", None, *group))
+        out = pd.DataFrame(moved, columns=["url", "kind", "to_url", "s", "n", "q"])
+        return out.assign(site=pdf["site"].iloc[0])[["site", "url", "kind", "to_url", "s", "n", "q"]]
+
+    flat = open_rows.select("site", "url", "kind", "gkey.*", "fit.c", "fit.p", "fit.i")
+    done = flat.groupBy("site").applyInPandas(walk, "site string, url string, kind string, to_url string, s long, n long, q string")
+    return done.select("site", "url", "kind", "to_url", F.struct("s", "n", "q").alias("gkey"))
+
+
+def url_states(members: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """Final state of every URL that got one: (site, url, kind, to_url, gkey of the deciding group)."""
     rows = cut(_rows(members).select("site", "gkey", "url", "fit"))
     active = rows.withColumn("kind", F.lit(None).cast("string"))
@@ -42,7 +75,11 @@ def url_states(members: DataFrame) -> DataFrame:
             F.min(F.when(free | (F.col("kind") == "canonical"), F.struct("fit", "kind"))).alias("best"),
         ).filter((F.col("n_free") >= 2) | ((F.col("n_free") == 1) & (F.col("best.kind") == "canonical")))
         open_rows = cut(active.join(groups.select(*_KEYS, F.col("best.fit.u").alias("canonical")), _KEYS))
-        if open_rows.isEmpty():
+        left = open_rows.count()
+        if left == 0:
+            break
+        if left <= tail_rows:
+            decided.append(cut(_walk_rest(open_rows)))
             break
         owner = open_rows.filter(free).groupBy("site", "url").agg(F.min("gkey").alias("owner"))
         waiting = open_rows.filter(free).join(owner, ["site", "url"])

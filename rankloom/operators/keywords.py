@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_tokens, normalize_keyword
 from rankloom.lineage import cut
-from rankloom.operators.setjoin import jaccard_pairs, subset_pairs
+from rankloom.operators.setjoin import ordered_jaccard_pairs, ordered_subset_pairs, rare_first
 
 
 def keyword_items(plan: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def exact_collisions(items: DataFrame) -> DataFrame:
 
 def near_sets(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """J13. (site, left, right) token sets, both of two or more words, that are near: subset or Jaccard."""
-    sets = items.filter(F.size("tokens") >= 2).select("site", "tokens").distinct()
-    similar = jaccard_pairs(sets, sets, threshold).select("site", "left", "right").filter(F.col("left") != F.col("right"))
-    inside = subset_pairs(sets)
+    ordered = cut(rare_first(items.filter(F.size("tokens") >= 2)))
+    similar = ordered_jaccard_pairs(ordered, ordered, threshold).select("site", "left", "right").filter(F.col("left") != F.col("right"))
+    inside = ordered_subset_pairs(ordered)
     both = inside.unionByName(inside.select("site", F.col("right").alias("left"), F.col("left").alias("right")))
     return similar.unionByName(both).distinct()
 

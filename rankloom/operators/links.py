@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import normalize_keyword, squeeze, unescape, without_code
 from rankloom.functions.urls import href_slug
+from rankloom.lineage import spread
 from rankloom.functions.wordlists import GENERIC_ANCHORS
 
 
@@ -14,7 +15,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     tags = F.arrays_zip(
         F.regexp_extract_all("bare", anchor_tag, F.lit(1)).alias("attrs"), F.regexp_extract_all("bare", anchor_tag, F.lit(2)).alias("inner")
     )
-    rows = pages.select("site", "page", without_code(F.col("markup")).alias("bare")).select("site", "page", F.posexplode(tags).alias("pos", "tag"))
+    rows = spread(pages.select("site", "page", "markup")).select("site", "page", without_code(F.col("markup")).alias("bare")).select("site", "page", F.posexplode(tags).alias("pos", "tag"))
     href = r"""(?i)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
     attrs = F.col("tag.attrs")
     return rows.filter(attrs.rlike(href)).select(

@@ -57,23 +57,30 @@ def site_brands(sitemap: DataFrame) -> DataFrame:
     return sitemap.filter(has_host).groupBy("site").agg(brand_compact(F.min_by("url", "pos")).alias("brand"))
 
 
-def ghost_queries(ghosts: DataFrame, query_page: DataFrame) -> DataFrame:
+def url_keys(query_page: DataFrame) -> DataFrame:
+    """(site, url, match_key) of the URLs in the query log, written once: the log has many rows a URL, and a
+    key filter that the optimizer moves into the log's scan would be computed on each of them."""
+    return cut(query_page.select("site", "url").distinct().withColumn("match_key", match_key(F.col("url"))))
+
+
+def ghost_queries(ghosts: DataFrame, query_page: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """J06. Query rows of the ghosts, met by match key."""
-    keys = ghosts.select("site", "match_key").distinct()
-    return query_page.withColumn("match_key", match_key(F.col("url"))).join(keys, ["site", "match_key"])
+    keys = url_keys(query_page) if keys is None else keys
+    wanted = keys.join(ghosts.select("site", "match_key").distinct(), ["site", "match_key"], "left_semi")
+    return query_page.join(wanted, ["site", "url"])
 
 
-def top_ghost_queries(ghosts: DataFrame, query_page: DataFrame, top: int = TOP_QUERIES) -> DataFrame:
+def top_ghost_queries(ghosts: DataFrame, query_page: DataFrame, top: int = TOP_QUERIES, keys: DataFrame | None = None) -> DataFrame:
     """J06. The few biggest queries of each ghost, as an ordered array."""
     w = Window.partitionBy("site", "match_key").orderBy(F.desc("impressions"), "query", "url")
-    ranked = ghost_queries(ghosts, query_page).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    ranked = ghost_queries(ghosts, query_page, keys).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.groupBy("site", "match_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "query"))), lambda x: x["query"]).alias("top_queries")
     )
 
 
 def targets_by_query(
-    ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, heavy_pairs: int = HEAVY_QUERY_PAIRS
+    ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, heavy_pairs: int = HEAVY_QUERY_PAIRS, keys: DataFrame | None = None
 ) -> DataFrame:
     """J03. Per ghost the live page that shares the most of its query impressions.
 
@@ -83,7 +90,8 @@ def targets_by_query(
     with the same set of heavy queries get the same heavy score, hence one of them (most clicks, then
     URL) stands for all that share nothing else with the ghost. Both ways together are exact.
     """
-    g, a = cut(_ghost_side(ghosts, query_page, sitemap)), cut(_page_side(query_page, sitemap))
+    keys = url_keys(query_page) if keys is None else keys
+    g, a = cut(_ghost_side(ghosts, query_page, sitemap, keys)), cut(_page_side(query_page, sitemap, keys))
     q = ["site", "query"]
     load = g.groupBy(*q).agg(F.count("*").alias("gs")).join(a.groupBy(*q).agg(F.count("*").alias("ps")), q)
     heavy = cut(load.filter(F.col("gs") * F.col("ps") > heavy_pairs).select(*q))
@@ -125,18 +133,17 @@ def _best_target(scored: DataFrame) -> DataFrame:
     )
 
 
-def _ghost_side(ghosts, query_page, sitemap):
-    rows = ghost_queries(ghosts, query_page).join(site_brands(sitemap), "site", "left")
+def _ghost_side(ghosts, query_page, sitemap, keys):
+    rows = ghost_queries(ghosts, query_page, keys).join(site_brands(sitemap), "site", "left")
     rows = rows.filter(~is_brand_query(F.col("query"), F.col("brand")))
     return rows.groupBy("site", "query", "match_key").agg(
         F.sum(F.col("impressions") + 1).alias("w"), F.count("*").alias("m")
     )
 
 
-def _page_side(query_page, sitemap):
-    keys = sitemap_keys(sitemap).select("site", "match_key")
-    live = query_page.withColumn("match_key", match_key(F.col("url"))).join(keys, ["site", "match_key"], "left_semi")
-    return live.filter(~is_home(F.col("url"))).groupBy("site", "query", "url").agg(
+def _page_side(query_page, sitemap, keys):
+    live = keys.filter(~is_home(F.col("url"))).join(sitemap_keys(sitemap).select("site", "match_key"), ["site", "match_key"], "left_semi")
+    return query_page.join(live.select("site", "url"), ["site", "url"], "left_semi").groupBy("site", "query", "url").agg(
         F.sum("clicks").alias("c"), F.count("*").alias("n")
     )
 
@@ -163,21 +170,21 @@ def pruning_plan(
 ) -> DataFrame:
     """G05. Old URLs with suggested action and target: by query, else by slug, else home for those with traffic."""
     olds = cut(ghosts_and_exports(metrics, sitemap, exports))
-    keys = ["site", "match_key"]
+    on, log_keys = ["site", "match_key"], url_keys(query_page)
     spelled = sitemap_keys(sitemap)
 
-    def in_sitemap_form(targets, on, name):
+    def in_sitemap_form(targets, by, name):
         keyed = targets.withColumn("tk", match_key(F.col("target")))
         known = spelled.select("site", F.col("match_key").alias("tk"), "sitemap_url")
-        return keyed.join(known, ["site", "tk"], "left").select("site", on, F.coalesce("sitemap_url", "target").alias(name))
+        return keyed.join(known, ["site", "tk"], "left").select("site", by, F.coalesce("sitemap_url", "target").alias(name))
 
-    by_query = in_sitemap_form(targets_by_query(olds, query_page, sitemap), "match_key", "by_query")
+    by_query = in_sitemap_form(targets_by_query(olds, query_page, sitemap, keys=log_keys), "match_key", "by_query")
     by_slug = in_sitemap_form(targets_by_slug(olds, sitemap), "url", "by_slug")
     traffic = (F.col("clicks") > 0) | (F.col("impressions") >= min_impressions)
     home = F.when(traffic, F.col("home_url")) if home_fallback else F.lit(None).cast("string")
     joined = (
-        olds.join(by_query, keys, "left").join(by_slug, ["site", "url"], "left")
-        .join(top_ghost_queries(olds, query_page), keys, "left").join(home_pages(sitemap), "site", "left")
+        olds.join(by_query, on, "left").join(by_slug, ["site", "url"], "left")
+        .join(top_ghost_queries(olds, query_page, keys=log_keys), on, "left").join(home_pages(sitemap), "site", "left")
     )
     return joined.select(
         "site", "url", "clicks", "impressions", "ctr", "position", "origin",
