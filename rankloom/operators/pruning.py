@@ -32,7 +32,7 @@ def ghost_urls(metrics: DataFrame, sitemap: DataFrame) -> DataFrame:
 def ghosts_and_exports(metrics: DataFrame, sitemap: DataFrame, exports: DataFrame) -> DataFrame:
     """U01. Ghosts plus exported URLs that neither the sitemap nor the ghosts know."""
     keys = ["site", "match_key"]
-    ghosts = ghost_urls(metrics, sitemap).withColumn("origin", F.lit("busca"))
+    ghosts = cut(ghost_urls(metrics, sitemap).withColumn("origin", F.lit("busca")))
     first = exports.withColumn("match_key", match_key(F.col("url"))).groupBy(*keys).agg(F.min_by("url", "pos").alias("url"))
     extra = first.join(sitemap_keys(sitemap), keys, "left_anti").join(ghosts.select(*keys), keys, "left_anti").select(
         "site", "url", "match_key", F.lit(0).cast("long").alias("clicks"), F.lit(0).cast("long").alias("impressions"),
