@@ -321,4 +321,34 @@ Q["M06_differentiation_plan"] = f"""select site, cluster, (max(page) filter (i =
 Q["D01_per_site_function"] = f"select site, case when site = 's3' then 'ERRO' else 'OK' end status, case when site = 's3' then 'site unavailable' end error, case when site <> 's3' then {rnd('total_clicks / total_urls', 3)} end clicks_per_url from {SUMMARY}"
 Q["D02_scorer_plugin"] = """select site, cluster, case when least(size, 6) > 5 then '' else '{"verdict": "' || case when size > 2 then 'spun' else 'ok' end || '", "base_recomendada": "", "lacunas": ["' || size || '"], "resumo": "x"}' end reply, case when least(size, 6) > 5 then 'too many pages' end error from priority"""
 
+# ---- plans that walk groups in order: a fold over the ordered groups of a site ----
+HEAD = "list_filter(x.urls, lambda u: not list_contains(a.red, u))[1]"
+LEAVE = f"list_filter(x.urls, lambda u: {HEAD} is not null and u <> {HEAD} and not list_contains(a.red, u) and not list_contains(a.canon, u))"
+CLASH = f"""case when {HEAD} is null then [{{'u': null::varchar, 'h': null::varchar, 'q': x.q, 'kind': 'grupo_ignorado'}}] else list_transform(list_filter(x.urls, lambda u: u <> {HEAD} and (list_contains(a.canon, u) or
+  (list_contains(a.red, u) and a.dest[list_position(a.red, u)] <> {HEAD}))), lambda u: {{'u': u, 'h': case when list_contains(a.canon, u) then null else a.dest[list_position(a.red, u)] end, 'q': x.q,
+  'kind': case when list_contains(a.canon, u) then 'canonica_de_outro_grupo' else 'destino_mantido' end}}) end"""
+EMPTY = "'red': []::varchar[], 'dest': []::varchar[], 'by': []::varchar[], 'canon': []::varchar[], 'clash': []::struct(u varchar, h varchar, q varchar, kind varchar)[]"
+WALK = f"""(select site, list_reduce(list_prepend({{'q': '', 'urls': []::varchar[], {EMPTY}}}, gs), lambda a, x: {{'q': x.q, 'urls': x.urls, 'red': list_concat(a.red, {LEAVE}), 'dest': list_concat(a.dest, list_transform({LEAVE}, lambda u: {HEAD})),
+  'by': list_concat(a.by, list_transform({LEAVE}, lambda u: x.q)), 'canon': case when len({LEAVE}) > 0 and not list_contains(a.canon, {HEAD}) then list_append(a.canon, {HEAD}) else a.canon end, 'clash': list_concat(a.clash, {CLASH})}}) w from (
+  select site, list({{'q': query, 'urls': urls, {EMPTY}}} order by severity_score desc, url_count desc, query) gs from (
+  select site, query, severity_score, url_count, list(url order by clicks desc, position, impressions desc, url) urls from cann_members group by site, query, severity_score, url_count) group by site))"""
+MOVES = f"""(select m.site, m.u from_url, m.h to_url, m.q keyword, f.severity, f.clicks clicks_from, t.clicks clicks_to from (select site, unnest(w.red) u, unnest(w.dest) h, unnest(w.by) q from {WALK}) m
+  join cann_members f on f.site = m.site and f.query = m.q and f.url = m.u join cann_members t on t.site = m.site and t.query = m.q and t.url = m.h)"""
+Q["G04_consolidation_plan"] = f"select * from {MOVES}"
+Q["G04_consolidation_conflicts"] = f"select site, c.q keyword, c.u url, c.kind as conflict, c.h kept_target from (select site, unnest(w.clash) c from {WALK})"
+Q["K05_redirect_csv"] = f"select * from {MOVES}"
+FROM_PATH = f"case when {path('from_url')} = '' then '/' else {path('from_url')} end"
+Q["K07_redirect_rules"] = f"""select site, from_url, '# keyword: ' || keyword || '  (severidade ' || strip_accents(severity) || ')' as comment, format, case when format = 'nginx' then 'location = ' || {FROM_PATH} || ' {{ return 301 ' || to_url || '; }}'
+  else 'Redirect 301 ' || {FROM_PATH} || ' ' || to_url end rule from {MOVES}, (values ('htaccess'), ('nginx')) f(format)"""
+NEARWALK = f"""(with x as (select * from items where (site, norm) not in (select (site, norm) from items group by site, norm having count(*) >= 2 and count(distinct slug) >= 2)),
+  s as (select site, tokens, min((cluster, slug, keyword)) o from x where len(tokens) >= 2 group by site, tokens),
+  n as (select a.site, a.tokens, a.o, list(array_to_string(b.tokens, ' ')) filter (b.tokens is not null) later from s a left join s b on b.site = a.site and b.o > a.o
+    and (list_has_all(a.tokens, b.tokens) or list_has_all(b.tokens, a.tokens) or len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) >= 0.7) group by a.site, a.tokens, a.o),
+  w as (select site, list_reduce(list_prepend({{'t': '', 'later': []::varchar[], 'taken': []::varchar[], 'seed': []::varchar[]}}, list({{'t': array_to_string(tokens, ' '), 'later': coalesce(later, []::varchar[]), 'taken': []::varchar[], 'seed': []::varchar[]}} order by o)),
+    lambda a, x: case when list_contains(a.taken, x.t) then {{'t': x.t, 'later': x.later, 'taken': a.taken, 'seed': a.seed}} else {{'t': x.t, 'later': x.later, 'taken': list_concat(a.taken, list_filter(x.later, lambda l: not list_contains(a.taken, l))),
+    'seed': list_concat(a.seed, list_transform(list_filter(x.later, lambda l: not list_contains(a.taken, l)), lambda l: x.t))}} end) r from n group by site),
+  m as (select site, unnest(r.taken) t, unnest(r.seed) seed from w), g as (select x.*, coalesce(m.seed, array_to_string(x.tokens, ' ')) seed, (-impressions, cluster, slug, keyword) o from x left join m on m.site = x.site and m.t = array_to_string(x.tokens, ' ') where len(x.tokens) >= 2)
+  select site, 'parecida' kind, arg_min(keyword, o) keyword, arg_min(cluster, o) owner_cluster, arg_min(slug, o) owner_slug, count(*) n, sum(impressions)::bigint impr_total, count(distinct cluster) >= 2 cross_cluster from g group by site, seed having count(*) >= 2 and count(distinct slug) >= 2)"""
+Q["J13_keyword_near_match"] = f"select * from {NEARWALK}"
+
 SQL = {name: with_ctes(f"select * from ({q})" if q.startswith("with") else q) for name, q in Q.items()}

@@ -58,3 +58,6 @@ SITE_SERIES = "Site (todo o domínio)"
 
 # Hours a stored result stays fresh, by source.
 TTL_HOURS = {"metrics": 72, "queries": 72, "text": 72, "inspection": 24, "trends": 24, "entity": 168}
+
+# Where a dead URL became known.
+ORIGIN_SEARCH, ORIGIN_EXPORT = "busca", "export-gsc"

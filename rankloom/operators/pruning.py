@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.urls import (
     brand_compact, host, is_brand_query, is_home, match_key, root_of, slug_words,
 )
+from rankloom.functions.wordlists import ORIGIN_EXPORT, ORIGIN_SEARCH
 from rankloom.lineage import cut
 from rankloom.operators.setjoin import jaccard_pairs
 
@@ -32,11 +33,11 @@ def ghost_urls(metrics: DataFrame, sitemap: DataFrame) -> DataFrame:
 def ghosts_and_exports(metrics: DataFrame, sitemap: DataFrame, exports: DataFrame) -> DataFrame:
     """U01. Ghosts plus exported URLs that neither the sitemap nor the ghosts know."""
     keys = ["site", "match_key"]
-    ghosts = cut(ghost_urls(metrics, sitemap).withColumn("origin", F.lit("busca")))
+    ghosts = cut(ghost_urls(metrics, sitemap).withColumn("origin", F.lit(ORIGIN_SEARCH)))
     first = exports.withColumn("match_key", match_key(F.col("url"))).groupBy(*keys).agg(F.min_by("url", "pos").alias("url"))
     extra = first.join(sitemap_keys(sitemap), keys, "left_anti").join(ghosts.select(*keys), keys, "left_anti").select(
         "site", "url", "match_key", F.lit(0).cast("long").alias("clicks"), F.lit(0).cast("long").alias("impressions"),
-        F.lit(0.0).alias("ctr"), F.lit(None).cast("double").alias("position"), F.lit("export-gsc").alias("origin"),
+        F.lit(0.0).alias("ctr"), F.lit(None).cast("double").alias("position"), F.lit(ORIGIN_EXPORT).alias("origin"),
     )
     return ghosts.unionByName(extra)
 
