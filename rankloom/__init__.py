@@ -1 +1,8 @@
 """rankloom: search-performance and content analytics as Spark DataFrame jobs keyed by site."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,19 +9,24 @@ round file sizes to plan with.
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="rankloom-ckpt-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the session names; a folder of our own only in local mode without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="rankloom-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -50,15 +50,14 @@ def _cell(v):
 
 
 def _blocks(reps: DataFrame, block_rows: int) -> DataFrame:
-    celled = reps.withColumn("cell", _cell(F.col("vec")))
-    total = celled.groupBy("site", "cell").agg(F.count("*").alias("n"))
-    site = total.groupBy("site").agg(F.sum("n").alias("site_n"))
-    # a site of one block needs no cells; a full cell is split by page hash
-    parts = total.join(site, "site").withColumn("one", F.col("site_n") <= block_rows).withColumn(
-        "split", F.ceil(F.col("n") / block_rows)
-    ).select("site", "cell", "one", "split")
-    sub = F.pmod(F.xxhash64("page"), F.col("split"))
-    block = F.when(F.col("one"), "all").otherwise(F.concat_ws("-", "cell", sub))
+    """Rows with a block of at most about ``block_rows`` rows: as many cells as a site has blocks, full cells split by page hash."""
+    site = reps.groupBy("site").agg(F.count("*").alias("site_n"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(PLANES), F.ceil(F.log2(F.col("site_n") / block_rows))))
+    celled = reps.join(site, "site").select(
+        "site", "page", "vec", F.floor(_cell(F.col("vec")) / F.pow(F.lit(2.0), PLANES - bits)).alias("cell")
+    )
+    parts = celled.groupBy("site", "cell").agg(F.ceil(F.count("*") / block_rows).alias("split"))
+    block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("page"), F.col("split")))
     return celled.join(parts, ["site", "cell"]).select("site", "page", "vec", block.alias("block"))
 
 
