@@ -37,7 +37,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Whole texts to token ids with a vocabulary whose words never cross white space.
+    """Whole texts to token ids with a vocabulary whose words never cross ASCII white space.
 
     Each distinct word is encoded once a task and looked up afterwards; the words kept are bounded by ``keep``.
     Plain a-z words skip the normaliser and splitter, which leave them as they are. The vocabulary drops white space and
@@ -69,7 +69,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; a null has no tokens."""
-        split = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
         of_word = self.word_ids(coded.dictionary.to_pylist())
         size = np.array([len(x) for x in of_word], dtype=np.int64)
