@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rankloom.llm import host_rules, mixing, preferences, sharding, sql
 from rankloom.llm import token_stream as ts
 
 
@@ -9,12 +10,41 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2(spark, folder):
+    return host_rules.host_quality_rules(_table(spark, folder, "documents"))
+
+
 def op7(spark, folder):
     return ts.token_stream(_table(spark, folder, "documents"))
 
 
+def op8(spark, folder):
+    mix = mixing.mix(mixing.sized(_table(spark, folder, "documents")))
+    return mix.documents.select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+
+
+def op9(spark, folder):
+    placed = sharding.assign_shards(_table(spark, folder, "documents"))
+    return placed.withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op10(spark, folder):
+    out = preferences.format_preferences(preferences.sibling_pairs(_table(spark, folder, "conversations")))
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for c in ("chosen_spans", "rejected_spans")}
+    return out.withColumns(spans)
+
+
 QUERIES = {
+    "op2_host_quality_rules": op2,
     "op7_token_stream": op7,
+    "op8_fair_mix": op8,
+    "op9_rendezvous_shards": op9,
+    "op10_preference_pairs": op10,
 }
 
-SQL = {}
+SQL = {
+    "op2_host_quality_rules": sql.OP2,
+    "op8_fair_mix": sql.OP8,
+    "op9_rendezvous_shards": sql.OP9,
+    "op10_preference_pairs": sql.OP10,
+}
