@@ -40,7 +40,7 @@ class Words:
     """Words of whole texts as 64-bit hashes, computed over the bytes of an Arrow array without a Python object per word.
 
     Equal words have equal hashes; two different words share one with a chance of about 2^-64.
-    ``lower`` folds A-Z only. ``break_at`` gives other bytes that end a word.
+    ``lower`` folds A-Z only.
     """
 
     def __init__(self, lower: bool = True):
@@ -63,10 +63,14 @@ class Words:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, hashes): the words of text i are hashes[offsets[i]:offsets[i + 1]]; a null has none."""
-        data, at = text_bytes(texts)
+        return self.located(*text_bytes(texts))[:2]
+
+    def located(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, hashes, first bytes, end bytes) of the words of texts given as bytes and borders."""
         n = len(data)
         if n == 0:
-            return np.zeros(len(at), dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            none = np.zeros(0, dtype=np.int64)
+            return np.zeros(len(at), dtype=np.int64), np.zeros(0, dtype=np.uint64), none, none
         self._room(n + 1)
         blank = self.space[data]
         edge = np.zeros(n + 1, dtype=bool)
@@ -76,7 +80,7 @@ class Words:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.codes[data] * self.powers[:n], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _MIX2)
-        return np.searchsorted(starts, at).astype(np.int64), hashes
+        return np.searchsorted(starts, at).astype(np.int64), hashes, starts, ends
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

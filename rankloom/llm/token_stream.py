@@ -1,7 +1,7 @@
 """Token-ID / binary output (operator 7): Arrow stream files of equal-length token sequences with masks.
 
-A file is an Arrow IPC stream of record batches with two fixed-size-list columns, ``ids`` (uint32) and ``mask``
-(uint8, 1 for a token and 0 for filling), one row per sequence. As every row has the same width, sequence k of a file
+A file is an Arrow IPC stream of record batches with two fixed-size-list columns, ``ids`` (uint16, or uint32 for a
+vocabulary over 65,536) and ``mask`` (boolean, true for a token and false for filling), one row per sequence. As every row has the same width, sequence k of a file
 lies at a fixed distance within its batch's buffer, so a reader that maps the file reaches it without copying.
 Beside it a second stream, ``.docs``, lists the file's documents: doc_id, first token within the file, token count.
 
@@ -11,8 +11,10 @@ name and renames it. Global positions follow from the files' token totals, a few
 """
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.lineage import checkpoint_root, cut
-from rankloom.llm.common import slices
+from rankloom.llm.common import Words, slices, text_bytes
 
 END_ID = 1
 SEQUENCE = 2048
@@ -37,58 +39,83 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Whole texts to token ids with a vocabulary whose words never cross ASCII white space.
+    """Whole texts to token ids with a vocabulary of lower-case words that drops white space.
 
-    Each distinct word is encoded once a task and looked up afterwards; the words kept are bounded by ``keep``.
-    Plain a-z words skip the normaliser and splitter, which leave them as they are. The vocabulary drops white space and
-    its pattern does not join over it, so the ids of a text are those of its words in order; the tests hold this
-    against encoding whole texts.
+    No token crosses ASCII white space, so a text's ids are those of its words in order; the tests hold this against encoding
+    whole texts. A task encodes each distinct word once and finds it again by a 64-bit hash; the words held are bounded by ``keep``.
+    a-z words skip the normaliser and splitter, which leave them as they are, and so do such words with an ASCII punctuation
+    tail, which the splitter cuts off.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 3_000_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
-
-    def word_ids(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        missing = [w for w in words if w not in known]
-        model, rest = self.tok.model, []
-        for w in missing:
-            low = w.lower()
-            if low.isascii() and low.isalpha():
-                known[w] = [t.id for t in model.tokenize(low)]
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
-            known[w] = e.ids
-        return [known[w] for w in words]
+        self.tok, self.words, self.keep = Tokenizer.from_file(path), Words(), keep
+        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.plain, self.tails = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]*)"), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.begin = self.size = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=self.dtype)
+
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        tokenize, out, rest = self.tok.model.tokenize, [], []
+        for i, w in enumerate(words):
+            m = self.plain.fullmatch(w.lower()) if w.isascii() else None
+            if not m:
+                rest.append(i)
+                out.append(None)
+                continue
+            ids = [t.id for t in tokenize(m[1])]
+            if m[2]:
+                if m[2] not in self.tails:
+                    if len(self.tails) > 100_000:
+                        self.tails.clear()
+                    self.tails[m[2]] = self.tok.encode(m[2], add_special_tokens=False).ids
+                ids += self.tails[m[2]]
+            out.append(ids)
+        for i, e in zip(rest, self.tok.encode_batch([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        of_word = self._word_ids(words)
+        size = np.array([len(x) for x in of_word], dtype=np.int64)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, np.array(list(chain.from_iterable(of_word)), dtype=self.dtype)))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = np.insert(self.known, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; a null has no tokens."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        of_word = self.word_ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in of_word], dtype=np.int64)
-        flat = np.array([i for x in of_word for i in x], dtype=np.uint32)
-        begin = np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[at] if len(at) else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate(([0], np.cumsum(n)))
-        take = np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1]) if len(at) else np.zeros(0, dtype=np.int64)
-        first = split.offsets.to_numpy()
-        return ends[first - first[0]], flat[take]
+        data, borders = text_bytes(texts)
+        first, hashes, starts, ends = self.words.located(data, borders)
+        distinct, where, word = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > self.keep:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        if new.any():
+            raw = data.tobytes()
+            spans = where[new]
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        n = self.size[at][word] if len(word) else np.zeros(0, dtype=np.int64)
+        stop = np.concatenate(([0], np.cumsum(n)))
+        take = np.repeat((self.begin[at][word] if len(word) else n) - stop[:-1], n) + np.arange(stop[-1])
+        return stop[first], self.flat[take]
 
 
 class _Sequences:
     """Fills fixed-length sequences from runs of ids and writes full batches."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.width = length, length * BATCH_SEQUENCES
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, dtype):
+        self.length, self.width, self.dtype = length, length * BATCH_SEQUENCES, dtype
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_stream(sink, self.schema)
         self.held, self.n_held, self.total = [], 0, 0
 
@@ -105,9 +132,8 @@ class _Sequences:
 
     def _write(self, run: np.ndarray) -> None:
         fill = -len(run) % self.length
-        ids = np.concatenate((run, np.zeros(fill, dtype=np.uint32))).astype(np.uint32)
-        mask = np.ones(len(ids), dtype=np.uint8)
-        mask[len(run) :] = 0
+        ids = np.concatenate((run, np.zeros(fill, dtype=self.dtype)))
+        mask = np.arange(len(ids)) < len(run)
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.record_batch(arrays, schema=self.schema))
 
@@ -132,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encode
         encode, out = None, None
         index = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
         n_docs = 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 8 << 20):
             if out is None:
                 encode = encoder()
                 file_no = b.column("file_no")[0].as_py()
@@ -140,12 +166,12 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encode
                 store.create_dir(root, recursive=True)
                 path, part = f"{root}/{file_no:06d}.arrows", f".part-{uuid.uuid4().hex}"
                 sink, docs_sink = store.open_output_stream(path + part), store.open_output_stream(path + ".docs" + part)
-                out, listed = _Sequences(sink, length), pa.ipc.new_stream(docs_sink, index)
+                out, listed = _Sequences(sink, length, encode.dtype), pa.ipc.new_stream(docs_sink, index)
             at, ids = encode(b.column("text"))
             n = np.diff(at) + 1
             ends = np.cumsum(n)
             first = out.total + ends - n
-            stream = np.full(ends[-1], end_id, dtype=np.uint32)
+            stream = np.full(ends[-1], end_id, dtype=encode.dtype)
             inner = np.ones(len(stream), dtype=bool)
             inner[ends - 1] = False
             stream[inner] = ids
@@ -184,7 +210,7 @@ def read_documents(path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]
     """(document rows, their ids) read back from a file, batch by batch; holds one document batch and one sequence batch."""
     store, at = file_system(path)
     sequences = _valid_runs(path)
-    held, start = np.zeros(0, dtype=np.uint32), 0
+    held, start = np.zeros(0, dtype=np.uint16), 0
     with store.open_input_stream(at + ".docs") as source:
         for docs in pa.ipc.open_stream(source):
             ids = []
@@ -204,7 +230,7 @@ def read_documents(path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]
 def _valid_runs(path: str) -> Iterator[np.ndarray]:
     for batch in open_tokens(path):
         ids = batch.column("ids").flatten().to_numpy()
-        mask = batch.column("mask").flatten().to_numpy()
+        mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
         yield ids if mask[-1] else ids[: int(mask.sum())]
 
 
