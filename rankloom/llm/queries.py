@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import host_rules, mixing, preferences, sharding, sql
+from rankloom.llm import host_rules, jaccard_join, mixing, preferences, sharding, sql
 from rankloom.llm import token_stream as ts
 
 
@@ -14,6 +14,10 @@ def op2(spark, folder):
     return host_rules.host_quality_rules(_table(spark, folder, "documents"))
 
 
+def op3(spark, folder):
+    return jaccard_join.similar_components(_table(spark, folder, "documents"))
+
+
 def op7(spark, folder):
     return ts.token_stream(_table(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ def op10(spark, folder):
 
 QUERIES = {
     "op2_host_quality_rules": op2,
+    "op3_ngram_jaccard_join": op3,
     "op7_token_stream": op7,
     "op8_fair_mix": op8,
     "op9_rendezvous_shards": op9,
@@ -44,6 +49,7 @@ QUERIES = {
 
 SQL = {
     "op2_host_quality_rules": sql.OP2,
+    "op3_ngram_jaccard_join": sql.OP3,
     "op8_fair_mix": sql.OP8,
     "op9_rendezvous_shards": sql.OP9,
     "op10_preference_pairs": sql.OP10,

@@ -17,6 +17,16 @@ select b.doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_w
 from b join s on b.host is not distinct from s.host
 """
 
+OP3 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id, doc_id as c from d union select r.doc_id, l.b from r join l on l.a = r.c)
+select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.c) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
 OP8 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, 'null')) as key from documents),
 s as (select source, sum(size) as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w from d group by source),
