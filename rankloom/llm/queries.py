@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import host_rules, jaccard_join, mixing, preferences, sharding, sql
+from rankloom.llm import host_rules, jaccard_join, mixing, preferences, quality, sharding, sql, tag_paths, tiling
 from rankloom.llm import token_stream as ts
 
 
@@ -10,6 +10,10 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1(spark, folder):
+    return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2(spark, folder):
     return host_rules.host_quality_rules(_table(spark, folder, "documents"))
 
@@ -18,6 +22,14 @@ def op3(spark, folder):
     return jaccard_join.similar_components(_table(spark, folder, "documents"))
 
 
+def op5(spark, folder):
+    return tag_paths.extract(_table(spark, folder, "pages"))
+
+
+def op6(spark, folder):
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7(spark, folder):
     return ts.token_stream(_table(spark, folder, "documents"))
 
@@ -39,8 +51,11 @@ def op10(spark, folder):
 
 
 QUERIES = {
+    "op1_greedy_string_tiling": op1,
     "op2_host_quality_rules": op2,
     "op3_ngram_jaccard_join": op3,
+    "op5_tag_path_ratios": op5,
+    "op6_subword_quality": op6,
     "op7_token_stream": op7,
     "op8_fair_mix": op8,
     "op9_rendezvous_shards": op9,
