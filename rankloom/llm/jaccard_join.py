@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
@@ -308,6 +308,24 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return found.join(names, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: of each component the document with its smallest doc_id stays.
+
+    Of rows that repeat that doc_id one stays, the first by text. A row without a doc_id cannot be told from others
+    by it and stays.
+    """
+    found = cut(similar_components(docs))
+    many = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).filter((F.col("n") > 1) | (F.col("c") != F.col("doc_id"))))
+    key = F.col("doc_id").cast("long")
+    rest = docs.join(many.select(F.col("doc_id").alias("_d")), key == F.col("_d"), "left_anti")
+    again = many.filter("c = doc_id")
+    if not again.isEmpty():
+        first = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last())
+        same = docs.join(again.select(F.col("doc_id").alias("_d")), key == F.col("_d"), "left_semi")
+        rest = rest.unionByName(same.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+    return rest
+
+
 def similar_keys(docs: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, component) of the sets that are linked with another one; stored."""
     in_pairs = shared.select("key").distinct()

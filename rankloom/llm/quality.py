@@ -158,6 +158,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    model = train(*training_sample(docs, labels, target))
+    shared = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, use = Features(len(shared.value[0])), Model(*shared.value)
+        for b in slices(batches, "text", 2 << 20):
+            owner, rows = features(b.column("text"))
+            yield b.filter(pa.array(use.predict(owner, rows, b.num_rows) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; repeated rows score alike, an empty table gives no rows."""
     model = train(*training_sample(docs, labels, target))

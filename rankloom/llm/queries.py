@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import host_rules, jaccard_join, mixing, preferences, quality, sharding, sql, tag_paths, tiling
+from rankloom.llm import host_rules, jaccard_join, line_dedup, mixing, preferences, quality, sharding, sql, tag_paths, tiling
 from rankloom.llm import token_stream as ts
 
 
@@ -22,6 +22,11 @@ def op3(spark, folder):
     return jaccard_join.similar_components(_table(spark, folder, "documents"))
 
 
+def op4(spark, folder):
+    out = line_dedup.dedup_lines(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op5(spark, folder):
     return tag_paths.extract(_table(spark, folder, "pages"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_greedy_string_tiling": op1,
     "op2_host_quality_rules": op2,
     "op3_ngram_jaccard_join": op3,
+    "op4_line_dedup": op4,
     "op5_tag_path_ratios": op5,
     "op6_subword_quality": op6,
     "op7_token_stream": op7,
@@ -65,6 +71,7 @@ QUERIES = {
 SQL = {
     "op2_host_quality_rules": sql.OP2,
     "op3_ngram_jaccard_join": sql.OP3,
+    "op4_line_dedup": sql.OP4,
     "op8_fair_mix": sql.OP8,
     "op9_rendezvous_shards": sql.OP9,
     "op10_preference_pairs": sql.OP10,

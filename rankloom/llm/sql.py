@@ -27,6 +27,23 @@ r as (select doc_id, doc_id as c from d union select r.doc_id, l.b from r join l
 select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.c) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
 """
 
+OP4 = r"""
+with l as (select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as w from l),
+k as (select doc_id, i, array_to_string(w, ' ') as k, w from s where len(w) >= 5),
+f as (select k, any_value(w) as w, min(doc_id * 1000000 + i) as first from k group by k),
+t as (select k, len(w) as n, unnest(w) as x from f),
+df as (select x, count(*) as c from t group by x),
+p as (select k, n, t.x, row_number() over (partition by k order by c, t.x) as r from t join df on df.x = t.x),
+pre as (select * from p where r <= n - ceil(n * 4 / 5.0) + 1),
+c as (select distinct a.k as a, b.k as b from pre a join pre b on a.x = b.x and a.k < b.k and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m as (select a, b, x.first as fa, y.first as fb from c join f x on x.k = a join f y on y.k = b where 5 * len(list_intersect(x.w, y.w)) >= 4 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))),
+late as (select distinct case when fa < fb then b else a end as k from m),
+gone as (select doc_id, i from k join f using (k) where k.k in (from late) or doc_id * 1000000 + i <> first),
+kept as (select l.doc_id, count(*) as n_lines, count(g.i) as n_removed, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') as t from l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+select d.doc_id, case when text is null then 0 else n_lines end as n_lines, n_removed, length(t) as n_chars, md5(t) as text_md5 from documents d join kept using (doc_id)
+"""
+
 OP8 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, 'null')) as key from documents),
 s as (select source, sum(size) as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w from d group by source),
