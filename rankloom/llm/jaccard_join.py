@@ -13,7 +13,9 @@ by less than a_i within some segment, so it shares that segment's subset or a on
 
 Equal sets share one key from the start. Signatures held by one set end in a streaming pass over the sorted
 signatures. Of the others, first every set is verified against one set of its bucket; only sets that are still in different
-components are then compared pair by pair, so a large group of near copies costs its size and not its square.
+components are then compared pair by pair. Those pairs pass a parity sketch first: each element flips one bit of a set's sketch, so two
+sketches differ in no more bits than the sets do in elements, and a pair that differs in more than H bits is no link. A large group of
+near copies thereby costs its size and not its square.
 """
 
 from collections.abc import Iterator
@@ -38,6 +40,8 @@ SMALL = 8
 SKETCH_BITS = 16
 #: Star rounds before the rest is compared pair by pair.
 ROUNDS = 3
+#: 64-bit words of a set's parity sketch.
+PARITY_WORDS = 16
 #: Rows of one signature that a task holds before it hands them on.
 HELD_ROWS = 100_000
 
@@ -45,6 +49,7 @@ INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
 _SEG, _LESS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
+_PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 
 
 class Bands:
@@ -160,6 +165,15 @@ def set_keys(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, keys, 0)
 
 
+def parities(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS 64-bit words a set: bit b is the parity of the number of elements that hash to b."""
+    bits = PARITY_WORDS * 64
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    slot = (mix(shingles ^ _LESS) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(doc * bits + slot, minlength=(len(at) - 1) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(at) - 1, bits), axis=1).view(np.int64)
+
+
 def documents_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, n_shingles, key) of every row, stored; how many distinct sets of a task hold a shingle of each hash class, over all tasks)."""
 
@@ -347,13 +361,16 @@ def similar_keys(docs: DataFrame, own: DataFrame, shared: DataFrame) -> DataFram
             ok, a, b = _pair(F.col("key"), F.col("hub.key"), F.shiftright("meta", 4), F.col("hub.n"))
             new = rows.filter(ok & (F.col("component") != F.col("hub.component"))).select(a, b).distinct()
         else:  # what is left: all pairs of a bucket between components where one of them probes
-            l = rows.select("sig", F.col("key").alias("x"), F.col("meta").alias("mx"), F.col("component").alias("cx"))
-            r = rows.select("sig", F.col("key").alias("y"), F.col("meta").alias("my"), F.col("component").alias("cy"))
+            known = rows.join(texts.select("key", *_PARITY), "key")
+            l = known.select("sig", F.col("key").alias("x"), F.col("meta").alias("mx"), F.col("component").alias("cx"), *[F.col(p).alias(f"x{p}") for p in _PARITY])
+            r = known.select("sig", F.col("key").alias("y"), F.col("meta").alias("my"), F.col("component").alias("cy"), *[F.col(p).alias(f"y{p}") for p in _PARITY])
             ok, a, b = _pair(F.col("x"), F.col("y"), F.shiftright("mx", 4), F.shiftright("my", 4))
             met = (F.col("mx").bitwiseAND(F.lit(PROBE)) > 0) & (F.col("my").bitwiseAND(F.lit(INDEX | INDEX_LESS)) > 0) | (F.col("mx").bitwiseAND(F.lit(PROBE_LESS)) > 0) & (
                 F.col("my").bitwiseAND(F.lit(INDEX)) > 0)
             larger = F.shiftright("mx", 4) >= F.shiftright("my", 4)
-            new = l.join(r, "sig").filter((F.col("cx") != F.col("cy")) & met & larger & ok).select(a, b).distinct()
+            apart = sum((F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in _PARITY), F.lit(0))
+            near = (DEN + NUM) * apart <= (DEN - NUM) * (F.shiftright("mx", 4) + F.shiftright("my", 4))
+            new = l.join(r, "sig").filter((F.col("cx") != F.col("cy")) & met & larger & ok & near).select(a, b).distinct()
         new = cut(new.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(new)
         more = cut(verified(new, texts))
@@ -365,7 +382,7 @@ def similar_keys(docs: DataFrame, own: DataFrame, shared: DataFrame) -> DataFram
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, text) of one document of each wanted key. A bit map of fixed size keeps most other texts from the shuffle."""
+    """(key, text, parity words) of one document of each wanted key. A bit map of fixed size keeps most other texts from the shuffle."""
     hashed = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")))
     found = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(hashed.alias("h")), "h"))
 
@@ -374,7 +391,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for whole in batches:
             some = whole.filter(pa.array(in_bit_map(found.value, whole.column("h").to_numpy())))
             for b in slices(iter([some]), "text"):
-                yield pa.record_batch([pa.array(set_keys(*sets_of(b.column("text"), words))), b.column("text")], names=["key", "text"])
+                found_sets = sets_of(b.column("text"), words)
+                bits = parities(*found_sets)
+                columns = [pa.array(set_keys(*found_sets)), b.column("text"), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY_WORDS))]
+                yield pa.record_batch(columns, names=["key", "text", *_PARITY])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", hashed.alias("h")).mapInArrow(likely, "key long, text string")
+    fields = "".join(f", {p} long" for p in _PARITY)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", hashed.alias("h")).mapInArrow(likely, f"key long, text string{fields}")
     return rows.join(wanted.select("key"), "key").dropDuplicates(["key"])
