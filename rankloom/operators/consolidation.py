@@ -3,20 +3,19 @@
 The rule is a walk over the groups of a site from the most to the least severe: the best URL that is
 not redirected yet is the canonical one, the others redirect to it unless they are canonical or
 redirected already. A URL changes its state at most once, from free to redirected or to canonical,
-and a group matters only while it would redirect one of its free URLs. So all groups that come first
-for each of their free URLs are decided together; the walk takes as many rounds as the longest chain
-of groups that wait for each other, and no site, component or hot URL is ever gathered in one task. Once
-the rows that are still open are counted to be few, what is left is walked in order, a task per site.
+and a group matters only while it would redirect one of its free URLs. A free URL is owned by the first
+such group that holds it. A group's target is certain when its best URL is canonical already, or
+when the group owns it and owns another free URL, which will then leave. All URLs that such groups own are settled
+together, also when other URLs of the group still wait. The first open group of a site always qualifies, so every
+round settles some, and no site, component or hot URL is ever gathered in one task.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
 
 _KEYS = ["site", "gkey"]
-TAIL_ROWS = 500_000
 
 
 def _rows(members: DataFrame) -> DataFrame:
@@ -32,39 +31,12 @@ def _rows(members: DataFrame) -> DataFrame:
     )
 
 
-def _walk_rest(open_rows: DataFrame) -> DataFrame:
-    """The walk itself over a counted, small rest."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = {u: k for u, k in zip(pdf["url"], pdf["kind"]) if k is not None}
-        moved = []
-        rows = sorted(zip(pdf["s"], pdf["n"], pdf["q"], pdf["c"], pdf["p"], pdf["i"], pdf["url"]))
-        at = 0
-        while at < len(rows):
-            group = rows[at][:3]
-            urls = []
-            while at < len(rows) and rows[at][:3] == group:
-                urls.append(rows[at][6])
-                at += 1
-            head = next((u for u in urls if kind.get(u) != "redirect"), None)
-            leave = [u for u in urls if u != head and u not in kind]
-            if head is None or not leave:
-                continue
-            kind.update(dict.fromkeys(leave, "redirect"))
-            moved += [(u, "redirect", head, *group) for u in leave]
-            if head not in kind:
-                kind[head] = "canonical"
-                moved.append((head, "canonical", None, *group))
-        out = pd.DataFrame(moved, columns=["url", "kind", "to_url", "s", "n", "q"])
-        return out.assign(site=pdf["site"].iloc[0])[["site", "url", "kind", "to_url", "s", "n", "q"]]
-
-    flat = open_rows.select("site", "url", "kind", "gkey.*", "fit.c", "fit.p", "fit.i")
-    done = flat.groupBy("site").applyInPandas(walk, "site string, url string, kind string, to_url string, s long, n long, q string")
-    return done.select("site", "url", "kind", "to_url", F.struct("s", "n", "q").alias("gkey"))
-
-
-def url_states(members: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
-    """Final state of every URL that got one: (site, url, kind, to_url, gkey of the deciding group)."""
-    rows = cut(_rows(members).select("site", "gkey", "url", "fit"))
+def url_states(members: DataFrame) -> DataFrame:
+    """Final state of every URL that got one: (site, url, kind, to_url, gkey of the deciding group, severity, clicks_from, clicks_to)."""
+    return _states(cut(_rows(members)))
+
+
+def _states(rows: DataFrame) -> DataFrame:
     active = rows.withColumn("kind", F.lit(None).cast("string"))
     decided = []
     while True:
@@ -74,55 +46,45 @@ def url_states(members: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
             F.count_if(free).alias("n_free"),
             F.min(F.when(free | (F.col("kind") == "canonical"), F.struct("fit", "kind"))).alias("best"),
         ).filter((F.col("n_free") >= 2) | ((F.col("n_free") == 1) & (F.col("best.kind") == "canonical")))
-        open_rows = cut(active.join(groups.select(*_KEYS, F.col("best.fit.u").alias("canonical")), _KEYS))
-        left = open_rows.count()
-        if left == 0:
+        open_rows = cut(active.join(groups.select(*_KEYS, "best"), _KEYS))
+        if open_rows.isEmpty():
             break
-        if left <= tail_rows:
-            decided.append(cut(_walk_rest(open_rows)))
-            break
-        owner = open_rows.filter(free).groupBy("site", "url").agg(F.min("gkey").alias("owner"))
-        waiting = open_rows.filter(free).join(owner, ["site", "url"])
-        ready = waiting.groupBy(*_KEYS).agg(F.bool_and(F.col("owner") == F.col("gkey")).alias("ok")).filter("ok").select(*_KEYS)
-        new = cut(
-            open_rows.filter(free).join(ready, _KEYS, "left_semi").select(
-                "site", "url",
-                F.when(F.col("url") == F.col("canonical"), "canonical").otherwise("redirect").alias("kind"),
-                F.when(F.col("url") != F.col("canonical"), F.col("canonical")).alias("to_url"),
-                "gkey",
-            )
-        )
+        owned = open_rows.filter(free).groupBy("site", "url").agg(F.min(F.struct("gkey", "fit", "best", "severity")).alias("o")).select("site", "url", "o.*")
+        is_best = F.col("url") == F.col("best.fit.u")
+        sure = owned.groupBy(*_KEYS).agg(F.count_if(~is_best).alias("leave"), F.bool_or(is_best | (F.col("best.kind") == "canonical")).alias("fixed"))
+        sure = sure.filter((F.col("leave") > 0) & F.col("fixed")).select(*_KEYS)
+        new = cut(owned.join(sure, _KEYS).select(
+            "site", "url", F.when(is_best, "canonical").otherwise("redirect").alias("kind"), F.when(~is_best, F.col("best.fit.u")).alias("to_url"), "gkey", "severity",
+            (-F.col("fit.c")).alias("clicks_from"), (-F.col("best.fit.c")).alias("clicks_to"),
+        ))
         decided.append(new)
         fresh = new.select("site", "url", F.col("kind").alias("new_kind"))
-        active = open_rows.join(ready, _KEYS, "left_anti").join(fresh, ["site", "url"], "left").select(
-            "site", "gkey", "url", "fit", F.coalesce("kind", "new_kind").alias("kind")
-        )
-    if not decided:
-        return rows.select("site", "url", F.lit("").alias("kind"), F.lit("").alias("to_url"), "gkey").limit(0)
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+        active = open_rows.drop("best").join(fresh, ["site", "url"], "left").withColumn("kind", F.coalesce("kind", "new_kind")).drop("new_kind")
+    out = rows.select("site", "url", F.lit("").alias("kind"), F.lit("").alias("to_url"), "gkey", "severity", F.lit(0).cast("long").alias("clicks_from"), F.lit(0).cast("long").alias("clicks_to")).limit(0)
+    for i, d in enumerate(decided):
+        out = out.unionByName(d) if i else d
     return out
 
 
 def consolidation_plan(members: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """G04. Redirect rows, one per URL; no target is itself redirected."""
     states = url_states(members) if states is None else states
-    moves = states.filter(F.col("kind") == "redirect").select(
-        "site", F.col("gkey.q").alias("query"), F.col("url").alias("from_url"), "to_url"
-    )
-    src = members.select("site", "query", F.col("url").alias("from_url"), F.col("clicks").alias("clicks_from"), "severity", "severity_score")
-    dst = members.select("site", "query", F.col("url").alias("to_url"), F.col("clicks").alias("clicks_to"))
-    return moves.join(src, ["site", "query", "from_url"]).join(dst, ["site", "query", "to_url"]).select(
-        "site", "from_url", "to_url", F.col("query").alias("keyword"), "severity", "clicks_from", "clicks_to"
+    return states.filter(F.col("kind") == "redirect").select(
+        "site", F.col("url").alias("from_url"), "to_url", F.col("gkey.q").alias("keyword"), "severity", "clicks_from", "clicks_to"
     )
 
 
+def consolidation_totals(plan: DataFrame) -> DataFrame:
+    """G04. Groups of a site that redirect something, and its redirects."""
+    return plan.groupBy("site").agg(F.countDistinct("keyword").alias("total_groups"), F.count("*").alias("total_redirects"))
+
+
 def consolidation_conflicts(members: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """G04. Why a URL of a group was not redirected to that group's canonical URL."""
-    states = url_states(members) if states is None else states
+    rows = cut(_rows(members))
+    states = _states(rows) if states is None else states
     st = states.select("site", "url", "kind", "to_url", F.col("gkey").alias("at"))
-    rows = _rows(members).join(st, ["site", "url"], "left")
+    rows = rows.join(st, ["site", "url"], "left")
     moved = F.coalesce((F.col("kind") == "redirect") & (F.col("at") < F.col("gkey")), F.lit(False))
     rows = rows.withColumn("moved", moved)
     best = rows.groupBy(*_KEYS).agg(F.min(F.when(~F.col("moved"), F.col("fit"))).alias("best"))
