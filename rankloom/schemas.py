@@ -15,12 +15,6 @@ STR, LONG, DBL, DATE, TS = (
     T.TimestampType(),
 )
 
-PAGE_METRICS = _s(
-    ("site", STR), ("url", STR), ("clicks", LONG), ("impressions", LONG), ("ctr", DBL), ("position", DBL)
-)
-QUERY_PAGE = _s(
-    ("site", STR), ("query", STR), ("url", STR), ("clicks", LONG), ("impressions", LONG), ("ctr", DBL), ("position", DBL)
-)
 LANDING_PAGE = _s(
     ("site", STR), ("end_date", DATE), ("url", STR), ("clicks", DBL), ("impressions", DBL), ("ctr", DBL), ("position", DBL)
 )
@@ -28,14 +22,12 @@ LANDING_QUERY = _s(
     ("site", STR), ("end_date", DATE), ("query", STR), ("url", STR),
     ("clicks", DBL), ("impressions", DBL), ("ctr", DBL), ("position", DBL),
 )
-SITEMAP = _s(("site", STR), ("url", STR), ("pos", LONG))
 CONTENT = _s(("verdict", STR), ("density", DBL), ("words", LONG), ("diversity", DBL), ("entities", LONG))
 HISTORY = _s(
-    ("site", STR), ("date", DATE), ("url", STR), ("position", DBL), ("clicks", LONG), ("impressions", LONG), ("content", CONTENT)
-)
-INSPECTIONS = _s(
-    ("site", STR), ("url", STR), ("date", DATE), ("verdict", STR), ("category", STR), ("coverage_state", STR), ("last_crawl", TS)
+    ("site", STR), ("date", DATE), ("period_start", DATE), ("period_end", DATE), ("url", STR), ("position", DBL), ("clicks", LONG), ("impressions", LONG), ("content", CONTENT)
 )
+#: A landed snapshot row: ``run`` grows with every run of a site and date, and a later run replaces an earlier one whole.
+LANDED = T.StructType([*HISTORY.fields, T.StructField("run", LONG, True)])
 JUDGEMENT = _s(
     ("verdict", STR), ("base_recomendada", STR), ("lacunas", T.ArrayType(STR)), ("resumo", STR)
 )

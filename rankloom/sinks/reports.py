@@ -123,6 +123,14 @@ def portfolio_rows(summary: DataFrame) -> DataFrame:
     )
 
 
+def drop_partitions(folders: DataFrame) -> None:
+    """Remove the partition folders named in the rows, a few paths of expired dates."""
+    jvm = folders.sparkSession._jvm
+    for r in folders.toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["folder"]))
+        path.getFileSystem(folders.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_history(history: DataFrame, path: str) -> None:
     """K03. Rewrite only the site and date partitions that are in the rows."""
     history.write.partitionBy("site", "date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

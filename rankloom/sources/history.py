@@ -17,5 +17,6 @@ def legacy_history(documents: DataFrame) -> DataFrame:
     """(json) documents to flat history rows; an unreadable document gives none."""
     d = documents.select(F.from_json("json", _LEGACY).alias("d")).filter(F.col("d.site").isNotNull())
     snaps = d.select("d.site", F.explode("d.snapshots").alias("s"))
-    rows = snaps.select("site", F.col("s.date").cast("date").alias("date"), F.explode("s.urls").alias("url", "m"))
-    return rows.select("site", "date", "url", "m.position", "m.clicks", "m.impressions", "m.content")
+    day = lambda c: F.col(f"s.{c}").cast("date")
+    rows = snaps.select("site", day("date").alias("date"), day("period.start").alias("period_start"), day("period.end").alias("period_end"), F.explode("s.urls").alias("url", "m"))
+    return rows.select("site", "date", "period_start", "period_end", "url", "m.position", "m.clicks", "m.impressions", "m.content")

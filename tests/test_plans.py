@@ -48,16 +48,31 @@ def test_keyword_report(spark):
 
 
 def test_snapshot_stream(spark, tmp_path):
-    h = Derived(spark, FOLDER).history().filter("date < '1995-06-01'")
+    h = Derived(spark, FOLDER).history().filter("date < '1995-06-01'").withColumns({"period_start": F.date_sub("date", 27), "period_end": F.col("date"), "run": F.lit(1).cast("long")})
     h = h.withColumn("content", F.col("content").cast("struct<verdict:string,density:double,words:bigint,diversity:double,entities:bigint>"))
     landing, table, state = (str(tmp_path / n) for n in ("landing", "history", "state"))
-    h.coalesce(1).write.parquet(landing)
-    upsert_stream(landed_snapshots(spark, landing), table, state).awaitTermination(120)
+    h.repartition(4).write.parquet(landing)
+    upsert_stream(landed_snapshots(spark, landing, files_per_batch=1), table, state, keep=10**6).awaitTermination(300)
+    assert read_history(spark, table).count() == h.count()
     last = h.agg(F.max("date")).first()[0]
-    again = h.filter(F.col("date") == last).withColumn("position", F.lit(1.5)).limit(1)
+    again = h.filter(F.col("date") == last).withColumns({"position": F.lit(1.5), "run": F.lit(2).cast("long")}).limit(1)
     again.coalesce(1).write.mode("append").parquet(landing)
-    upsert_stream(landed_snapshots(spark, landing), table, state).awaitTermination(120)
+    upsert_stream(landed_snapshots(spark, landing), table, state, keep=10**6).awaitTermination(120)
     got, key = read_history(spark, table), again.first()
     assert got.filter(F.col("date") != last).count() == h.filter(F.col("date") != last).count()
     same = got.filter((F.col("date") == last) & (F.col("site") == key.site)).collect()
     assert [r.position for r in same] == [1.5]
+
+
+def test_snapshot_stream_keeps_the_newest_dates(spark, tmp_path):
+    rows = [("s/1", f"2024-01-{d:02d}", f"u{u}", 1.0 * d) for d in range(1, 31) for u in range(2)] + [("s/1", f"2024-02-{d:02d}", "u", 1.0) for d in range(1, 6)]
+    h = spark.createDataFrame(rows, "site string, date string, url string, position double").select(
+        "site", F.col("date").cast("date").alias("date"), F.col("date").cast("date").alias("period_start"), F.col("date").cast("date").alias("period_end"), "url", "position",
+        F.lit(1).cast("long").alias("clicks"), F.lit(1).cast("long").alias("impressions"),
+        F.lit(None).cast("struct<verdict:string,density:double,words:bigint,diversity:double,entities:bigint>").alias("content"), F.lit(1).cast("long").alias("run"))
+    landing, table, state = (str(tmp_path / n) for n in ("landing", "history", "state"))
+    h.repartition(3).write.parquet(landing)
+    upsert_stream(landed_snapshots(spark, landing, 1), table, state).awaitTermination(300)
+    got = read_history(spark, table)
+    assert got.select("date").distinct().count() == 30 and str(got.agg(F.min("date")).first()[0]) == "2024-01-06"
+    assert got.filter("date < '2024-02-01'").count() == 50 and got.filter("period_end = date").count() == 55
