@@ -35,7 +35,7 @@ Q["S13_snapshot_metrics"] = f"""select site, lower(string_split(url, '/')[-1]) p
   where date = (select max(date) from history0 x where x.site = h.site)"""
 Q["S14_latest_artifact"] = f"""select site, date, path, is_legacy from (select {site('o_custkey')} site, o_orderdate::date date, '/p/' || o_orderkey || '_poda.csv' path, o_orderstatus = 'F' is_legacy,
   row_number() over (partition by o_custkey % 5 order by o_orderstatus = 'F', o_orderdate::date desc, '/p/' || o_orderkey || '_poda.csv') rn from orders) where rn = 1"""
-Q["S15_history_scan"] = "select site, date, url, position, clicks, impressions, case when has_content then verdict end verdict, case when has_content then words end words from history"
+Q["S15_history_scan"] = "select site, date, (date - 27)::date period_start, date period_end, url, position, clicks, impressions, case when has_content then verdict end verdict, case when has_content then words end words from history"
 
 # ---- sinks ----
 Q["K01_indexing_report"] = "select site, date, url, category, verdict, coverage_state, strftime(last_crawl, '%Y-%m-%dT%H:%M:%S') last_crawl from inspections"
@@ -111,7 +111,7 @@ CTRC = lambda f: f"coalesce({rnd(f'avg(least(1.0, ctr / ({expected_ctr(chr(112)
 HEALTH = f"""(select *, score, case when score >= 80 then 'Excelente' when score >= 60 then 'Bom' when score >= 40 then 'Regular' else 'Crítico' end grade, indexation_score is not null has_indexation_data from (
   select *, {rnd('coalesce(indexation_score * 0.4 + position_score * 0.4 + ctr_score * 0.2, position_score * (0.4 / 0.6) + ctr_score * (0.2 / 0.6))', 1)} score from (
   select site, {POS} position_score, {CTRC('has_data and position <= 10')} ctr_score from position_rows group by site) left join (
-  select site, {rnd("count(*) filter (category = 'indexed') / count(*) * 100", 1)} indexation_score from inspections i group by site) using (site)))"""
+  select site, {rnd("count(*) filter (category = 'indexed') / count(*) * 100", 1)} indexation_score from inspections i where date = (select max(date) from inspections j where j.site = i.site) group by site) using (site)))"""
 HEALTH = HEALTH.replace("select *, score, case", "select *, case", 1)
 Q["F03_component_alerts"] = f"""select site, component, label, value, case when value < 50 then 'critico' else 'alto' end severity, component || ': ' || printf('%.1f', value) || '/100' message from (
   select site, 'indexation' component, 'Indexação' as label, indexation_score as value from {HEALTH} union all select site, 'position', 'Posicionamento', position_score from {HEALTH} union all select site, 'ctr', 'CTR vs benchmark', ctr_score from {HEALTH}) where value < 60"""
@@ -171,7 +171,8 @@ W02 = f"""(select site, series, rank, {DIR('fm', 'lm', 'len(v) < 6')} trend, lis
 Q["W02_date_trends"] = f"select * from {W02}"
 Q["W03_short_trend"] = f"""select site, series, {DIR('list_avg(u[1:3])', 'list_avg(u[len(u) - 2:len(u)])', 'len(u) < 6')} trend, list_max(v)::bigint peak, coalesce(list_filter(v, lambda x: x > 0)[-1], 0)::bigint latest, len(list_filter(v, lambda x: x > 0)) < 8 sparse from (
   select *, v[1:coalesce(list_max(list_transform(v, lambda x, i: case when x <> 0 then i else 0 end)), 0)] u from {SERIES('impressions')})"""
-Q["W08_trend_chart_series"] = f"""select site, rank, series[1:35] as label, date, v as value from {SERIES_ROWS('impressions')} where rank < 6"""
+Q["W08_trend_latest"] = f"""select site, rank, series, series[1:35] as label, trend, latest from {W02} where rank < 6"""
+Q["W08_trend_chart_series"] = f"""select site, rank, series, series[1:35] as label, date, v as value from {SERIES_ROWS('impressions')} where rank < 6"""
 Q["J15_trend_x_best_position"] = f"""select t.site, t.series, t.rank, t.trend, t.peak, t.latest, b.position best_position, b.impressions best_impressions from {W02} t left join (
   select site, replace(query, 'kw ', 'k') series, position, impressions, row_number() over (partition by site, query order by position, impressions desc) rn from query_page) b on b.site = t.site and b.series = t.series and b.rn = 1"""
 Q["J17_brand_entity"] = f"""select site, domain, brand, name, url, score from (select *, row_number() over (partition by site order by score desc, name, url) rn from {CAND}) where rn = 1 and {PLAUSIBLE}"""
@@ -263,8 +264,8 @@ Q["A23_content_verdict"] = f"select * from {VERDICT}"
 Q["L06_verdict_listing"] = f"""select site, url, verdict, list_position(['raso', 'over_otimizado', 'atencao', 'ok'], verdict)::bigint verdict_rank, word_count, keyword_density, densest_keyword, density_source, vocab_diversity from {VERDICT}"""
 J16 = f"select p.site, date '2024-01-28' date, p.url, p.position, p.clicks, p.impressions, v.verdict, v.word_count::bigint words, v.keyword_density density from position_rows p left join {VERDICT} v on v.site = p.site and v.url = p.url where has_data"
 Q["J16_content_x_history"] = J16
-K03 = f"""(select site, date, url, position, clicks, impressions, case when has_content then verdict end verdict from history h where not (date = date '2001-03-01' and site in (select site from position_rows where has_data))
-  union all select site, date '2001-03-01', url, position, clicks, impressions, verdict from ({J16}))"""
+K03 = f"""(select site, date, (date - 27)::date period_start, date period_end, url, position, clicks, impressions, case when has_content then verdict end verdict from history h where not (date = date '2001-03-01' and site in (select site from position_rows where has_data))
+  union all select site, date '2001-03-01', date '2001-02-02', date '2001-03-01', url, position, clicks, impressions, verdict from ({J16}))"""
 Q["K03_history_upsert"] = f"select * from {K03} k where date in (select date from (select site, date, row_number() over (partition by site order by date desc) rn from (select distinct site, date from {K03})) d where d.rn <= 30 and d.site = k.site)"
 RUN = f"""(select s.site, case when p.site is not null then 'OK' else 'ERRO' end status, case when p.site is null then 'sem URLs no sitemap' end error, total_urls, urls_with_data, h.score health_score, h.grade health_grade, avg_position, avg_ctr ctr,
   case when p.site is not null then coalesce(n.n, 0) end snapshots, case when p.site is not null then coalesce(c.n, 0) end cannibalization_groups, case when p.site is not null then coalesce(raso, 0) end raso, case when p.site is not null then coalesce(over_otimizado, 0) end over_otimizado,
@@ -336,6 +337,7 @@ MOVES = f"""(select m.site, m.u from_url, m.h to_url, m.q keyword, f.severity, f
   join cann_members f on f.site = m.site and f.query = m.q and f.url = m.u join cann_members t on t.site = m.site and t.query = m.q and t.url = m.h)"""
 Q["G04_consolidation_plan"] = f"select * from {MOVES}"
 Q["G04_consolidation_conflicts"] = f"select site, c.q keyword, c.u url, c.kind as conflict, c.h kept_target from (select site, unnest(w.clash) c from {WALK})"
+Q["G04_consolidation_totals"] = f"select site, count(distinct keyword) total_groups, count(*) total_redirects from {MOVES} group by site"
 Q["K05_redirect_csv"] = f"select * from {MOVES}"
 FROM_PATH = f"case when {path('from_url')} = '' then '/' else {path('from_url')} end"
 Q["K07_redirect_rules"] = f"""select site, from_url, '# keyword: ' || keyword || '  (severidade ' || strip_accents(severity) || ')' as comment, format, case when format = 'nginx' then 'location = ' || {FROM_PATH} || ' {{ return 301 ' || to_url || '; }}'

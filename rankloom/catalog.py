@@ -95,10 +95,10 @@ def s15(d):
     h = d.history().select("site", "date", "url", F.struct("position", "clicks", "impressions", "content").alias("m"))
     urls = F.map_from_entries(F.array_sort(F.collect_list(F.struct("url", "m"))))
     snap = h.groupBy("site", "date").agg(urls.alias("urls")).select("site", F.struct(
-        F.col("date").cast("string").alias("date"), F.struct(F.col("date").cast("string").alias("start"), F.col("date").cast("string").alias("end")).alias("period"), "urls").alias("s"))
+        F.col("date").cast("string").alias("date"), F.struct(F.date_sub("date", 27).cast("string").alias("start"), F.col("date").cast("string").alias("end")).alias("period"), "urls").alias("s"))
     docs = snap.select(F.to_json(F.struct("site", F.array("s").alias("snapshots"))).alias("json"))
     out = stored.legacy_history(docs.unionByName(d.table("region").select(F.concat(F.lit("{broken "), "r_name").alias("json"))))
-    return out.select("site", "date", "url", "position", "clicks", "impressions", COL("content.verdict").alias("verdict"), COL("content.words").alias("words"))
+    return out.select("site", "date", "period_start", "period_end", "url", "position", "clicks", "impressions", COL("content.verdict").alias("verdict"), COL("content.words").alias("words"))
 
 
 # ---- sinks: the rows a file would hold -------------------------------------------------------------
@@ -290,7 +290,7 @@ def _members_of_groups(d):
 
 
 def _health(d):
-    return ranking.health_score(d.position_rows(), ranking.indexing_summary(d.inspections()))
+    return ranking.health_score(d.position_rows(), ranking.indexing_summary(ranking.newest_report(d.inspections())))
 
 
 def _run_summary(d):
@@ -321,10 +321,13 @@ def w06(d):
 
 
 def k03(d):
-    h = d.history()
+    def period(t):
+        return t.withColumns({"period_start": F.date_sub("date", 27), "period_end": F.col("date")})
+
+    h = period(d.history())
     today = d.position_rows().withColumn("date", F.lit("2001-03-01").cast("date"))
-    snap = hist.with_content(today, d.verdicts())
-    return hist.upsert_snapshot(h, snap.select(*h.columns)).select("site", "date", "url", "position", "clicks", "impressions", COL("content.verdict").alias("verdict"))
+    snap = period(hist.with_content(today, d.verdicts()))
+    return hist.upsert_snapshot(h, snap.select(*h.columns)).select("site", "date", "period_start", "period_end", "url", "position", "clicks", "impressions", COL("content.verdict").alias("verdict"))
 
 
 QUERIES = {
@@ -451,8 +454,9 @@ QUERIES = {
     "W05_history_pivot": lambda d: hist.history_pivot(d.history()),
     "W06_dominant_ngram": w06,
     "W07_history_top_series": lambda d: hist.history_top_series(d.history()),
-    "W08_trend_chart_series": lambda d: trends.trend_chart(_trends(d)).select("site", "rank", "label", F.explode(F.arrays_zip("dates", "values")).alias("p")).select(
-        "site", "rank", "label", COL("p.dates").alias("date"), COL("p.values").alias("value")),
+    "W08_trend_chart_series": lambda d: trends.trend_chart(_trends(d)).select("site", "rank", "series", "label", F.explode(F.arrays_zip("dates", "values")).alias("p")).select(
+        "site", "rank", "series", "label", COL("p.dates").alias("date"), COL("p.values").alias("value")),
+    "W08_trend_latest": lambda d: trends.trend_latest(_trends(d)),
     # 2.8 ordering and sets
     "L01_nearest_pairs": lambda d: sim.nearest_pairs(d.vectors()),
     "L02_group_priority": _priority,
@@ -473,6 +477,7 @@ QUERIES = {
     "G03_build_clusters": lambda d: sim.cluster_table(_members(d)),
     "G04_consolidation_plan": lambda d: cons.consolidation_plan(_members_of_groups(d)),
     "G04_consolidation_conflicts": lambda d: cons.consolidation_conflicts(_members_of_groups(d)),
+    "G04_consolidation_totals": lambda d: cons.consolidation_totals(cons.consolidation_plan(_members_of_groups(d))),
     "G05_pruning_plan": lambda d: _plan(d).withColumn("top_queries", F.array_join("top_queries", "|")),
     # 2.10 text features and hand-off
     "M01_tfidf_vectors": lambda d: vec.tfidf(d.texts().select("site", "page", "text")).withColumn("weight", F.round("weight", 6)),

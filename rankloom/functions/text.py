@@ -2,7 +2,6 @@
 except entity unescaping, which needs the HTML5 entity table."""
 
 import html
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -19,23 +18,29 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 @lru_cache(maxsize=1)
 def _fold_alphabet():
-    """Letters of the BMP whose compatibility decomposition is one base letter plus marks."""
+    """Latin letters whose compatibility decomposition is one base letter plus marks."""
     src, dst = [], []
-    for cp in range(0xA0, min(0x10000, sys.maxunicode)):
-        ch = chr(cp)
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch and base.isascii():
-            src.append(ch)
+    for cp in range(0xA0, 0x0250):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(cp) and base.isascii():
+            src.append(chr(cp))
             dst.append(base)
     return "".join(src), "".join(dst)
 
 
+@pandas_udf(StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+
+
 def fold_accents(c) -> Column:
-    """X10a. Accented letters become their base letter; loose combining marks go."""
+    """X10a. The compatibility decomposition without combining marks, in any script.
+
+    Latin letters are translated in the JVM; only texts that still hold something outside ASCII go on to Python.
+    """
     src, dst = _fold_alphabet()
-    return F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
+    latin = F.translate(c, src, dst)
+    return F.coalesce(_decomposed(F.when(latin.rlike(r"[^\x00-\x7F]"), latin)), latin)
 
 
 def ascii_fold(c) -> Column:

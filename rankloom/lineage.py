@@ -1,6 +1,4 @@
-"""Lineage and spread of rows.
-
-A long lineage is cut by writing the rows once to the shared checkpoint folder.
+"""A long lineage is cut by writing the rows once to the shared checkpoint folder.
 
 Iterative jobs (components, greedy plans, linkage) call ``cut`` once a round. A
 written table is computed once, survives lost executors and gives the next
@@ -34,12 +32,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/rankloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before work that is heavy per row, when the files have fewer splits than there are cores.
-
-    A table with enough splits, which is any large one, is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.urls import slug_phrase
 from rankloom.functions.wordlists import VERDICT_ORDER
-from rankloom.lineage import spread
 from rankloom.operators.entities import thousandths
 
 MIN_WORDS, THIN_WORDS = 300, 180
@@ -81,7 +80,7 @@ def content_verdicts(pages: DataFrame, keywords: DataFrame, signals: DataFrame)
     """A23. Flags and verdict of every page (site, url, text)."""
     page = ["site", "url"]
     # the raw text moves at most once: everything derived from it comes after the joins
-    m = text_measures(spread(pages.select(*page, "text")).join(keywords, page, "left").join(signals, page, "left"))
+    m = text_measures(pages.select(*page, "text").join(keywords, page, "left").join(signals, page, "left"))
     m = m.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))).withColumn(
         "slug", slug_phrase(F.col("url"))
     ).withColumn("slug_folded", tx.fold_accents(F.col("slug")))

@@ -70,15 +70,15 @@ def score_prompts(prompts: DataFrame, chat) -> DataFrame:
     return prompts.select("site", "cluster", "system", "prompt").mapInPandas(run, "site string, cluster string, reply string, error string")
 
 
-def judgements(replies: DataFrame) -> DataFrame:
-    """M04. Verdict table of the replies; an unreadable reply keeps its first 200 characters."""
+def judgements(replies: DataFrame, raw_chars: int = 200) -> DataFrame:
+    """M04. Verdict table of the replies; an unreadable reply keeps its first ``raw_chars`` characters."""
     body = model_json(F.col("reply"))
     j = replies.withColumn("body", body).withColumn("v", F.from_json("body", JUDGEMENT))
     blank = F.array().cast("array<string>")
     return j.select(
         "site", "cluster", F.coalesce("v.verdict", F.lit("?")).alias("verdict"),
         F.coalesce("v.base_recomendada", F.lit("")).alias("base_page"), F.coalesce("v.lacunas", blank).alias("gaps"),
-        F.when(F.col("body").isNull(), F.substring("reply", 1, 200)).otherwise(F.coalesce("v.resumo", F.lit(""))).alias("summary"),
+        F.when(F.col("body").isNull(), F.substring("reply", 1, raw_chars)).otherwise(F.coalesce("v.resumo", F.lit(""))).alias("summary"),
         F.col("body").isNotNull().alias("raw_ok"),
     )
 

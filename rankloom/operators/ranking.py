@@ -109,6 +109,12 @@ def component_alerts(health: DataFrame, alert_below: float = 40.0, critical_belo
     )
 
 
+def newest_report(inspections: DataFrame) -> DataFrame:
+    """Every site's inspections of its newest date."""
+    newest = inspections.groupBy("site").agg(F.max("date").alias("date"))
+    return inspections.join(newest, ["site", "date"], "left_semi")
+
+
 def pages_without_impressions(rows: DataFrame) -> DataFrame:
     """F01."""
     return rows.filter(~F.col("has_data")).select("site", "url", F.lit("Revisar conteúdo ou consolidar").alias("suggestion"))

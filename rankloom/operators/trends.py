@@ -85,9 +85,14 @@ def short_trend(series: DataFrame, sparse_points: int = 8) -> DataFrame:
     )
 
 
-def trend_chart(trends: DataFrame, top: int = 6) -> DataFrame:
-    """W08. The first series of every site on the shared date axis."""
-    return trends.filter(F.col("rank") < top).select("site", "rank", F.substring("series", 1, 35).alias("label"), "dates", "values")
+def trend_chart(trends: DataFrame, top: int = 6, label_chars: int = 35) -> DataFrame:
+    """W08. The first series of every site on the shared date axis; labels are cut, ``series`` is whole."""
+    return trends.filter(F.col("rank") < top).select("site", "rank", "series", F.substring("series", 1, label_chars).alias("label"), "dates", "values")
+
+
+def trend_latest(trends: DataFrame, top: int = 6, label_chars: int = 35) -> DataFrame:
+    """W08. The chart's other form: the latest value of the first series of every site."""
+    return trends.filter(F.col("rank") < top).select("site", "rank", "series", F.substring("series", 1, label_chars).alias("label"), "trend", "latest")
 
 
 def trend_positions(trends: DataFrame, query_page: DataFrame) -> DataFrame:

@@ -31,21 +31,20 @@ class SearchTables:
     categories_raw: DataFrame
 
 
-def ranking_report(t: SearchTables, date: str) -> dict[str, DataFrame]:
+def ranking_report(t: SearchTables, date: str, content_pages: int | None = 8) -> dict[str, DataFrame]:
     """Positions, health, cannibalization with its redirect plan, trends, content, and the new history.
 
-    The snapshot of ``date`` is built after the content results, which it carries.
+    The snapshot of ``date`` is built after the content results, which it carries. ``content_pages``: content is analysed for so many of a
+    site's best opportunity pages, None for all its pages.
     """
     rows = cut(ranking.position_rows(t.sitemap, t.metrics))
-    newest = t.inspections.groupBy("site").agg(F.max("date").alias("date"))
-    indexing = ranking.indexing_summary(t.inspections.join(newest, ["site", "date"], "left_semi"))
+    indexing = ranking.indexing_summary(ranking.newest_report(t.inspections))
     health = cut(ranking.health_score(rows, indexing))
     members = cut(ranking.cannibalization_members(t.query_page))
     states = cut(consolidation.url_states(members))
     redirects = consolidation.consolidation_plan(members, states)
     named, topics = entities.entity_filter(t.entities_raw), entities.category_filter(t.categories_raw)
-    # texts are read for the pages worth a look only
-    near = ranking.opportunity_urls(rows).select("site", "url")
+    near = (rows if content_pages is None else ranking.opportunity_urls(rows, content_pages)).select("site", "url")
     signals = content.entity_signals(t.entities_raw.select("site", "url").distinct(), named, topics)
     verdicts = cut(content.content_verdicts(t.texts.join(near, ["site", "url"], "left_semi"), content.target_keywords(t.query_page), signals))
     snapshot = history.with_content(rows.withColumn("date", F.lit(date).cast("date")), verdicts).select(*t.history.columns)
