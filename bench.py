@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rankloom.catalog import QUERIES  # noqa: E402
+from rankloom.lineage import clean  # noqa: E402
 from rankloom.sources.derived import Derived  # noqa: E402
 
 HEADLINE = (
@@ -34,6 +35,7 @@ def main():
         start = time.perf_counter()
         QUERIES[name](Derived(spark, folder)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clean(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": folder.rstrip("/").rsplit("sf", 1)[-1]}))
 
 

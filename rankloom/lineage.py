@@ -2,9 +2,12 @@
 
 Iterative jobs (components, greedy plans, linkage) call ``cut`` once a round. A
 written table is computed once, survives lost executors and gives the next
-round file sizes to plan with.
+round file sizes to plan with. All tables of an application lie in one run folder, which ``clean`` removes when
+its results have been read.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -14,21 +17,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache(maxsize=1)
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="rankloom-ckpt-")
+    root = tempfile.mkdtemp(prefix="rankloom-ckpt-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a folder of our own only in local mode without one."""
+    """The shared folder the session names; in local mode without one, a folder of our own that goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root
+        return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_root()
 
 
+@lru_cache(maxsize=None)
+def _run_name(application: str) -> str:
+    return f"rankloom-{application}-{uuid.uuid4().hex[:8]}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables and files."""
+    return f"{checkpoint_root(spark)}/{_run_name(spark.sparkContext.applicationId)}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the run folder. Call it when no DataFrame that was built from ``cut`` tables is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/rankloom-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -27,7 +28,10 @@ def test_cut_keeps_rows_and_schema(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and kept.count() == 5 and kept.inputFiles()
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert lineage.spread(wide) is wide
-    assert lineage.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_clean_removes_the_run_folder(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "_run_name", lambda application: "own-run")
+    kept = lineage.cut(spark.range(3))
+    folder = Path(lineage.run_folder(spark))
+    assert kept.count() == 3 and list(folder.iterdir())
+    lineage.clean(spark)
+    assert not folder.exists()
