@@ -68,6 +68,11 @@ SEG = "trim(regexp_replace(url, '^https?://[^/]+', ''), '/')"
 Q["X08_slug_from_url"] = f"select site, url, lower(case when {SEG} = '' then 'index' else string_split({SEG}, '/')[-1] end) slug from sitemap"
 Q["X09_href_slug"] = f"select page, pos::int pos, href, {href_slug('href')} slug from links"
 Q["X10_fold_accents"] = f"select doc_id, {folded('text')} folded, {ascii_fold('text')} plain from documents"
+# written out: DuckDB has no compatibility decomposition
+ODD = [("preco...barato", "preco...barato", "preco barato"), ("1⁄2 fim No", "12 fim No", "12 fim no"), ("Full width", "Full width", "full width"), ("Иод елка", " ", ""), ("αλφα", "", ""),
+       ("l·uz ijs dzip", "luz ijs dzip", "luz ijs dzip"), ("123 kg", "123 kg", "123 kg"), ("straße ørn", "strae rn", "strae rn"), ("ete", "ete", "ete")]
+Q["X10_fold_other_letters"] = f"""select n_nationkey, f || ' ' || lower(n_name) folded, p || ' ' || lower(n_name) plain, trim(k || ' ' || replace(lower(n_name), '_', ' ')) keyword from nation
+  join (values {", ".join(f"({i}, '{f}', '{p}', '{k}')" for i, (f, p, k) in enumerate(ODD))}) v(i, f, p, k) on i = n_nationkey % {len(ODD)}"""
 Q["X11_normalize_keyword"] = "select slug, norm, array_to_string(tokens, ' ') tokens from items"
 Q["X12_word_count"] = "select url, len(tok)::int words from texts"
 Q["X13_keyword_density"] = f"""select url, phrase, occ::int occurrences, {rnd('occ * greatest(1, len(list_filter(tok[1:2], lambda w: true))) / len(tok) * 100.0', 2)} density from (
@@ -105,7 +110,7 @@ Q["X26_content_hash"] = f"select page, {HASH} hash from texts"
 
 # ---- filters ----
 Q["F01_pages_without_impressions"] = "select site, url, 'Revisar conteúdo ou consolidar' suggestion from position_rows where not has_data"
-Q["F02_opportunity_urls"] = """select * from (select site, url || ' ' || query url, position, impressions, row_number() over (partition by site order by impressions desc, url || ' ' || query)::int as rank from query_page where position between 4 and 10) where rank <= 8"""
+Q["F02_opportunity_urls"] = """select * from (select site, url, position, impressions, row_number() over (partition by site order by impressions desc, url)::int as rank from position_rows where has_data and position between 4 and 10) where rank <= 8"""
 POS = f"greatest(0.0, {rnd('100.0 - (coalesce(sum(position * impressions) filter (has_data) / nullif(sum(impressions) filter (has_data), 0), avg(position) filter (has_data)) - 1.0) * 2.0', 1)})"
 CTRC = lambda f: f"coalesce({rnd(f'avg(least(1.0, ctr / ({expected_ctr(chr(112) + chr(111) + chr(115) + chr(105) + chr(116) + chr(105) + chr(111) + chr(110))}))) filter ({f}) * 100.0', 1)}, 50.0)"
 HEALTH = f"""(select *, score, case when score >= 80 then 'Excelente' when score >= 60 then 'Bom' when score >= 40 then 'Regular' else 'Crítico' end grade, indexation_score is not null has_indexation_data from (
@@ -186,7 +191,7 @@ Q["A01_position_summary"] = f"select * from {SUMMARY}"
 Q["A02_indexing_summary"] = f"""select s.site, s.n total_urls, c.category, count(i.url) total, {rnd('count(i.url) / s.n * 100', 1)} as percent from (select site, count(*) n from inspections group by site) s
   cross join (values ('indexed'), ('not_indexed'), ('warning'), ('unknown')) c(category) left join inspections i on i.site = s.site and i.category = c.category group by s.site, s.n, c.category"""
 Q["A03_position_component"] = f"select site, {POS} position_score from position_rows group by site"
-Q["A04_ctr_component"] = f"select site, {CTRC('position <= 10')} ctr_score from query_page group by site"
+Q["A04_ctr_component"] = f"select site, {CTRC('has_data and position <= 10')} ctr_score from position_rows group by site"
 Q["A05_health_score"] = f"select site, position_score, ctr_score, indexation_score, score, grade, has_indexation_data from {HEALTH}"
 Q["A06_cannibalization"] = "select * from cann"
 Q["A06_cannibalization_members"] = "select * from cann_members"
@@ -290,7 +295,7 @@ Q["W07_history_top_series"] = f"""with t as (select * from (select site, url, ro
 Q["L01_nearest_pairs"] = f"""select * from (select x.site, least(x.page, y.page) a, greatest(x.page, y.page) b, {rnd('list_cosine_similarity(x.vec::double[], y.vec::double[])', 3)} sim,
   row_number() over (partition by x.site order by {rnd('list_cosine_similarity(x.vec::double[], y.vec::double[])', 3)} desc, least(x.page, y.page), greatest(x.page, y.page))::int as rank from vectors x join vectors y on x.site = y.site and x.page < y.page) where rank <= 15"""
 Q["L02_group_priority"] = "select * from priority"
-Q["L03_opportunity_ranking"] = f"select site, url || ' ' || query url, position, clicks, impressions, ctr, {band('position', 'band')} band, {rnd(expected_ctr('position'), 4)} expected_ctr, score, {LEVEL} as level from {SCORED} where position <= 10"
+Q["L03_opportunity_ranking"] = f"select site, url, position, clicks, impressions, ctr, {band('position', 'band')} band, {rnd(expected_ctr('position'), 4)} expected_ctr, score, {LEVEL} as level from {SCORED.replace('query_page', 'position_rows')} where has_data and position <= 10"
 Q["L04_band_listing"] = f"select site, url, position, clicks, impressions, ctr, {band('position', 'rank')} band_rank, {band('position', 'band')} band, {band('position', 'action')} as action from position_rows"
 Q["L05_group_listing"] = "select site, case when url = best_url then query end keyword, query, url, position, clicks, impressions, severity, severity_score, url_count from cann_members"
 Q["U01_ghosts_union_exports"] = "select site, url, match_key, clicks, impressions, ctr, position, origin from olds"

@@ -128,6 +128,20 @@ def _odd_urls(d):
     return d.table("supplier").select(k, F.explode(forms).alias("url"))
 
 
+#: Texts whose decomposition is more than one letter, or in another script; the SQL check holds their folded forms.
+ODD_LETTERS = ("preço…barato", "½ ﬁm №", "Ｆｕｌｌ ｗｉｄｔｈ", "Йод ёлка", "άλφα", "ŀuz ĳs ǆip", "①②③ ㎏", "straße ørn", "e\u0301te\u0300")
+
+
+def _odd_texts(d):
+    k = F.pmod("n_nationkey", F.lit(len(ODD_LETTERS))).cast("int")
+    return d.table("nation").select("n_nationkey", F.concat(F.get(F.array(*[F.lit(x) for x in ODD_LETTERS]), k), F.lit(" "), F.lower("n_name")).alias("text"))
+
+
+def x10_odd(d):
+    t = F.col("text")
+    return _odd_texts(d).select("n_nationkey", tx.fold_accents(t).alias("folded"), tx.ascii_fold(t).alias("plain"), tx.normalize_keyword(t).alias("keyword"))
+
+
 def x05(d):
     return pruning.home_pages(d.sitemap())
 
@@ -370,6 +384,7 @@ QUERIES = {
     "X08_slug_from_url": lambda d: d.sitemap().select("site", "url", ux.slug_from_url(F.col("url")).alias("slug")),
     "X09_href_slug": lambda d: d.links().select("page", "pos", "href", ux.href_slug(F.col("href")).alias("slug")),
     "X10_fold_accents": lambda d: d.table("documents").select("doc_id", tx.fold_accents(F.col("text")).alias("folded"), tx.ascii_fold(F.col("text")).alias("plain")),
+    "X10_fold_other_letters": x10_odd,
     "X11_normalize_keyword": lambda d: kw.keyword_items(d.keyword_plan()).select("slug", "norm", F.array_join("tokens", " ").alias("tokens")),
     "X12_word_count": lambda d: d.texts().select("url", F.size(tx.tokenize(F.col("text"))).alias("words")),
     "X13_keyword_density": x13,
@@ -388,7 +403,7 @@ QUERIES = {
     "X26_content_hash": lambda d: vec.hashed(d.texts(), "m", "b").select("page", "hash"),
     # 2.4 filters
     "F01_pages_without_impressions": lambda d: ranking.pages_without_impressions(d.position_rows()),
-    "F02_opportunity_urls": lambda d: ranking.opportunity_urls(d.query_page().withColumn("has_data", F.lit(True)).withColumn("url", F.concat_ws(" ", "url", "query"))).select("site", "url", "position", "impressions", "rank"),
+    "F02_opportunity_urls": lambda d: ranking.opportunity_urls(d.position_rows()).select("site", "url", "position", "impressions", "rank"),
     "F03_component_alerts": lambda d: ranking.component_alerts(_health(d), 60.0, 50.0),
     "F04_underlinked_pages": lambda d: links.underlinked_pages(links.inlink_report(d.known_pages(), d.edges(), d.known_metrics()), max_inlinks=4),
     "F05_entity_filter": lambda d: d.entities(),
@@ -419,7 +434,7 @@ QUERIES = {
     "A01_position_summary": lambda d: ranking.position_summary(d.position_rows()),
     "A02_indexing_summary": lambda d: ranking.indexing_summary(d.inspections()),
     "A03_position_component": lambda d: ranking.position_component(d.position_rows()),
-    "A04_ctr_component": lambda d: ranking.ctr_component(d.query_page().withColumn("has_data", F.lit(True))),
+    "A04_ctr_component": lambda d: ranking.ctr_component(d.position_rows()),
     "A05_health_score": _health,
     "A06_cannibalization": lambda d: ranking.cannibalization(d.query_page()),
     "A06_cannibalization_members": _members_of_groups,
@@ -460,7 +475,7 @@ QUERIES = {
     # 2.8 ordering and sets
     "L01_nearest_pairs": lambda d: sim.nearest_pairs(d.vectors()),
     "L02_group_priority": _priority,
-    "L03_opportunity_ranking": lambda d: ranking.opportunity_ranking(d.query_page().withColumn("has_data", F.lit(True)).withColumn("url", F.concat_ws(" ", "url", "query"))),
+    "L03_opportunity_ranking": lambda d: ranking.opportunity_ranking(d.position_rows()),
     "L04_band_listing": lambda d: ranking.band_listing(d.position_rows()),
     "L05_group_listing": lambda d: ranking.group_listing(_members_of_groups(d)),
     "L06_verdict_listing": lambda d: content.verdict_listing(d.verdicts()),
