@@ -285,15 +285,27 @@ class Derived:
         return body.unionByName(heads).withColumn("path", F.concat("site", F.lit("_poda.csv")))
 
     def sitemap_docs(self) -> DataFrame:
-        """The sitemap as XML documents of at most a thousand URLs, named by an index document a site."""
+        """The sitemap as XML documents of at most a thousand URLs, named by an index document a site.
+
+        Some entries name an image before their page, every other document has prefixed elements, and one document a site is broken.
+        """
         s = self.sitemap().withColumn("seq", (F.floor(F.col("pos") / 1000) + 1).cast("int"))
-        entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("\n</loc></url>"))
+        image = F.when(F.col("pos") % 3 == 0, "<image:image><image:loc>https://cdn.example/i.png</image:loc></image:image>").otherwise("")
+        ns_prefix = F.when(F.col("seq") % 2 == 0, "sm:").otherwise("")
+        entry = F.concat(F.lit("<"), ns_prefix, F.lit("url>"), image, F.lit("<"), ns_prefix, F.lit("loc> "), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("-"), F.lit("&#45;")),
+                         F.lit("\n</"), ns_prefix, F.lit("loc></"), ns_prefix, F.lit("url>"))
         name = F.concat(F.lit("https://www."), F.col("site"), F.lit(".example/sitemap-"), F.col("seq"), F.lit(".xml"))
         ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
         docs = s.groupBy("site", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("es")).select(
             "site", name.alias("doc_url"), "seq",
-            F.concat(F.lit(f'<?xml version="1.0"?><urlset {ns}>'), F.array_join(F.transform("es", lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"),
+            F.concat(
+                F.lit('<?xml version="1.0"?><'), ns_prefix, F.lit("urlset "), F.when(F.col("seq") % 2 == 0, ns.replace("xmlns", "xmlns:sm")).otherwise(ns),
+                F.lit(' xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'), F.array_join(F.transform("es", lambda x: x["e"]), ""), F.lit("</"), ns_prefix, F.lit("urlset>")).alias("xml"),
         )
+        broken = docs.groupBy("site").agg(F.max("seq").alias("m")).select(
+            "site", F.concat(F.lit("https://www."), F.col("site"), F.lit(".example/sitemap-broken.xml")).alias("doc_url"), (F.col("m") + 1).alias("seq"),
+            F.lit(f"<urlset {ns}><url><loc>https://broken.example/a</loc></url><url><loc>https://broken.example/b</url></urlset>").alias("xml"))
+        docs = docs.unionByName(broken)
         index = docs.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("seq", "doc_url"))).alias("ds")).select(
             "site", F.concat(F.lit("https://www."), "site", F.lit(".example/sitemap.xml")).alias("doc_url"), F.lit(0).alias("seq"),
             F.concat(

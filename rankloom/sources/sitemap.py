@@ -1,20 +1,26 @@
 """Live URLs from sitemap documents (site, doc_url, seq, xml) and robots.txt texts (site, text)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import unescape
+
 
 def _locs(docs: DataFrame, root: str, entry: str) -> DataFrame:
-    # one pattern pass keeps default and prefixed namespaces alike; a document that does not close its root is broken
-    ns = r"(?:[\w.-]+:)?"
-    whole = F.col("xml").rlike(rf"(?s)<{ns}{root}\b.*</{ns}{root}\s*>\s*$")
-    pattern = F.lit(rf"(?s)<{ns}{entry}\b[^>]*>.*?<{ns}loc\b[^>]*>(.*?)</{ns}loc\s*>")
-    loc = F.trim(F.regexp_replace("loc", r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        loc = F.replace(loc, F.lit(entity), F.lit(char))
-    return docs.filter(whole).select("site", "doc_url", "seq", F.posexplode(F.regexp_extract_all("xml", pattern, F.lit(1))).alias("n", "loc")).select(
-        "site", "doc_url", "seq", "n", F.regexp_replace(loc, r"^\s+|\s+$", "").alias("loc")
-    ).filter(F.col("loc") != "")
+    """Addresses of a document's entries in order. Only elements of the root's namespace count, so those of extensions (image:loc) do not;
+    a document that is not well-formed as a whole gives none."""
+    parsed = F.from_xml("xml", "_broken string, _other string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    tag = rf"<([\w.-]+:)?{root}\b"
+    whole = docs.filter(F.col("xml").rlike(tag)).withColumn("broken", parsed["_broken"].isNotNull()).filter("not broken")
+    prefix = F.replace(F.regexp_extract("xml", tag, 1), F.lit("."), F.lit("\\."))
+
+    def element(name: str) -> Column:
+        return F.concat(F.lit("(?s)<"), prefix, F.lit(rf"{name}\b[^>]*>(.*?)</"), prefix, F.lit(rf"{name}\s*>"))
+
+    inner = F.regexp_extract_all("xml", element(entry), F.lit(1))
+    rows = whole.select("site", "doc_url", "seq", element("loc").alias("loc_element"), F.posexplode(inner).alias("n", "entry"))
+    loc = F.regexp_replace(F.call_function("regexp_extract", F.col("entry"), F.col("loc_element"), F.lit(1)), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+    return rows.select("site", "doc_url", "seq", "n", F.regexp_replace(unescape(loc), r"^\s+|\s+$", "").alias("loc")).filter(F.col("loc") != "")
 
 
 def sitemap_urls(docs: DataFrame) -> DataFrame:
