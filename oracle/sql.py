@@ -182,6 +182,8 @@ Q["J15_trend_x_best_position"] = f"""select t.site, t.series, t.rank, t.trend, t
   select site, replace(query, 'kw ', 'k') series, position, impressions, row_number() over (partition by site, query order by position, impressions desc) rn from query_page) b on b.site = t.site and b.series = t.series and b.rn = 1"""
 Q["J17_brand_entity"] = f"""select site, domain, brand, name, url, score from (select *, row_number() over (partition by site order by score desc, name, url) rn from {CAND}) where rn = 1 and {PLAUSIBLE}"""
 Q["J18_refresh_worklist"] = "select site, url from page_metrics p where not exists (select 1 from stored_results r where r.site = p.site and r.url = p.url and not failed and cached_at >= timestamp '2024-01-30')"
+LAST = lambda odd: f"(select site, cached_at::date as date, url, arg_max(cached_at, (cached_at, failed)) cached_at, arg_max(failed, (cached_at, failed)) failed from stored_results where minute(cached_at) % 2 = {odd} group by all)"
+Q["J18_upsert_results"] = f"""select * from {LAST(1)} where not failed union all select * from {LAST(0)} s where not exists (select 1 from {LAST(1)} n where not n.failed and n.site = s.site and n.date = s.date and n.url = s.url)"""
 Q["J19_cosine_pairs"] = f"select site, a, b, {rnd('sim', 6)} sim from pairs"
 
 # ---- aggregations ----

@@ -230,6 +230,13 @@ def j18(d):
     return hist.refresh_worklist(d.page_metrics(), d.stored_results(), F.lit("2024-01-31").cast("timestamp"), TTL_HOURS["inspection"])
 
 
+def _results_of(d, odd: int):
+    """Results stored in even minutes, or new ones of odd minutes: the last of each day."""
+    r = d.stored_results().filter(F.minute("cached_at") % 2 == odd)
+    last = r.groupBy("site", F.to_date("cached_at").alias("date"), "url").agg(F.max(F.struct("cached_at", "failed")).alias("r"))
+    return last.select("site", "date", "url", "r.cached_at", "r.failed")
+
+
 # ---- similarity ---------------------------------------------------------------------------------------
 
 def _members(d):
@@ -429,6 +436,7 @@ QUERIES = {
     "J16_content_x_history": j16,
     "J17_brand_entity": lambda d: ent.brand_entity(_candidates(d)),
     "J18_refresh_worklist": j18,
+    "J18_upsert_results": lambda d: hist.upsert_results(_results_of(d, 0), _results_of(d, 1)),
     "J19_cosine_pairs": lambda d: sim.cosine_pairs(sim.distinct_vectors(d.vectors()), NEAR).select("site", "a", "b", F.round("sim", 6).alias("sim")),
     # 2.6 aggregations
     "A01_position_summary": lambda d: ranking.position_summary(d.position_rows()),

@@ -21,6 +21,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return read_whole(spark, path).select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
 
 
+def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, value): lines of exports of any size, whose files are split; ``n`` orders the lines of a file."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), at.alias("n"), "value")
+
+
 def folder_sources(files: DataFrame, site: str, exclude: DataFrame | None = None) -> DataFrame:
     """S08. (site, page, markup) of page files; the page is the file's stem. Short pages stay: they still link."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -292,6 +292,12 @@ def test_files(spark, tmp_path):
     assert [r.site for r in sites.orderBy("n").collect()] == ["a.com", "b.com"]
     with pytest.raises(ValueError):
         files.require_sites(sites.limit(0))
+    (tmp_path / "export.csv").write_text("".join(f"x;https://a.com/p{i % 900};y\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    lines = files.read_export_lines(spark, str(tmp_path / "export.csv"))
+    urls = files.export_urls(lines.withColumn("site", F.lit("a.com"))).orderBy("pos").collect()
+    assert lines.rdd.getNumPartitions() > 4 and [r.url for r in urls] == [f"https://a.com/p{i}" for i in range(900)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     d = tmp_path / "r" / "2024-01-02_posicao.json"
     d.parent.mkdir()
     one = lambda p: json.dumps({"site": "s", "urls": [{"url": "https://s/A", "position": p, "clicks": 1, "impressions": 2, "ctr": 1.0, "has_data": True}]})
