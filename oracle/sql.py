@@ -326,6 +326,12 @@ Q["M04_judgements"] = """select 'all' site, doc_id::varchar as cluster, case whe
 RANKED = "(select e.*, row_number() over (partition by e.site, e.cluster order by clicks desc, impressions desc, coalesce(position, 9999), e.page) i from enriched e join priority p using (site, cluster))"
 Q["M06_omitted_pages"] = f"select site, cluster, page from {RANKED} where i > 3"
 Q["M06_differentiation_plan"] = f"""select site, cluster, (max(page) filter (i = 1) over (partition by site, cluster)) head, (i - 1)::int pos, page slug, 'spoke' as role, '' intent, replace(page, '-', ' ') keyword, '' title, '' focus from {RANKED} where i <= 6"""
+PLAN = f"({Q['M06_differentiation_plan']})"
+Q["M06_keyword_items"] = f"select p.site, p.cluster, slug, keyword, f.group_impressions impressions, {norm_kw('keyword')} norm from {PLAN} p join perf f on f.site = p.site and f.cluster = p.cluster where {norm_kw('keyword')} <> ''"
+Q["J11_hub_choice"] = f"""with p as {PLAN} select site, cluster, head hub, (select replace(head, '-', ' ')) hub_keyword, slug spoke, keyword from p where slug <> head
+  union all select c.site, c.cluster, f.canonical, '', c.page, '' from clusters c join perf f on f.site = c.site and f.cluster = c.cluster where f.size >= 2 and c.page <> f.canonical and not exists (select 1 from p where p.site = c.site and p.cluster = c.cluster)"""
+Q["J12_list_emitters"] = """select 'all' site, page_id::varchar src, list, mode from pages join (values (0, 'blog', 'index'), (1, 'artigos', 'widget'), (2, 'artigos', 'widget'), (3, 'blog', 'widget'), (3, 'artigos', 'widget'),
+  (5, 'blog', 'index'), (5, 'artigos', 'widget')) t(k, list, mode) on k = page_id % 6"""
 Q["D01_per_site_function"] = f"select site, case when site = 's3' then 'ERRO' else 'OK' end status, case when site = 's3' then 'site unavailable' end error, case when site <> 's3' then {rnd('total_clicks / total_urls', 3)} end clicks_per_url from {SUMMARY}"
 Q["D02_scorer_plugin"] = """select site, cluster, case when least(size, 6) > 5 then '' else '{"verdict": "' || case when size > 2 then 'spun' else 'ok' end || '", "base_recomendada": "", "lacunas": ["' || size || '"], "resumo": "x"}' end reply, case when least(size, 6) > 5 then 'too many pages' end error from priority"""
 

@@ -351,6 +351,28 @@ def k03(d):
     return hist.upsert_snapshot(h, snap.select(*h.columns)).select("site", "date", "period_start", "period_end", "url", "position", "clicks", "impressions", COL("content.verdict").alias("verdict"))
 
 
+def _diff_plan(d):
+    return prompts.differentiation_plan(prompts.score_prompts(prompts.differentiation_prompts(_priority(d), _enriched(d), _texts(d)), _planner), _enriched(d))
+
+
+def _hub_choice(d):
+    plan = d.once("diff_plan", lambda: cut(_diff_plan(d)))
+    return links.hub_choice(_members(d), _perf(d), plan)
+
+
+def j12_emitters(d):
+    """Pages whose markup ends in a template part by page number, and the file some of them include."""
+    part = F.element_at(F.array(*[F.lit(x) for x in (
+        "<?php foreach ($blog as $l) { echo formatStringToURL($l); } ?>", "<?php foreach (array_slice($artigos, 0, 3) as $x) { echo formatStringToURL($x); } ?>",
+        "<?php $mais = $artigos; $r = array_rand($mais, 4); echo formatStringToURL($mais[$r]); ?>", '<?php include_once("./include/more.php"); ?>',
+        "<?php foreach ($blog as $l) { echo $l; } ?>", "<?php include 'include/more.php'; foreach ($blog as $l) { echo formatStringToURL($l); } $x = $outro; array_slice($x, 1); ?>")]),
+        (F.pmod("page_id", F.lit(6)) + 1).cast("int"))
+    markup = d.table("pages").select(F.lit("all").alias("site"), F.col("page_id").cast("string").alias("page"), F.concat("html", part).alias("markup"))
+    files = d.table("region").filter("r_regionkey = 0").select(F.lit("all").alias("site"), F.lit("include/more.php").alias("path"), F.lit("<?php array_rand($blog, 4); formatStringToURL($artigos); array_slice($artigos, 2);").alias("text"))
+    lists = d.table("region").filter("r_regionkey < 2").select(F.lit("all").alias("site"), F.when(F.col("r_regionkey") == 0, "blog").otherwise("artigos").alias("list"))
+    return links.list_emitters(markup, files, lists)
+
+
 QUERIES = {
     # 2.1 sources
     "S01_page_metrics": lambda d: metrics.page_metrics(d.landing_pages()),
@@ -428,7 +450,9 @@ QUERIES = {
     "J10_link_orphans": lambda d: links.link_orphans(d.known_pages(), _page_edges(d)),
     "J11_hub_spoke_gaps": lambda d: links.hub_spoke_gaps(links.hub_spoke_links(_spokes(d), _page_edges(d))),
     "J11_hub_spoke_links": lambda d: links.hub_spoke_links(_spokes(d), _page_edges(d)),
+    "J11_hub_choice": _hub_choice,
     "J12_template_inbound": j12,
+    "J12_list_emitters": j12_emitters,
     "J13_keyword_near_match": lambda d: kw.near_collisions(kw.keyword_items(d.keyword_plan())),
     "J13_near_sets": lambda d: kw.near_sets(kw.keyword_items(d.keyword_plan())).select("site", F.array_join("left", " ").alias("left"), F.array_join("right", " ").alias("right")),
     "J14_content_gaps": lambda d: ent.content_gaps(d.texts(), d.entities(), d.query_page()),
@@ -508,8 +532,8 @@ QUERIES = {
     "M03_judgement_prompts": lambda d: prompts.judgement_prompts(_priority(d), _enriched(d), _texts(d)),
     "M04_judgements": lambda d: prompts.judgements(_replies(d)).withColumn("gaps", F.array_join("gaps", "|")),
     "M05_differentiation_prompts": lambda d: prompts.differentiation_prompts(_priority(d), _enriched(d), _texts(d)),
-    "M06_differentiation_plan": lambda d: prompts.differentiation_plan(
-        prompts.score_prompts(prompts.differentiation_prompts(_priority(d), _enriched(d), _texts(d)), _planner), _enriched(d)),
+    "M06_differentiation_plan": _diff_plan,
+    "M06_keyword_items": lambda d: kw.keyword_items(prompts.planned_keywords(_diff_plan(d), _perf(d))).select("site", "cluster", "slug", "keyword", "impressions", "norm"),
     "M06_omitted_pages": lambda d: prompts.omitted_pages(_priority(d), _enriched(d), max_pages=3),
     # 2.11 user functions
     "D01_per_site_function": d01,

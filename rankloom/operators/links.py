@@ -68,6 +68,67 @@ def anchor_collisions(edges: DataFrame, min_targets: int = 2) -> DataFrame:
     return uses.join(wide, ["site", "anchor"]).select("site", "anchor", "targets", "dst", "uses")
 
 
+#: Fixed patterns of the templates that print links from a named list: a loop over it, a random pick, a slice, another name for it, an
+#: included file; and the call that turns an entry into an address.
+LIST_LOOP = r"(?i)foreach\s*\(\s*(?:array_slice\s*\(\s*)?\$(\w+)"
+LIST_PICK = r"(?i)array_rand\s*\(\s*\$(\w+)"
+LIST_SLICE = r"(?i)array_slice\s*\(\s*\$(\w+)"
+LIST_ALIAS = r"\$(\w+)\s*=\s*\$(\w+)\s*;"
+INCLUDED = r"(?i)(?:include|require)(?:_once)?\s*\(?\s*[\"']([^\"']+)[\"']"
+ADDRESS_CALL = "formatStringToURL"
+
+
+def _shown_lists(texts: DataFrame, keys: list, lists: DataFrame) -> DataFrame:
+    """(keys, list, mode) of template texts: the whole list in a loop is an index, a slice or a random pick of it a widget."""
+    found = texts.filter(F.contains(F.col("text"), F.lit(ADDRESS_CALL)))
+    part = lambda pattern, kind: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda v, i: F.struct(v.alias("var"), F.lit(kind).alias("kind"), i.alias("at")))
+    slices = F.regexp_extract_all("text", F.lit(LIST_SLICE), F.lit(1))
+    uses = found.select(*keys, slices.alias("sliced"), F.explode(F.concat(part(LIST_LOOP, "loop"), part(LIST_PICK, "part"), part(LIST_SLICE, "part"))).alias("u")).select(
+        *keys, "u.var", "u.kind", "u.at", F.array_contains("sliced", F.col("u.var")).alias("cut"))
+    names = F.arrays_zip(F.regexp_extract_all("text", F.lit(LIST_ALIAS), F.lit(1)).alias("var"), F.regexp_extract_all("text", F.lit(LIST_ALIAS), F.lit(2)).alias("list"))
+    alias = found.select(*keys, F.posexplode(names).alias("at", "a")).select(*keys, "at", "a.var", "a.list").join(lists, ["site", "list"], "left_semi")
+    alias = alias.groupBy(*keys, "var").agg(F.max_by("list", "at").alias("list"))
+    own = lists.select("site", F.col("list").alias("var"), F.col("list").alias("named"))
+    real = uses.join(own, ["site", "var"], "left").join(alias, [*keys, "var"], "left").withColumn("list", F.coalesce("named", "list")).filter("list is not null")
+    last = F.max_by("cut", F.when(F.col("kind") == "loop", F.col("at")))
+    return real.groupBy(*keys, "list").agg(F.when(F.count_if(F.col("kind") == "loop") == 0, "widget").when(last, "widget").otherwise("index").alias("mode"))
+
+
+def list_emitters(markup: DataFrame, files: DataFrame, lists: DataFrame) -> DataFrame:
+    """J12. (site, src, list, mode): lists a page's template prints links from, read from its own markup and the files it includes.
+
+    ``files`` has (site, path, text), ``lists`` (site, list). What the page itself shows goes before what it includes, an earlier file before a later one.
+    """
+    names = lists.select("site", "list").distinct()
+    own = _shown_lists(markup.select("site", "page", F.col("markup").alias("text")), ["site", "page"], names).withColumn("at", F.lit(-1))
+    path = F.regexp_replace("path", r"^(\./)+", "")
+    wanted = markup.select("site", "page", F.posexplode(F.regexp_extract_all("markup", F.lit(INCLUDED), F.lit(1))).alias("at", "path")).withColumn("path", path)
+    shared = _shown_lists(files.withColumn("path", path).select("site", "path", "text"), ["site", "path"], names)
+    both = own.unionByName(wanted.join(shared, ["site", "path"]).select("site", "page", "list", "mode", "at"))
+    return both.groupBy("site", "page", "list").agg(F.min_by("mode", "at").alias("mode")).select("site", F.col("page").alias("src"), "list", "mode")
+
+
+def hub_choice(members: DataFrame, perf: DataFrame, plan: DataFrame | None = None, min_size: int = 2) -> DataFrame:
+    """J11. (site, cluster, hub, hub_keyword, spoke, keyword) of every group of enough pages.
+
+    A planned group takes the plan's head, or its first page, and the planned pages; another one the best performing page, or the
+    representative, and its members.
+    """
+    key = ["site", "cluster"]
+    large = perf.filter(F.col("size") >= min_size)
+    free = large.select(*key, F.coalesce("canonical", "representative").alias("hub"))
+    parts = []
+    if plan is not None:
+        pages = plan.filter(F.col("slug") != "").join(large.select(*key), key, "left_semi")
+        heads = pages.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("head") != "", F.col("head"))), F.min_by("slug", "pos")).alias("hub"))
+        heads = heads.join(pages.select(*key, F.col("slug").alias("hub"), F.col("keyword").alias("hub_keyword"), "pos"), [*key, "hub"], "left").groupBy(*key, "hub").agg(
+            F.coalesce(F.min_by("hub_keyword", "pos"), F.lit("")).alias("hub_keyword"))
+        parts = [pages.join(heads, key).filter(F.col("slug") != F.col("hub")).select(*key, "hub", "hub_keyword", F.col("slug").alias("spoke"), "keyword")]
+        free = free.join(heads.select(*key), key, "left_anti")
+    rest = members.join(free, key).filter(F.col("page") != F.col("hub")).select(*key, "hub", F.lit("").alias("hub_keyword"), F.col("page").alias("spoke"), F.lit("").alias("keyword"))
+    return parts[0].unionByName(rest) if parts else rest
+
+
 def template_inbound(emitters: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """J12. Kinds of list links (index, widget) a page receives from other pages.
 

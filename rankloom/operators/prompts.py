@@ -96,6 +96,11 @@ def differentiation_plan(replies: DataFrame, members: DataFrame, max_pages: int
     )
 
 
+def planned_keywords(plan: DataFrame, perf: DataFrame) -> DataFrame:
+    """M06. (site, cluster, slug, keyword, impressions) of the plan's pages with their group's impressions, as the keyword audits take them."""
+    return plan.join(perf.select("site", "cluster", F.col("group_impressions").alias("impressions")), ["site", "cluster"]).select("site", "cluster", "slug", "keyword", "impressions")
+
+
 def omitted_pages(groups: DataFrame, members: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """M06. Pages of the chosen groups beyond the prompt, one row each.
 

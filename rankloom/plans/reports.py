@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.operators import consolidation, content, entities, history, keywords, links, portfolio, pruning, ranking, similarity, trends
+from rankloom.operators import consolidation, content, entities, history, keywords, links, portfolio, prompts, pruning, ranking, similarity, trends
 from rankloom.sinks import reports
 from rankloom.sources.reviewed_plan import reviewed_plan
 
@@ -74,9 +74,12 @@ def reviewed_report(lines: DataFrame) -> dict[str, DataFrame]:
     return {"plan": plan, "rules": reports.removal_rules(plan), "warnings": pruning.home_redirect_warning(plan).filter("warning")}
 
 
-def semantic_report(vectors: DataFrame, slug_metrics: DataFrame, markup: DataFrame, emitters: DataFrame, list_members: DataFrame,
-                    threshold: float = 0.85, method: str = "threshold", linkage: str = "complete") -> dict[str, DataFrame]:
-    """Near-duplicate groups and the link audit. Links come from all pages; audits cover the pages with a vector."""
+def semantic_report(vectors: DataFrame, slug_metrics: DataFrame, markup: DataFrame, files: DataFrame, list_members: DataFrame,
+                    threshold: float = 0.85, method: str = "threshold", linkage: str = "complete", plan: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Near-duplicate groups and the link audit. Links come from all pages; audits cover the pages with a vector.
+
+    ``files`` are the template files that pages include, ``plan`` a differentiation plan: it chooses hubs and is searched for keyword collisions.
+    """
     found = similarity.threshold_clusters(vectors, threshold) if method == "threshold" else similarity.linkage_clusters(vectors, threshold, linkage)
     members = cut(similarity.cluster_members(vectors, cut(found)))
     enriched = similarity.members_with_metrics(members, slug_metrics)
@@ -84,13 +87,15 @@ def semantic_report(vectors: DataFrame, slug_metrics: DataFrame, markup: DataFra
     pages = vectors.select("site", "page")
     edges = cut(links.link_edges(links.extract_links(markup), markup.select("site", "page")))
     inlinks = links.inlink_report(pages, edges, slug_metrics)
-    spokes = members.filter("size >= 2").join(perf.select("site", "cluster", F.col("canonical").alias("hub")), ["site", "cluster"]).filter("page <> hub")
+    spokes = links.hub_choice(members, perf, plan)
+    emitters = links.list_emitters(markup, files, list_members.select("site", "list"))
     inbound = links.template_inbound(emitters, list_members, pages)
-    return {
+    collisions = {} if plan is None else {"collisions": keyword_report(prompts.planned_keywords(plan, perf))}
+    return collisions | {
         "clusters": similarity.cluster_table(members), "performance": perf, "totals": similarity.group_totals(perf), "nearest": similarity.nearest_pairs(vectors),
         "priority": similarity.group_priority(perf), "edges": edges, "orphans": links.link_orphans(pages, edges), "inlinks": inlinks,
         "underlinked": links.underlinked_pages(inlinks), "anchors": links.anchor_collisions(edges), "tiers": links.link_tiers(pages, edges, inbound),
-        "hub_gaps": links.hub_spoke_gaps(links.hub_spoke_links(spokes.select("site", "cluster", "hub", F.col("page").alias("spoke")), edges)),
+        "hub_gaps": links.hub_spoke_gaps(links.hub_spoke_links(spokes.select("site", "cluster", "hub", "spoke"), edges)),
     }
 
 

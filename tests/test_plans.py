@@ -34,7 +34,8 @@ def test_pruning_reports(spark):
 
 def test_semantic_report(spark):
     d = Derived(spark, FOLDER)
-    args = (d.vectors(), d.slug_metrics(), d.markup().withColumn("site", F.lit("all")), d.list_emitters(), d.list_members())
+    files = spark.createDataFrame([("all", "inc.php", "<?php foreach ($x as $y) formatStringToURL($y);")], "site string, path string, text string")
+    args = (d.vectors(), d.slug_metrics(), d.markup().withColumn("site", F.lit("all")), files, d.list_members())
     for method in ("threshold", "agglomerative"):
         out = plans.semantic_report(*args, threshold=0.4, method=method)
         assert out["totals"].first()["pages"] == d.vectors().count() and out["nearest"].count() == 15

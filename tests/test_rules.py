@@ -357,3 +357,24 @@ def test_stored_vectors_are_reused(spark):
     changed = pages.withColumn("text", F.when(F.col("page") == "b", "yy").otherwise(F.col("text")))
     got = {r.page: (r.reused, r.vec) for r in vectors.incremental_embeddings(changed, kept, lambda t: [[float(len(x))] for x in t], "m", "b").collect()}
     assert got == {"a": (True, [1.0]), "b": (False, [2.0])}
+
+
+def test_list_emitters_of_templates(spark):
+    pages = [
+        ("loop", "<?php foreach ($blog as $a) echo formatStringToURL($a);"), ("part", "<?php foreach (array_slice($blog, 0, 2) as $a) echo formatStringToURL($a);"),
+        ("pick", "<?php $b = $blog; $k = array_rand($b, 3); formatStringToURL($k);"), ("none", "<?php foreach ($blog as $a) echo $a;"), ("other", "<?php foreach ($rest as $a) formatStringToURL($a);"),
+        ("inc", "<?php require './w.php';"), ("both", "<?php include 'w.php'; foreach ($blog as $a) formatStringToURL($a);")]
+    markup = spark.createDataFrame([("s", p, m) for p, m in pages], "site string, page string, markup string")
+    files = spark.createDataFrame([("s", "w.php", "array_rand($blog, 2); formatStringToURL(1)")], "site string, path string, text string")
+    lists = spark.createDataFrame([("s", "blog")], "site string, list string")
+    got = {r.src: r.mode for r in links.list_emitters(markup, files, lists).collect()}
+    assert got == {"loop": "index", "part": "widget", "pick": "widget", "inc": "widget", "both": "index"}
+
+
+def test_hub_choice(spark):
+    members = spark.createDataFrame([("s", c, p) for c, ps in (("a", "xyz"), ("b", "pq"), ("c", "o")) for p in ps], "site string, cluster string, page string")
+    perf = spark.createDataFrame([("s", "a", 3, "x", "y"), ("s", "b", 2, None, "q"), ("s", "c", 1, "o", "o")], "site string, cluster string, size int, canonical string, representative string")
+    plan = spark.createDataFrame([("s", "a", "", 0, "z", "kz"), ("s", "a", "", 1, "x", "kx"), ("s", "a", "", 2, "", "k")], "site string, cluster string, head string, pos int, slug string, keyword string")
+    rows = lambda df: sorted((r.cluster, r.hub, r.hub_keyword, r.spoke, r.keyword) for r in df.collect())
+    assert rows(links.hub_choice(members, perf, plan)) == [("a", "z", "kz", "x", "kx"), ("b", "q", "", "p", "")]
+    assert rows(links.hub_choice(members, perf)) == [("a", "x", "", "y", ""), ("a", "x", "", "z", ""), ("b", "q", "", "p", "")]
