@@ -7,6 +7,7 @@ triangle inequality on angles, which loses nothing.
 """
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from rankloom.lineage import cut
 
 BLOCK_ROWS = 4096
-PLANES = 8
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -37,28 +37,35 @@ def _unit(vecs) -> np.ndarray:
     return m / n
 
 
-def _cell(v):
-    """Side of a few fixed pseudo-random planes: near vectors tend to share it."""
-    def signed(plane):
-        flip = lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(plane)), F.lit(2)) == 0, x).otherwise(-x).cast("double")
-        return F.aggregate(F.transform(v, flip), F.lit(0.0), lambda a, x: a + x)
-
+def _cell(v, planes: int, width: int):
+    """Side of a few fixed planes with pseudo-random signs: near vectors tend to share it."""
     side = F.lit(0)
-    for plane in range(PLANES):
-        side = side * 2 + F.when(signed(plane) > 0, 1).otherwise(0)
+    for plane in range(planes):
+        signs = F.array(*[F.lit(1.0 if zlib.crc32(f"{plane}:{i}".encode()) % 2 else -1.0) for i in range(width)])
+        dot = F.aggregate(F.zip_with(v, signs, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        side = side * 2 + F.when(dot > 0, 1).otherwise(0)
     return side
 
 
 def _blocks(reps: DataFrame, block_rows: int) -> DataFrame:
-    """Rows with a block of at most about ``block_rows`` rows: as many cells as a site has blocks, full cells split by page hash."""
+    """Rows with a block of at most about ``block_rows`` rows: as many cells as a site has blocks, full cells split by page hash.
+
+    ``coarse`` groups neighbouring cells, about as many as a group has cells.
+    """
     site = reps.groupBy("site").agg(F.count("*").alias("site_n"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(PLANES), F.ceil(F.log2(F.col("site_n") / block_rows))))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("site_n") / block_rows))).cast("int")
+    site = site.select("site", bits.alias("bits"))
+    planes, width = site.agg(F.max("bits")).first()[0] or 0, reps.agg(F.max(F.size("vec"))).first()[0] or 0  # two numbers
+    cell = _cell(F.col("vec"), planes, width)
     celled = reps.join(site, "site").select(
-        "site", "page", "vec", F.floor(_cell(F.col("vec")) / F.pow(F.lit(2.0), PLANES - bits)).alias("cell")
+        "site", "page", "vec", F.floor(cell / F.pow(F.lit(2.0), planes - F.col("bits"))).alias("cell"), F.pow(F.lit(2.0), F.ceil(F.col("bits") / 2)).alias("near")
     )
     parts = celled.groupBy("site", "cell").agg(F.ceil(F.count("*") / block_rows).alias("split"))
     block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("page"), F.col("split")))
-    return celled.join(parts, ["site", "cell"]).select("site", "page", "vec", block.alias("block"))
+    return celled.join(parts, ["site", "cell"]).select("site", "page", "vec", block.alias("block"), F.floor(F.col("cell") / F.col("near")).cast("long").alias("coarse"))
+
+
+_SPAN = "centre array<double>, radius double"
 
 
 def _block_spans(rows: DataFrame) -> DataFrame:
@@ -71,22 +78,56 @@ def _block_spans(rows: DataFrame) -> DataFrame:
         # without a usable direction the block meets every other one
         wide = zero or n < 1e-9
         r = math.pi if wide else float(np.arccos(np.clip(m @ (c / n), -1, 1)).max())
-        return pd.DataFrame([{"site": pdf["site"].iloc[0], "block": pdf["block"].iloc[0], "centre": (c / n if not wide else c).tolist(), "radius": r}])
+        return pd.DataFrame([{"site": pdf["site"].iloc[0], "coarse": pdf["coarse"].iloc[0], "block": pdf["block"].iloc[0], "centre": (c / n if not wide else c).tolist(), "radius": r}])
+
+    return rows.groupBy("site", "block").applyInPandas(span, f"site string, coarse long, block string, {_SPAN}")
+
+
+def _coarse_spans(spans: DataFrame) -> DataFrame:
+    """Direction and angle that hold all vectors of a group of blocks."""
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.vstack(pdf["centre"])
+        mean = c.mean(axis=0)
+        n = np.linalg.norm(mean)
+        wide = n < 1e-9 or (pdf["radius"] >= math.pi).any()
+        r = math.pi if wide else float((np.arccos(np.clip(c @ (mean / n), -1, 1)) + pdf["radius"].to_numpy()).max())
+        return pd.DataFrame([{"site": pdf["site"].iloc[0], "coarse": pdf["coarse"].iloc[0], "centre": (mean if wide else mean / n).tolist(), "radius": r}])
+
+    return spans.groupBy("site", "coarse").applyInPandas(span, f"site string, coarse long, {_SPAN}")
+
+
+def _sides(t: DataFrame):
+    return [t.select(*[F.col(c).alias(f"{c}_{side}") if c != "site" else F.col(c) for c in t.columns]) for side in "ab"]
 
-    return rows.groupBy("site", "block").applyInPandas(span, "site string, block string, centre array<double>, radius double")
 
+def _reachable(pairs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Pairs of spans that can hold two vectors of at least the site's limit, by the triangle inequality on angles."""
+    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("radius_a") - F.col("radius_b")
+    return pairs.join(limits, "site").filter(gap <= F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("limit")))) + 1e-6).drop("limit")
 
-def _block_pairs(rows: DataFrame, threshold: float | None) -> DataFrame:
-    """Block pairs that can hold a pair of the wanted similarity; the table has one row per block."""
-    spans = _block_spans(rows) if threshold is not None else rows.select("site", "block").distinct()
-    a = spans.select(*[F.col(c).alias(f"{c}_a") if c != "site" else F.col(c) for c in spans.columns])
-    b = spans.select(*[F.col(c).alias(f"{c}_b") if c != "site" else F.col(c) for c in spans.columns])
-    pairs = a.join(b, "site").filter(F.col("block_a") <= F.col("block_b"))
-    if threshold is not None:
-        dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("radius_a") - F.col("radius_b")
-        pairs = pairs.filter((F.col("block_a") == F.col("block_b")) | (gap <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-6))
-    return pairs.select("site", "block_a", "block_b")
+
+def _block_pairs(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Pairs of different blocks that can hold a pair of at least the site's ``limit``.
+
+    Groups of blocks are paired first, a few per site, and only the blocks of groups within reach meet.
+    """
+    spans = cut(_block_spans(rows))
+    ca, cb = _sides(_coarse_spans(spans))
+    near = _reachable(ca.join(cb, "site").filter("coarse_a <= coarse_b"), limits).select("site", "coarse_a", "coarse_b")
+    a, b = _sides(spans)
+    met = near.join(a, ["site", "coarse_a"]).join(b, ["site", "coarse_b"]).filter((F.col("coarse_a") < F.col("coarse_b")) | (F.col("block_a") < F.col("block_b")))
+    return _reachable(met, limits).select("site", F.least("block_a", "block_b").alias("block_a"), F.greatest("block_a", "block_b").alias("block_b"))
+
+
+def _own_pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("site", F.col("block").alias("block_a"), F.col("block").alias("block_b")).distinct()
+
+
+def _compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of every block with itself and with the blocks in reach of the threshold."""
+    limits = rows.select("site").distinct().withColumn("limit", F.lit(float(threshold)))
+    return _paired_rows(rows, _own_pairs(rows).unionByName(_block_pairs(rows, limits)))
 
 
 def _paired_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,8 +158,7 @@ def cosine_pairs(reps: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
         i, j = np.nonzero(usable & (sim >= threshold))
         return _named(pdf["site"].iloc[0], p[i], q[j], sim[i, j])
 
-    rows = _blocks(reps, block_rows)
-    return _paired_rows(rows, _block_pairs(rows, threshold)).groupBy("site", "block_a", "block_b").applyInPandas(
+    return _compared(_blocks(reps, block_rows), threshold).groupBy("site", "block_a", "block_b").applyInPandas(
         compare, "site string, a string, b string, sim double"
     )
 
@@ -156,15 +196,15 @@ def link_forest(reps: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS)
                 out_a.extend([p[root]] * len(reached))
         return pd.DataFrame({"site": pdf["site"].iloc[0], "a": out_a, "b": out_b}).astype(str)
 
-    rows = _blocks(reps, block_rows)
-    return _paired_rows(rows, _block_pairs(rows, threshold)).groupBy("site", "block_a", "block_b").applyInPandas(
+    return _compared(_blocks(reps, block_rows), threshold).groupBy("site", "block_a", "block_b").applyInPandas(
         forest, "site string, a string, b string"
     )
 
 
 def nearest_pairs(vectors: DataFrame, top: int = 15, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """L01. The most similar pairs of a site. Only the first top + 1 pages of each set of equal vectors can
-    reach the list, and every block pair hands on its own best pairs only."""
+    reach the list, and every block pair hands on its own best pairs only. Pairs within blocks come first: the last of a site's
+    best ones bounds what other block pairs must be able to reach."""
     w = Window.partitionBy("site", "vec").orderBy("page")
     rows = vectors.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= top + 1)
 
@@ -178,12 +218,20 @@ def nearest_pairs(vectors: DataFrame, top: int = 15, block_rows: int = BLOCK_ROW
         out = pd.concat([_named(pdf["site"].iloc[0], p[i], q[j], s[i, j]) for i, j in [np.nonzero(usable & (s >= limit))]])
         return out.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(top)
 
-    blocks = _blocks(rows, block_rows)
-    found = _paired_rows(blocks, _block_pairs(blocks, None)).groupBy("site", "block_a", "block_b").applyInPandas(
-        best, "site string, a string, b string, sim double"
-    )
-    rank = Window.partitionBy("site").orderBy(F.desc("sim"), "a", "b")
-    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
+    def best_of(pairs: DataFrame) -> DataFrame:
+        found = _paired_rows(blocks, pairs).groupBy("site", "block_a", "block_b").applyInPandas(best, "site string, a string, b string, sim double")
+        return ranked(found)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("site").orderBy(F.desc("sim"), "a", "b")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+    blocks = cut(_blocks(rows, block_rows))
+    inside = cut(best_of(_own_pairs(blocks)))
+    # similarities are rounded to three places, so a pair may round up to the bound
+    known = inside.groupBy("site").agg(F.when(F.count("*") >= top, F.min("sim") - 0.0006).alias("limit"))
+    limits = blocks.select("site").distinct().join(known, "site", "left").select("site", F.coalesce("limit", F.lit(-1.0)).alias("limit"))
+    return ranked(inside.drop("rank").unionByName(best_of(_block_pairs(blocks, limits)).drop("rank")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +241,6 @@ def components(edges: DataFrame) -> DataFrame:
     Beyond", 2014): every step is a min-aggregate and a join, a node's neighbours are never gathered.
     """
     e = cut(edges.select("site", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = _fingerprint(e)
     while True:
         both = e.select("site", "u", "v").unionByName(e.select("site", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("site", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -202,20 +249,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("site", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["site", "u"]).select("site", F.col("v").alias("u"), F.col("m").alias("v"))
         star = small.filter("u <> v").unionByName(low.select("site", "u", F.col("m").alias("v"))).distinct()
-        e = cut(star)
-        now = _fingerprint(e)
-        if now == state:
+        before, e = e, cut(star)
+        if e.count() == before.count() and e.join(before, ["site", "u", "v"], "left_anti").isEmpty():
             break
-        state = now
     return e.select("site", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select("site", F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _fingerprint(e: DataFrame):
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("site", "u", "v").cast("decimal(38,0)"))).first())
-
-
 def threshold_clusters(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """G01 over vectors: (site, page, cluster); singletons keep their own page as cluster."""
     reps = distinct_vectors(vectors)
