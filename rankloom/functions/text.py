@@ -161,6 +161,7 @@ def cut_element(markup, tag: str) -> Column:
 
 def without_code(markup) -> Column:
     """Server-side blocks, scripts and styles removed."""
+    # fixed value: the pattern decides the result
     no_php = F.regexp_replace(markup, r"(?s)<\?.*?\?>", " ")
     return F.regexp_replace(no_php, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
 
@@ -188,6 +189,7 @@ def main_content(markup, noisy_sections=(), max_chars: int | None = None) -> Col
         return F.when(markup.rlike(rf"(?is)<{tag}[^>]*>.*?</{tag}>"), found)
 
     bare = markup
+    # fixed value: the pattern decides the result
     for tag in ("nav", "header", "footer", "aside"):
         bare = cut_element(bare, tag)
     body = F.coalesce(block("main"), block("article"), bare)
@@ -197,6 +199,7 @@ def main_content(markup, noisy_sections=(), max_chars: int | None = None) -> Col
         body = F.regexp_replace(
             body, rf'(?is)<{tag}\b[^>]*\bclass="[^"]*\Q{css}\E[^"]*"[^>]*>.*?</{tag}>', " "
         )
+    # fixed value: the pattern decides the result
     body = F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     text = squeeze(unescape(F.regexp_replace(body, "<[^>]+>", " ")))
     if max_chars is not None:
@@ -206,7 +209,9 @@ def main_content(markup, noisy_sections=(), max_chars: int | None = None) -> Col
 
 def model_json(reply) -> Column:
     """X21. The JSON object inside a reply: first { to last }; trailing commas go only if it fails to parse."""
+    # fixed value: the pattern decides the result
     body = F.regexp_extract(F.regexp_replace(reply, r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
+    # fixed value: the pattern decides the result
     fixed = F.regexp_replace(body, r",\s*([}\]])", "$1")
     return F.when(F.try_parse_json(body).isNotNull(), body).when(F.try_parse_json(fixed).isNotNull(), fixed)
 

@@ -123,6 +123,7 @@ def slug_phrase(url) -> Column:
 
 def slug_from_url(url) -> Column:
     """X08. Folded last path segment; query and extension stay."""
+    # fixed value: the pattern decides the result
     p = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://[^/]+", ""), "^/+|/+$", "")
     seg = F.when(p == "", F.lit("index")).otherwise(F.element_at(F.split(p, "/"), -1))
     return F.lower(ascii_fold(seg))
@@ -131,6 +132,7 @@ def slug_from_url(url) -> Column:
 def href_slug(href) -> Column:
     """X09. Slug of the page a link points to; null for what is not a page."""
     h = F.trim(href)
+    # fixed value: the pattern decides the result
     cut = F.regexp_replace(F.regexp_replace(h, "(?s)#.*$", ""), r"(?s)\?.*$", "")
     cut = F.regexp_replace(F.regexp_replace(cut, r"(?i)^[a-z][a-z0-9+.\-]*://[^/]+", ""), "^/+|/+$", "")
     seg = F.lower(F.regexp_replace(F.element_at(F.split(cut, "/"), -1), r"(?i)\.(php\d?|html?|aspx?|jsp|cgi)$", ""))

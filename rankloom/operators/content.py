@@ -85,11 +85,12 @@ def content_verdicts(pages: DataFrame, keywords: DataFrame, signals: DataFrame)
         "slug", slug_phrase(F.col("url"))
     ).withColumn("slug_folded", tx.fold_accents(F.col("slug")))
     kind = "array<struct<density:double,priority:int,occ:int,keyword:string,source:string>>"
+    counted = F.transform("keywords", lambda k, i: F.struct(k.alias("k"), i.alias("i"), tx.phrase_count(F.col("low"), k).alias("occ")))
     from_queries = F.transform(
-        "keywords",
-        lambda k, i: F.struct(
-            tx.density(tx.phrase_count(F.col("low"), k), tx.phrase_words(k), F.col("word_count")).alias("density"),
-            (-i).alias("priority"), tx.phrase_count(F.col("low"), k).alias("occ"), k.alias("keyword"), F.lit("query").alias("source"),
+        counted,
+        lambda x: F.struct(
+            tx.density(x["occ"], tx.phrase_words(x["k"]), F.col("word_count")).alias("density"),
+            (-x["i"]).alias("priority"), x["occ"].alias("occ"), x["k"].alias("keyword"), F.lit("query").alias("source"),
         ),
     ).cast(kind)
     slug_occ = tx.phrase_count(F.col("folded"), F.col("slug_folded"))

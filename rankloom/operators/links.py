@@ -10,11 +10,13 @@ from rankloom.functions.wordlists import GENERIC_ANCHORS
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """X20. Every <a href> of (site, page, markup) with its anchor text, in page order."""
+    # fixed value: the pattern decides the result
     anchor_tag = F.lit(r"(?is)<a\b([^>]*?)>(.*?)</a>")
     tags = F.arrays_zip(
         F.regexp_extract_all("bare", anchor_tag, F.lit(1)).alias("attrs"), F.regexp_extract_all("bare", anchor_tag, F.lit(2)).alias("inner")
     )
     rows = pages.select("site", "page", without_code(F.col("markup")).alias("bare")).select("site", "page", F.posexplode(tags).alias("pos", "tag"))
+    # fixed value: the pattern decides the result
     href = r"""(?i)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
     attrs = F.col("tag.attrs")
     return rows.filter(attrs.rlike(href)).select(

@@ -73,6 +73,7 @@ def require_sites(sites: DataFrame) -> DataFrame:
 
 def export_urls(lines: DataFrame) -> DataFrame:
     """S11. URLs of a site's own host in exported text lines (site, n, value), once per match key."""
+    # fixed value: the pattern decides the result
     found = lines.select("site", "n", F.posexplode(F.regexp_extract_all("value", F.lit(r"https?://[^\s\"'<>,;]+"), F.lit(0))).alias("k", "url"))
     own = F.regexp_replace(F.regexp_replace(F.lower("site"), r"^(sc-domain:)?(www\.)?", ""), "/+$", "")
     return found.filter(bare_host(F.col("url")) == own).groupBy("site", match_key(F.col("url")).alias("match_key")).agg(
