@@ -306,6 +306,20 @@ Q["U02_sitemap_union_distinct"] = "select site, url, d::int doc, n::bigint pos f
 
 # ---- graph ----
 Q["G01_threshold_components"] = "select site, page, cluster from clusters"
+def linkage(score):
+    """Merging one pair of clusters at a time, the most similar first, as lists of pages within each threshold component; copies start merged."""
+    return f"""with recursive g as (select site, cluster, map(list(a || '|' || b), list(sim)) sims from cpairs group by all),
+  s as (select c.site, c.cluster, list(v.page order by v.page) pages from clusters c join vectors v on v.site = c.site and v.page = c.page group by c.site, c.cluster, v.vec),
+  m(site, cluster, sims, parts, n) as (
+    select g.site, g.cluster, sims, p, 0 from g join (select site, cluster, list(pages order by pages[1]) p from s group by all) using (site, cluster)
+    union all select site, cluster, sims, list_append(list_filter(parts, lambda x: x[1] <> best.lo and x[1] <> best.hi), list_sort(list_concat(list_filter(parts, lambda x: x[1] = best.lo)[1], list_filter(parts, lambda x: x[1] = best.hi)[1]))), n + 1
+    from (select *, list_sort(list_filter(flatten(list_transform(parts, lambda x: list_transform(list_filter(parts, lambda y: y[1] > x[1]), lambda y: {{'s': -{score}, 'lo': x[1], 'hi': y[1]}}))), lambda c: c.s < -0.40))[1] best from m) where best is not null)
+  select site, unnest(part) page, part[1] as cluster from (select site, unnest(parts) part from (select *, row_number() over (partition by site, cluster order by n desc) r from m) where r = 1)"""
+
+
+ACROSS = "flatten(list_transform(x, lambda p: list_transform(y, lambda q: sims[p || '|' || q])))"
+Q["G02_linkage_clusters"] = linkage(f"list_min({ACROSS})")
+Q["G02_average_linkage"] = linkage(f"list_avg({ACROSS})")
 Q["G03_build_clusters"] = "select c.site, c.cluster, c.size, c.cohesion, r.representative from cohesion c join repr r using (site, cluster)"
 
 # ---- text features ----
