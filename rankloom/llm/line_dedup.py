@@ -1,9 +1,9 @@
 """Line dedup (operator 4): exact set-similarity join over lines, as column work.
 
-A line's set is its distinct words, A-Z lower-cased, as hashes. Words are ordered by rarity: a sketch of 2^SKETCH_BITS counters over all lines
+A line's set is its distinct words in lower case, as hashes. Words are ordered by rarity: a sketch of 2^SKETCH_BITS counters over all lines
 gives each word a count that is never too low, and count and hash together are one total order for all lines, which is all
-that the prefix filter needs. With Jaccard >= 4/5 the first n - ceil(4n/5) + 1 words of two linked sets share one; the
-join on it keeps pairs that pass the length and positional filters, and the whole sets are verified.
+that the prefix filter needs. With Jaccard >= 4/5 the first n - ceil(4n/5) + 2 words of two linked sets share two; the
+join on one keeps pairs that share two and pass the length and positional filters, and the whole sets are verified.
 
 Equal sets meet as one. Of linked sets the one that occurs first stays, and every occurrence of the others is removed, as are
 later occurrences of a set. Occurrences are ordered by (doc_id, hash of the text, line number).
@@ -21,6 +21,8 @@ from rankloom.llm.common import SPACES
 MIN_WORDS = 5
 NUM, DEN = 4, 5
 SKETCH_BITS = 18
+#: Prefixes are so long that linked sets share at least this many of their words.
+SHARED = 2
 MAP_BITS = 24
 
 
@@ -32,8 +34,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _words(line: str) -> Column:
     """Distinct word hashes of a line."""
-    low = F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.transform(F.split(low, SPACES), lambda w: F.xxhash64(w)))
+    low = F.lower(line)
+    # a line of single blanks only is split without a pattern
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    parts = F.when(other, F.split(low, SPACES)).otherwise(F.split(low, " "))
+    return F.array_distinct(F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w)))
 
 
 def _array(values: list, kind: str) -> Column:
@@ -62,7 +67,7 @@ def _ordered(lines: DataFrame, counts: list[int]) -> DataFrame:
 
 def _prefix() -> Column:
     n = F.size("words")
-    return n - F.ceil(n * NUM / DEN).cast("int") + 1
+    return n - F.ceil(n * NUM / DEN).cast("int") + SHARED
 
 
 def similar_sets(sets: DataFrame) -> DataFrame:
@@ -71,11 +76,11 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     a, b = rows.select(*[F.col(c).alias(f"{c}_a" if c != "word" else c) for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_b" if c != "word" else c) for c in rows.columns])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
-    # before the first shared prefix word nothing is shared, so what is left from it on must do
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     met = a.join(b, "word").filter((F.col("key_a") < F.col("key_b")) & (DEN * small >= NUM * large))
-    pairs = met.groupBy("key_a", "key_b").agg(F.min_by(room >= needed, "at_a").alias("fits")).filter("fits").select("key_a", "key_b")
-    pairs = cut(pairs)
+    pairs = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
+    # up to the last shared prefix word everything shared is counted; beyond it no more than the shorter rest can be
+    room = F.col("shared") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
+    pairs = cut(pairs.filter((F.col("shared") >= SHARED) & (room >= needed)).select("key_a", "key_b"))
     wanted = cut(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
     words = cut(sets.filter(_among(wanted)).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "words"))
     both = pairs.join(words.select(F.col("key").alias("key_a"), F.col("words").alias("wa")), "key_a").join(words.select(F.col("key").alias("key_b"), F.col("words").alias("wb")), "key_b")

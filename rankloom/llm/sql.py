@@ -29,7 +29,7 @@ select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.c) as component_id f
 
 OP4 = r"""
 with l as (select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
-s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as w from l),
+s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) as w from l),
 k as (select doc_id, i, array_to_string(w, ' ') as k, w from s where len(w) >= 5),
 f as (select k, any_value(w) as w, min(doc_id * 1000000 + i) as first from k group by k),
 t as (select k, len(w) as n, unnest(w) as x from f),
