@@ -18,6 +18,18 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
+#: Rows of an Arrow batch between the JVM and Python; whole texts make the usual ten thousand too many for a small executor.
+BATCH_ROWS = 1024
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS rows, as the operators that send whole texts to Python need it."""
+    if not 0 < int(df.sparkSession.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import Words, bit_map, in_bit_map, mix, shingle_sets, slices
+from rankloom.llm.common import Words, bit_map, in_bit_map, mix, shingle_sets, slices, whole_texts
 from rankloom.operators.similarity import components
 
 WORDS = 5
@@ -190,7 +190,7 @@ def documents_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         none = np.full(len(some), -1, dtype=np.int64)
         yield pa.record_batch([pa.array(none), pa.array(none), pa.array(some), pa.array(counts[some])], names=["doc_id", "n_shingles", "key", "seen"])
 
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, key long, seen long"))
+    rows = cut(whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, key long, seen long"))
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows.filter("n_shingles = -1").groupBy("key").agg(F.sum("seen").alias("n")).toLocalIterator():  # 2^16 numbers at most
         sketch[r["key"]] = r["n"]
@@ -219,7 +219,7 @@ def buckets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands, seen = Words(), Bands(), set()
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             at, sh = sets_of(b.column("text"), words)
             keys = set_keys(at, sh)
             new = _unseen(keys, seen)
@@ -254,7 +254,7 @@ def buckets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         if held is not None:
             yield from _groups(*held)
 
-    rows = docs.select("text").mapInArrow(emit, "sig long, key long, meta long")
+    rows = whole_texts(docs).select("text").mapInArrow(emit, "sig long, key long, meta long")
     probing = F.col("meta").bitwiseAND(F.lit(PROBE | PROBE_LESS)) == 0
     grouped = rows.repartition("sig").sortWithinPartitions("sig", probing, "key")
     return cut(grouped.mapInArrow(shared_only, "sig long, key long, meta long, hub long, hub_n long, wide boolean"))
@@ -397,5 +397,5 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch(columns, names=["key", "text", *_PARITY])
 
     fields = "".join(f", {p} long" for p in _PARITY)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", hashed.alias("h")).mapInArrow(likely, f"key long, text string{fields}")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", hashed.alias("h")).mapInArrow(likely, f"key long, text string{fields}")
     return rows.join(wanted.select("key"), "key").dropDuplicates(["key"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Words, mix, slices, text_bytes
+from rankloom.llm.common import Words, mix, slices, text_bytes, whole_texts
 
 #: Labelled documents that training reads at most.
 TRAIN_ROWS = 6000
@@ -151,11 +151,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, use = Features(len(shared.value[0])), Model(*shared.value)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             owner, rows = features(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array(use.predict(owner, rows, b.num_rows))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -165,11 +165,11 @@ def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, use = Features(len(shared.value[0])), Model(*shared.value)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             owner, rows = features(b.column("text"))
             yield b.filter(pa.array(use.predict(owner, rows, b.num_rows) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import Words, bit_map, in_bit_map, mix, slices, window_hashes
+from rankloom.llm.common import Words, bit_map, in_bit_map, mix, slices, whole_texts, window_hashes
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -78,7 +78,7 @@ def seeds(texts: DataFrame, key: str, min_match: int = MIN_MATCH, only=None) ->
             ids = b.column(key).take(pa.array(doc))
             yield pa.record_batch([ids, pa.array(whole[of_doc]), pa.array(win.view(np.int64)), pa.array(pos), pa.array(n[doc])], names=[key, "text_key", "seed", "at", "n_words"])
 
-    rows = texts.select(F.col(key).cast("long").alias(key), "text")
+    rows = whole_texts(texts).select(F.col(key).cast("long").alias(key), "text")
     return rows.mapInArrow(run, f"{key} long, text_key long, seed long, at long, n_words long")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.lineage import checkpoint_root, cut
-from rankloom.llm.common import Words, slices, text_bytes
+from rankloom.llm.common import Words, slices, text_bytes, whole_texts
 
 END_ID = 1
 SEQUENCE = 2048
@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encode
     A null text is empty and gives the end id alone; a null doc_id comes first; rows that repeat a doc_id follow each other by text.
     An empty table writes no file. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
     run = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}"
