@@ -19,7 +19,7 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 #: Rows of an Arrow batch between the JVM and Python; whole texts make the usual ten thousand too many for a small executor.
-BATCH_ROWS = 1024
+BATCH_ROWS = 2048
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
