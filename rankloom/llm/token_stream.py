@@ -12,6 +12,8 @@ name and renames it. Global positions follow from the files' token totals, a few
 
 import os
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -42,12 +44,12 @@ class Encoder:
     """Whole texts to token ids with a vocabulary of lower-case words that drops white space.
 
     No token crosses ASCII white space, so a text's ids are those of its words in order; the tests hold this against encoding
-    whole texts. A task encodes each distinct word once and finds it again by a 64-bit hash; the words held are bounded by ``keep``.
+    whole texts. A worker encodes each distinct word once and finds it again by a 64-bit hash; the words held are bounded by ``keep``.
     a-z words skip the normaliser and splitter, which leave them as they are, and so do such words with an ASCII punctuation
     tail, which the splitter cuts off.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.words, self.keep = Tokenizer.from_file(path), Words(), keep
@@ -110,6 +112,14 @@ class Encoder:
         return stop[first], self.flat[take]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, made once and kept for its later tasks; what it keeps is bounded."""
+    held = sys.modules.setdefault("rankloom_worker_state", types.ModuleType("rankloom_worker_state"))
+    if getattr(held, "encoder_path", None) != path:
+        held.encoder, held.encoder_path = Encoder(path), path
+    return held.encoder
+
+
 class _Sequences:
     """Fills fixed-length sequences from runs of ids and writes full batches."""
 
@@ -158,7 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encode
         encode, out = None, None
         index = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
         n_docs = 0
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             if out is None:
                 encode = encoder()
                 file_no = b.column("file_no")[0].as_py()
@@ -259,5 +269,5 @@ def token_stream(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     ``folder`` is a folder that driver and executors share; by default the session's checkpoint folder.
     """
     path = vocabulary or vocabulary_path()
-    files = write_token_files(docs, folder or checkpoint_root(docs.sparkSession), lambda: Encoder(path), end_id, length)
+    files = write_token_files(docs, folder or checkpoint_root(docs.sparkSession), lambda: worker_encoder(path), end_id, length)
     return read_token_digests(files)
