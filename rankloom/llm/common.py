@@ -31,7 +31,8 @@ def whole_texts(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
+    """The same rows in batches whose ``column`` holds about ``limit`` bytes at most, or one row. Freed batches go back to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(size + 1) // limit

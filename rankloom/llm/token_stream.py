@@ -82,11 +82,15 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        of_word = self._word_ids(words)
-        size = np.array([len(x) for x in of_word], dtype=np.int64)
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, spans: list[tuple[int, int]]) -> None:
+        sizes, flats = [], []
+        for a in range(0, len(spans), 2000):  # the library's results are large; few at a time stay small
+            of_word = self._word_ids([data[s:e].tobytes().decode() for s, e in spans[a : a + 2000]])
+            sizes += [len(x) for x in of_word]
+            flats.append(np.array(list(chain.from_iterable(of_word)), dtype=self.dtype))
+        size = np.array(sizes, dtype=np.int64)
         begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, np.array(list(chain.from_iterable(of_word)), dtype=self.dtype)))
+        self.flat = np.concatenate((self.flat, *flats))
         at = np.searchsorted(self.known, hashes)
         self.known, self.begin, self.size = np.insert(self.known, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
@@ -102,9 +106,8 @@ class Encoder:
         if len(self.known):
             new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
         if new.any():
-            raw = data.tobytes()
             spans = where[new]
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
+            self._learn(distinct[new], data, list(zip(starts[spans].tolist(), ends[spans].tolist())))
             at = np.searchsorted(self.known, distinct)
         n = self.size[at][word] if len(word) else np.zeros(0, dtype=np.int64)
         stop = np.concatenate(([0], np.cumsum(n)))
