@@ -52,6 +52,7 @@ class Encoder:
     def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would each hold memory
         self.tok, self.words, self.keep = Tokenizer.from_file(path), Words(), keep
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.plain, self.tails = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]*)"), {}
