@@ -202,7 +202,7 @@ def history_rows(spark):
     d = [("a", dt.date(2024, 1, 1), "u", 8.0, 1, 5, c("raso")), ("a", dt.date(2024, 1, 2), "u", 5.0, 1, 5, c("ok")), ("a", dt.date(2024, 1, 2), "v", 5.0, 1, 5, c("raso")), ("a", dt.date(2024, 1, 2), "w", 4.0, 1, 9, None)]
     from rankloom.schemas import HISTORY
 
-    return spark.createDataFrame(d, HISTORY)
+    return spark.createDataFrame([(r[0], r[1], None, None, *r[2:]) for r in d], HISTORY)
 
 
 def test_history(spark, tmp_path):
