@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from rankloom.lineage import cut
 from rankloom.llm.common import SPACES
 
-#: Lines of fewer distinct words are never removed.
-MIN_WORDS = 5
+#: Lines of fewer distinct words are never removed: only those without a word, which say nothing.
+MIN_WORDS = 1
 NUM, DEN = 4, 5
+#: Smaller sets are linked with no different one: n of n + 1 words are too few.
+LEAST_LINKED = -(-NUM // (DEN - NUM))
 SKETCH_BITS = 18
 #: Prefixes are so long that linked sets share at least this many of their words.
 SHARED = 2
@@ -72,6 +74,7 @@ def _prefix() -> Column:
 
 def similar_sets(sets: DataFrame) -> DataFrame:
     """(a, b): keys of different sets with Jaccard of at least NUM / DEN; ``sets`` (key, words in order) may repeat rows."""
+    sets = sets.filter(F.size("words") >= LEAST_LINKED)
     rows = sets.select("key", F.size("words").alias("n"), F.posexplode(F.slice("words", F.lit(1), _prefix())).alias("at", "word")).distinct()
     a, b = rows.select(*[F.col(c).alias(f"{c}_a" if c != "word" else c) for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_b" if c != "word" else c) for c in rows.columns])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
