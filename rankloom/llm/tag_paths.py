@@ -1,7 +1,8 @@
 """HTML extraction (operator 5): main text by tag-path ratios.
 
 A page becomes its text blocks in order, each with the tag path from the root to it. Paths under elements that never hold an
-article's text (menus, forms, scripts, adverts and the like, by tag, role or class) are out. Of the others, a path's text
+article's text (menus, forms, scripts, adverts and the like, by tag, role or class) are out; a class is overruled by an article inside or by
+most of the page's text. Of the others, a path's text
 ratio is its characters per block and its punctuation ratio the marks per block; their product, damped by the share of link text, is
 fused with its smoothed value over neighbouring blocks. Blocks whose value reaches a share of the page's spread are content; the
 container that holds most content decides which of the remaining blocks, such as a title or a one-word paragraph, belong to it.
@@ -29,6 +30,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription sidebar widget widgets related recommended recommendations share sharing social comment comments commentlist respond reply replies disqus menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead topbar footer login signin signup search pagination pager skip hidden".split())
+#: Parts that turn the rest of a class around: "no-sidebar" and "category-notices" name no sidebar and no notice.
+STATES = frozenset("no not has have with without is hide show category cat tag format type status".split())
 HOLDERS = ("article", "main")
 #: Elements that a new one of the same group ends.
 ENDED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -45,7 +48,9 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []  # (tag, element number, out)
-        self.parent, self.tags = [-1], ["#root"]
+        self.tags = ["#root"]
+        self.named = {}  # element: (tag, the names in its classes, whether they name it for sure)
+        self.holding = set()  # elements with an article or main inside
         self.parts, self.link_chars, self.links = [], 0, 0
         self.blocks = []  # (element numbers of the path, text, characters within links)
 
@@ -87,8 +92,9 @@ class _Blocks(HTMLParser):
         self.links = 0
         got = dict(attrs)
         self.tags.append(tag)
-        self.parent.append(self.open[-1][1] if self.open else 0)
         out = bool(self.open and self.open[-1][2]) or self._never(tag, got)
+        if not out:
+            self._names(tag, got)
         self.open.append((tag, len(self.tags) - 1, out))
 
     def _never(self, tag, got):
@@ -97,10 +103,32 @@ class _Blocks(HTMLParser):
             return True
         if "hidden" in got or (got.get("aria-hidden") or "") == "true" or (got.get("role") or "").lower() in ROLES:
             return True
-        if tag in ("html", "body", *HOLDERS) and tag != "article":
-            return False
-        words = re.split(r"[^a-z]+", f"{got.get('class') or ''} {got.get('id') or ''}".lower())
-        return any(w in NAMES and not (held and w == "header") for w in words)
+        return False
+
+    def _names(self, tag, got):
+        """Notes an element that its classes or id name; main_text decides when the page is known."""
+        label = f"{got.get('class') or ''} {got.get('id') or ''}".lower().split()
+        if not label and tag not in HOLDERS:
+            return
+        kinds = [t for t, _, _ in self.open if t in HOLDERS]
+        if tag in HOLDERS and "article" not in kinds:  # an article within an article is a comment or a teaser
+            for _, e, _ in reversed(self.open):
+                if e in self.holding:
+                    break
+                self.holding.add(e)
+        if tag in ("html", "body", "main") or tag == "article" and "article" not in kinds:
+            return
+        sure, maybe = set(), set()
+        for token in label:
+            parts = [w for w in re.split(r"[^a-z]+", token) if w]
+            found = {w for w in parts if w in NAMES and not (kinds and w == "header")}
+            if not found or STATES.intersection(parts):
+                continue
+            # the last part is what a class names ("reader-comments"); a header of something ("post-header") is a part of it
+            whole = len(parts) == 1 or parts[-1] in found and parts[-1] != "header" and tag != "article"
+            (sure if whole else maybe).update(found)
+        if sure or maybe and tag != "article":
+            self.named[len(self.tags) - 1] = (tag, frozenset(sure or maybe), bool(sure))
 
     def handle_endtag(self, tag):
         if tag in INLINE:
@@ -131,11 +159,39 @@ def blocks_of(html: str) -> _Blocks:
     return p
 
 
+def _unnamed(page: _Blocks) -> list:
+    """The blocks outside of elements that their names put out.
+
+    A name does not put out an element around an article or main, nor elements of one tag and names that together hold most of the page's
+    text when it is not mostly links. A name that is only the first part of a class needs an element that is mostly links.
+    """
+    if not page.named:
+        return page.blocks
+    chars, links = {}, {}
+    for path, text, linked in page.blocks:
+        for e in {x for e in path if e in page.named for x in (e, page.named[e])}:
+            chars[e] = chars.get(e, 0) + len(text)
+            links[e] = links.get(e, 0) + linked
+    total = sum(len(text) for _, text, _ in page.blocks)
+
+    def out(e):
+        kind = page.named[e]
+        if e in page.holding or e not in chars:
+            return False
+        if not kind[2]:
+            return 2 * links[e] >= chars[e]
+        return 2 * chars[kind] <= total or 2 * links[kind] >= chars[kind]
+
+    gone = {e for e in page.named if out(e)}
+    return [b for b in page.blocks if gone.isdisjoint(b[0])] if gone else page.blocks
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by line ends; empty for a null, an empty page, or one without content."""
     if not html:
         return ""
     page = blocks_of(html)
+    page.blocks = _unnamed(page)
     if not page.blocks:
         return ""
     paths = ["/".join(page.tags[e] for e in path) for path, _, _ in page.blocks]

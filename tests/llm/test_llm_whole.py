@@ -5,7 +5,7 @@ import os
 
 import duckdb
 
-from rankloom.llm import line_dedup, sql
+from rankloom.llm import line_dedup, sql, tag_paths
 from rankloom.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +34,22 @@ def test_line_dedup_of_every_document(spark):
     got = con.execute(whole)
     cols = [d[0] for d in got.description]
     assert sorted(got.fetchall()) == sorted(tuple(r[c] for c in cols) for r in QUERIES["op4_line_dedup"](spark, FOLDER).collect())
+
+
+PARAGRAPH = "A sentence of the article, with a comma and an end. " * 6
+
+
+def test_names_do_not_put_the_article_out():
+    body = f"<h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    text = "\n".join(["Title", PARAGRAPH.strip(), PARAGRAPH.strip()])
+    aside = "<div class='sidebar'><p>Aside text, short.</p></div>"
+    for page in (
+        f"<article class='post category-notices tag-social'>{body}</article>{aside}", f"<article class='promotion'>{body}</article>{aside}",
+        f"<div class='layout no-sidebar'>{body}</div>{aside}", f"<div class='widget'><div class='x sidebar'><article>{body}</article></div></div>{aside}",
+        f"<div id=page class='with-sidebar has-comments'>{body}</div>{aside}", f"<div class='search-result'>{body}</div>{aside}", f"<div class='content related'>{body}</div>{aside}"):
+        assert tag_paths.main_text(page) == text, page
+    results = "".join(f"<div class='search'><p>{PARAGRAPH}{i}</p></div>" for i in range(9))
+    assert tag_paths.main_text(results + aside).count("\n") == 8
+    # names still put out what they name
+    for junk in ("<div class='comments'><p>Nice, really.</p></div>", "<section class='reader-comments'><p>Nice, really.</p></section>", "<div class='comments'><article class='comment'><p>Nice, really.</p></article></div>", "<div class='share-buttons'><p><a href=x>Share it</a></p></div>"):
+        assert tag_paths.main_text(f"<article>{body}{junk}</article>") == text, junk
