@@ -5,7 +5,8 @@ article's text (menus, forms, scripts, adverts and the like, by tag, role or cla
 most of the page's text. Of the others, a path's text
 ratio is its characters per block and its punctuation ratio the marks per block; their product, damped by the share of link text, is
 fused with its smoothed value over neighbouring blocks. Blocks whose value reaches a share of the page's spread are content; the
-container that holds most content decides which of the remaining blocks, such as a title or a one-word paragraph, belong to it.
+container decides which of the remaining blocks, such as a title or a one-word paragraph, belong to it: the article or main element with most
+content, which is taken whole; without one the common ancestor of all content blocks, of which only paths that are mostly links are left out.
 
 One page is one row, parsed in one go by an Arrow batch function; there is no shuffle.
 """
@@ -36,6 +37,9 @@ HOLDERS = ("article", "main")
 #: Elements that a new one of the same group ends.
 ENDED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 LIST_BORDER = frozenset("ul ol dl table".split())
+#: Elements of a list or table, and those that hold one block of text: they stand in a container and are none.
+PIECES = frozenset("ul ol dl table thead tbody tfoot tr".split())
+LEAVES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote caption figure figcaption".split())
 MARKS = re.compile(r"[.,;:!?…。，、；：！？।؟«»\"“”()]")
 WHITE = re.compile(r"\s+")
 CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
@@ -206,23 +210,56 @@ def main_text(html: str | None) -> str:
     near = np.convolve(np.pad(own, 2, mode="edge"), KERNEL / KERNEL.sum(), mode="valid")
     value = (1 - FUSED) * own + FUSED * near
     content = value >= SPREAD_SHARE * value.std()
-    holder = _container(page, content, value)
-    return "\n".join(text for i, (path, text, _) in enumerate(page.blocks) if (content[i] or page.tags[holder] in HOLDERS) and holder in (0, *path))
+    for kind in HOLDERS:
+        if (holder := _heaviest(page, content, kind)) is not None:
+            return "\n".join(text for path, text, _ in page.blocks if holder in path)
+    dense = _link_dense(page, paths, chars, linked)
+    chosen = [b[0] for b, ok, d in zip(page.blocks, content, dense) if ok and not d]
+    inside = _container(page, chosen)
+    return "\n".join(text for (path, text, _), d in zip(page.blocks, dense) if not d and path[: len(inside)] == inside)
 
 
-def _container(page: _Blocks, content: np.ndarray, value: np.ndarray) -> int:
-    """The article or main element with most content; without one, the deepest element that holds at least nine tenths of it."""
+def _heaviest(page: _Blocks, content: np.ndarray, kind: str) -> int | None:
+    """The element of a kind with most content."""
     weight = {}
-    for (path, text, _), ok, v in zip(page.blocks, content, value):
+    for (path, text, _), ok in zip(page.blocks, content):
         if ok:
-            for e in set(path):
-                weight[e] = weight.get(e, 0.0) + len(text)
-    for kind in HOLDERS:
-        if found := [e for e in weight if page.tags[e] == kind]:
-            return max(found, key=lambda e: (weight[e], -e))
-    total = sum(len(t) for (_, t, _), ok in zip(page.blocks, content) if ok)
-    deep = [e for e in weight if weight[e] >= 0.9 * total and page.tags[e] not in ("p", "li", "td", "h1", "h2", "h3")]
-    return max(deep, default=0)
+            for e in path:
+                if page.tags[e] == kind:
+                    weight[e] = weight.get(e, 0) + len(text)
+    return max(weight, key=lambda e: (weight[e], -e), default=None)
+
+
+def _link_dense(page: _Blocks, paths: list[str], chars: dict, linked: dict) -> list[bool]:
+    """Whether a block's path is mostly links, within its own list, table or section.
+
+    A menu and a list of the text may have the same tags, so a list or table is judged by itself; elsewhere the path of the whole page must be
+    dense too. Where no block is left the page is made of links, and none is dense.
+    """
+    own, own_linked, group = {}, {}, []
+    for path, p in zip((b[0] for b in page.blocks), paths):
+        inside = path[:-1]
+        while len(inside) > 1 and page.tags[inside[-1]] in PIECES and page.tags[inside[-2]] in PIECES:
+            inside = inside[:-1]
+        listed = bool(inside) and page.tags[inside[-1]] in PIECES
+        group.append((inside, "" if listed else p))
+    for g, (_, text, links) in zip(group, page.blocks):
+        own[g] = own.get(g, 0) + len(text)
+        own_linked[g] = own_linked.get(g, 0) + links
+    dense = [(not g[1] or 2 * linked[p] >= chars[p]) and 2 * own_linked[g] >= own[g] for g, p in zip(group, paths)]
+    return [False] * len(dense) if all(dense) else dense
+
+
+def _container(page: _Blocks, chosen: list[tuple]) -> tuple:
+    """The path of the common ancestor of the content blocks' paths; a list, a table or a single block is no container."""
+    inside = chosen[0] if chosen else ()
+    for path in chosen[1:]:
+        n = min(len(inside), len(path))
+        inside = inside[: next((i for i in range(n) if inside[i] != path[i]), n)]
+    whole = set(chosen)
+    while inside and (page.tags[inside[-1]] in PIECES or inside in whole and page.tags[inside[-1]] in LEAVES):
+        inside = inside[:-1]
+    return inside
 
 
 def extract(pages: DataFrame) -> DataFrame:

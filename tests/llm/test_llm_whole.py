@@ -53,3 +53,23 @@ def test_names_do_not_put_the_article_out():
     # names still put out what they name
     for junk in ("<div class='comments'><p>Nice, really.</p></div>", "<section class='reader-comments'><p>Nice, really.</p></section>", "<div class='comments'><article class='comment'><p>Nice, really.</p></article></div>", "<div class='share-buttons'><p><a href=x>Share it</a></p></div>"):
         assert tag_paths.main_text(f"<article>{body}{junk}</article>") == text, junk
+
+
+def test_pages_without_article_keep_all_blocks():
+    long = [f"Paragraph {i}: {PARAGRAPH}".strip() for i in range(8)]
+    p = "".join(f"<p>{x}</p>" for x in long[:5])
+    menu = "<div><ul>" + "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(9)) + "</ul></div>"
+    items = [f"List item number {i:03d}" for i in range(8)]
+    ul = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    end = "".join(f"<p>{x}</p>" for x in long[5:7])
+    assert tag_paths.main_text(f"<body>{menu}<div><h1>A title</h1>{p}{ul}{end}</div></body>") == "\n".join(["A title", *long[:5], *items, *long[5:7]])
+    cells = [f"c{i}" for i in range(12)]
+    rows = "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2])) + "</table>"
+    assert tag_paths.main_text(f"<body>{menu}<div>{p}{rows}</div>{menu}</body>") == "\n".join([*long[:5], *cells])
+    assert tag_paths.main_text(f"<body><div>{p}<pre>x = 1</pre><pre>y</pre><pre>z</pre><pre>u</pre></div></body>") == "\n".join([*long[:5], "x = 1", "y", "z", "u"])
+    # a lead beside the body, whose links make neither it nor the body a menu
+    lead = "<div><p>A short lead of the text, before it.</p></div>"
+    assert tag_paths.main_text(f"<body>{menu}{lead}<div>{p}</div></body>") == "\n".join(["A short lead of the text, before it.", *long[:5]])
+    assert tag_paths.main_text(f"<body>{menu}<div>{p}{ul}</div></body>") == "\n".join([*long[:5], *items])
+    # a page of links only keeps them
+    assert tag_paths.main_text("<div><p><a href=x>All of it, in one link.</a></p></div>") == "All of it, in one link."
