@@ -6,7 +6,7 @@ most of the page's text. Of the others, a path's text
 ratio is its characters per block and its punctuation ratio the marks per block; their product, damped by the share of link text, is
 fused with its smoothed value over neighbouring blocks. Blocks whose value reaches a share of the page's spread are content; the
 container decides which of the remaining blocks, such as a title or a one-word paragraph, belong to it: the article or main element with most
-content, which is taken whole; without one the common ancestor of all content blocks, of which only paths that are mostly links are left out.
+content, which is taken whole, with its siblings that hold content; without one the common ancestor of all content blocks, of which only paths that are mostly links are left out.
 
 One page is one row, parsed in one go by an Arrow batch function; there is no shuffle.
 """
@@ -211,23 +211,28 @@ def main_text(html: str | None) -> str:
     value = (1 - FUSED) * own + FUSED * near
     content = value >= SPREAD_SHARE * value.std()
     for kind in HOLDERS:
-        if (holder := _heaviest(page, content, kind)) is not None:
-            return "\n".join(text for path, text, _ in page.blocks if holder in path)
+        if holders := _holders(page, content, kind):
+            return "\n".join(text for path, text, _ in page.blocks if not holders.isdisjoint(path))
     dense = _link_dense(page, paths, chars, linked)
     chosen = [b[0] for b, ok, d in zip(page.blocks, content, dense) if ok and not d]
     inside = _container(page, chosen)
     return "\n".join(text for (path, text, _), d in zip(page.blocks, dense) if not d and path[: len(inside)] == inside)
 
 
-def _heaviest(page: _Blocks, content: np.ndarray, kind: str) -> int | None:
-    """The element of a kind with most content."""
-    weight = {}
-    for (path, text, _), ok in zip(page.blocks, content):
+def _holders(page: _Blocks, content: np.ndarray, kind: str) -> set[int]:
+    """The element of a kind with most content, and its siblings of that kind that hold content other than links."""
+    weight, parent, told = {}, {}, set()
+    for (path, text, links), ok in zip(page.blocks, content):
         if ok:
-            for e in path:
+            for above, e in zip((0, *path), path):
                 if page.tags[e] == kind:
-                    weight[e] = weight.get(e, 0) + len(text)
-    return max(weight, key=lambda e: (weight[e], -e), default=None)
+                    weight[e], parent[e] = weight.get(e, 0) + len(text), above
+                    if 2 * links < len(text):
+                        told.add(e)
+    if not weight:
+        return set()
+    best = max(weight, key=lambda e: (weight[e], -e))
+    return {best} | {e for e in told if parent[e] == parent[best]}
 
 
 def _link_dense(page: _Blocks, paths: list[str], chars: dict, linked: dict) -> list[bool]:

@@ -73,3 +73,10 @@ def test_pages_without_article_keep_all_blocks():
     assert tag_paths.main_text(f"<body>{menu}<div>{p}{ul}</div></body>") == "\n".join([*long[:5], *items])
     # a page of links only keeps them
     assert tag_paths.main_text("<div><p><a href=x>All of it, in one link.</a></p></div>") == "All of it, in one link."
+
+
+def test_sibling_articles_are_kept():
+    one, two = f"First. {PARAGRAPH}{PARAGRAPH}".strip(), f"Second. {PARAGRAPH}".strip()
+    teaser = "<div><article><p>A teaser elsewhere, with a mark.</p></article></div><article><p><a href=x>Only a link</a></p></article>"
+    page = f"<body><main><article><p>{one}</p></article><article><p>{two}</p></article>{teaser}</main></body>"
+    assert tag_paths.main_text(page) == f"{one}\n{two}"
