@@ -94,9 +94,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     ``min_match`` words. Rows that repeat a doc_id, also a null one, count as one document when their texts are equal and are judged each for itself
     otherwise. An item_id with several texts is covered by any of them.
     """
+    return _covering(docs, "doc_id", benchmark, min_match, min_coverage)
+
+
+def _covering(docs: DataFrame, name: str, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``contaminated`` with documents named by the column ``name``."""
     items = cut(seeds(benchmark, "item_id", min_match))
     known = docs.sparkSession.sparkContext.broadcast(bit_map(items, "seed"))
-    hits = cut(seeds(docs, "doc_id", min_match, known).join(items.select("seed").distinct(), "seed", "left_semi"))
+    hits = cut(seeds(docs, name, min_match, known).join(items.select("seed").distinct(), "seed", "left_semi"))
     once = hits.select("text_key", "seed", F.col("at").alias("i")).distinct()
     windows = items.select("seed", "item_id", F.col("text_key").alias("item_key"), F.col("at").alias("j"), "n_words")
     met = once.join(windows, "seed").groupBy("text_key", "item_id", "item_key", "n_words").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
@@ -113,12 +118,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     tiled = met.mapInArrow(tile, "text_key long, item_id long, n_item_words long, n_tiles long, tiled_words long")
     tiled = tiled.withColumn("coverage", F.round(F.col("tiled_words") / F.col("n_item_words"), 6)).filter(F.col("coverage") >= min_coverage)
     best = tiled.groupBy("text_key", "item_id").agg(F.max(F.struct("coverage", "n_item_words", "tiled_words", "n_tiles")).alias("t"))
-    owners = hits.select("doc_id", "text_key").distinct()
-    return owners.join(best, "text_key").groupBy("doc_id", "item_id").agg(F.max("t").alias("t")).select(
-        "doc_id", "item_id", "t.n_item_words", "t.n_tiles", "t.tiled_words", "t.coverage")
+    owners = hits.select(name, "text_key").distinct()
+    return owners.join(best, "text_key").groupBy(name, "item_id").agg(F.max("t").alias("t")).select(
+        name, "item_id", "t.n_item_words", "t.n_tiles", "t.tiled_words", "t.coverage")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id no benchmark item contaminates, with all their columns."""
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` whose text no benchmark item contaminates, with all their columns.
+
+    Each row is judged by its own text, also where rows share a doc_id or have none.
+    """
+    text_hash = F.xxhash64("text")
+    bad = cut(_covering(docs.select(text_hash.alias("text_hash"), "text"), "text_hash", benchmark).select(F.col("text_hash").alias("_bad")).distinct())
+    return docs.join(bad, text_hash == F.col("_bad"), "left_anti")

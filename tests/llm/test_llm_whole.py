@@ -5,7 +5,7 @@ import os
 
 import duckdb
 
-from rankloom.llm import line_dedup, sql, tag_paths
+from rankloom.llm import jaccard_join, line_dedup, sql, tag_paths, tiling
 from rankloom.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,3 +80,14 @@ def test_sibling_articles_are_kept():
     teaser = "<div><article><p>A teaser elsewhere, with a mark.</p></article></div><article><p><a href=x>Only a link</a></p></article>"
     page = f"<body><main><article><p>{one}</p></article><article><p>{two}</p></article>{teaser}</main></body>"
     assert tag_paths.main_text(page) == f"{one}\n{two}"
+
+
+DOCS = "doc_id long, text string, source string"
+
+
+def test_contaminated_rows_go_by_their_text(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"x {item} y", "a"), (None, "a clean text of some words", "a"), (None, None, "a"), (7, item, "b"), (7, "another clean text of some words", "b"), (8, "", "b"), (9, item, "b")]
+    left = tiling.without_contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == ["doc_id", "text", "source"]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
