@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
@@ -323,20 +323,33 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies, with all their columns: of each component the document with its smallest doc_id stays.
+    """The rows of ``docs`` without near copies, with all their columns: of each component the first row by (doc_id, text) stays.
 
-    Of rows that repeat that doc_id one stays, the first by text. A row without a doc_id cannot be told from others
-    by it and stays.
+    A row's component is that of its text, whatever rows share its doc_id. Rows without a doc_id are compared among themselves: of those in a
+    component the first by text stays, next to the first with a doc_id. Rows without words are no copies and all stay.
     """
-    found = cut(similar_components(docs))
-    many = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).filter((F.col("n") > 1) | (F.col("c") != F.col("doc_id"))))
-    key = F.col("doc_id").cast("long")
-    rest = docs.join(many.select(F.col("doc_id").alias("_d")), key == F.col("_d"), "left_anti")
-    again = many.filter("c = doc_id")
-    if not again.isEmpty():
-        first = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last())
-        same = docs.join(again.select(F.col("doc_id").alias("_d")), key == F.col("_d"), "left_semi")
-        rest = rest.unionByName(same.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = similar_components(docs.select(row.alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    rows = docs.groupBy(row.alias("row")).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("n"))
+    rows = cut(rows.join(found, "row").withColumn("nameless", F.col("id").isNull()))
+    group = ["component", "nameless"]
+    # of each component the rows with its least doc_id; by text only where several texts share that
+    least = rows.groupBy(*group).agg(F.min_by(F.struct("row", "n"), F.struct("id", "row")).alias("first"), F.min("id").alias("least"), F.count("*").alias("members"))
+    first = cut(least.select(*group, "least", "members", "first.row", "first.n"))
+    tied = rows.join(first.filter("members > 1").select(*group, "least"), group).filter(F.col("id").eqNullSafe(F.col("least"))).select(*group, "row", "n")
+    tied = cut(tied.join(tied.groupBy(*group).agg(F.count("*").alias("ties")).filter("ties > 1").drop("ties"), group))
+    kept = first.select(*group, "row", "n")
+    if not tied.isEmpty():
+        texts = docs.select(row.alias("row"), "text").join(tied, "row").groupBy(*group).agg(F.min(F.struct("text", "row", "n")).alias("t"))
+        kept = kept.join(tied.select(*group).distinct(), group, "left_anti").unionByName(texts.select(*group, "t.row", "t.n"))
+    kept = cut(kept.select("row", "n"))
+    again = kept.filter("n > 1").select(F.col("row").alias("_again"))
+    gone = rows.select("row").join(kept.filter("n = 1"), "row", "left_anti").select(F.col("row").alias("_gone"))
+    rest = docs.join(gone, row == F.col("_gone"), "left_anti")
+    if not again.isEmpty():  # rows that repeat doc_id and text: one of them
+        same = docs.withColumn("_row", row).join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+        rest = rest.unionByName(same)
     return rest
 
 

@@ -2,11 +2,13 @@
 
 import glob
 import os
+import random
 
 import duckdb
 
 from rankloom.llm import jaccard_join, line_dedup, sql, tag_paths, tiling
 from rankloom.llm.queries import QUERIES
+from tests.llm.brute import components, shingles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -91,3 +93,33 @@ def test_contaminated_rows_go_by_their_text(spark):
     left = tiling.without_contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert left.columns == ["doc_id", "text", "source"]
     assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_one_row_of_each_component(spark):
+    def text(name, n=12):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        (3, text("a"), "x"), (5, text("a"), "x"), (5, text("b"), "x"),  # a copy of a smaller id, and a text of its own
+        (6, text("c"), "x"), (6, text("d"), "x"), (6, text("d"), "x"),  # different texts of one id, one of them twice
+        (7, text("e", 40) + " z", "x"), (7, text("e", 40), "x"),  # near copies of one id: the first by text
+        (None, text("f"), "x"), (None, text("f"), "x"), (None, text("g"), "x"), (8, "", "x"), (8, "", "x"), (9, None, "x"), (None, None, "x")]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS))
+    assert out.columns == ["doc_id", "text", "source"]
+    want = [rows[i] for i in (0, 2, 3, 4, 7, 8, 10, 11, 12, 13, 14)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_row_of_each_component_of_random_rows(spark):
+    rng, rows = random.Random(3), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(rng.choice((1, 4, 30, 60)))]
+        for _ in range(rng.randint(1, 5)):
+            copy = base + [f"n{rng.randint(0, 2)}"] * (len(base) > 20 and rng.random() < 0.6)
+            rows += [(rng.randint(1, 25), " ".join(copy), "x")] * rng.choice((1, 1, 2))
+    component = components({i: shingles(t) for i, (_, t, _) in enumerate(rows)})
+    least = {}
+    for i, r in enumerate(rows):
+        c = component[i]
+        least[c] = min(least.get(c, r), r)
+    assert sorted(map(tuple, jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS)).collect())) == sorted(least.values())
