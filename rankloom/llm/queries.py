@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import host_rules, jaccard_join, line_dedup, mixing, preferences, quality, sharding, sql, tag_paths, tiling
+from rankloom.llm import byte_pairs, host_rules, jaccard_join, line_dedup, mixing, periodic_runs, preferences, quality, sharding, source_audit, sql, tag_paths, tiling
 from rankloom.llm import token_stream as ts
 
 
@@ -55,6 +55,18 @@ def op10(spark, folder):
     return out.withColumns(spans)
 
 
+def op11(spark, folder):
+    return periodic_runs.run_digests(_table(spark, folder, "documents"))
+
+
+def op12(spark, folder):
+    return source_audit.divergence(_table(spark, folder, "documents"))
+
+
+def op13(spark, folder):
+    return byte_pairs.round_trip_digests(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_greedy_string_tiling": op1,
     "op2_host_quality_rules": op2,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_fair_mix": op8,
     "op9_rendezvous_shards": op9,
     "op10_preference_pairs": op10,
+    "op11_periodic_runs": op11,
+    "op12_source_audit": op12,
+    "op13_byte_pairs": op13,
 }
 
 SQL = {
@@ -75,4 +90,5 @@ SQL = {
     "op8_fair_mix": sql.OP8,
     "op9_rendezvous_shards": sql.OP9,
     "op10_preference_pairs": sql.OP10,
+    "op12_source_audit": sql.OP12,
 }

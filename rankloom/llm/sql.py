@@ -30,7 +30,7 @@ select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.c) as component_id f
 OP4 = r"""
 with l as (select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
 s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) as w from l),
-k as (select doc_id, i, array_to_string(w, ' ') as k, w from s where len(w) >= 5),
+k as (select doc_id, i, array_to_string(w, ' ') as k, w from s where len(w) >= 1),
 f as (select k, any_value(w) as w, min(doc_id * 1000000 + i) as first from k group by k),
 t as (select k, len(w) as n, unnest(w) as x from f),
 df as (select x, count(*) as c from t group by x),
@@ -88,3 +88,20 @@ select pair_id, count(*) filter (shared)::int as n_prompt_turns, coalesce(string
   coalesce(string_agg((sb + length(head))::bigint || '-' || (sb + length(rb) - 1)::bigint, ',' order by n) filter (not shared and has and role = 'assistant'), '') as rejected_spans
 from z group by pair_id
 """
+
+OP12 = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+o as (select id, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as n from o group by all having count(distinct id) >= 10),
+l as (select lang, count(*) as v, sum(n) as n_lang from k group by lang),
+c as (select o.lang, source, o.term, count(*) as n from o join k on k.lang = o.lang and k.term = o.term group by all),
+g as (select d.lang, d.source, (select coalesce(sum(n), 0) from c where c.lang = d.lang and c.source = d.source) as n from (select distinct lang, source from d) d),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.n + 2 * v) as p, 1 + 1000000000::hugeint * (k.n + 2) // (n_lang + 2 * v) as q
+  from g join l on l.lang = g.lang join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pair as (select x.lang, x.source, 'pair' as part, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+none as (select x.lang, x.source, 'pair', y.source, 0 from g x join g y on x.lang = y.lang and x.source <> y.source where x.lang not in (select lang from l)),
+term as (select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q),
+u as (from pair union all from none union all from term)
+select lang, source, part, item, value::bigint as value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from u qualify part = 'pair' or rank <= 10
+"""
