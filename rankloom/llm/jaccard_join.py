@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import Words, bit_map, in_bit_map, mix, shingle_sets, slices, whole_texts
+from rankloom.llm.common import bit_map, free_name, in_bit_map, mix, shingle_sets, slices, whole_texts, Words
 from rankloom.operators.similarity import components
 
 WORDS = 5
@@ -344,11 +344,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         texts = docs.select(row.alias("row"), "text").join(tied, "row").groupBy(*group).agg(F.min(F.struct("text", "row", "n")).alias("t"))
         kept = kept.join(tied.select(*group).distinct(), group, "left_anti").unionByName(texts.select(*group, "t.row", "t.n"))
     kept = cut(kept.select("row", "n"))
-    again = kept.filter("n > 1").select(F.col("row").alias("_again"))
-    gone = rows.select("row").join(kept.filter("n = 1"), "row", "left_anti").select(F.col("row").alias("_gone"))
-    rest = docs.join(gone, row == F.col("_gone"), "left_anti")
+    mark = free_name(docs, "row_hash")
+    again = kept.filter("n > 1").select(F.col("row").alias(mark + "_again"))
+    gone = rows.select("row").join(kept.filter("n = 1"), "row", "left_anti").select(F.col("row").alias(mark))
+    rest = docs.join(gone, row == F.col(mark), "left_anti")
     if not again.isEmpty():  # rows that repeat doc_id and text: one of them
-        same = docs.withColumn("_row", row).join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+        same = docs.withColumn(mark, row).join(again, F.col(mark) == F.col(mark + "_again"), "left_semi").dropDuplicates([mark]).drop(mark)
         rest = rest.unionByName(same)
     return rest
 

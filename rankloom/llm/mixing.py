@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import n_words
+from rankloom.llm.common import free_name, n_words
 
 MAX_REPEATS = 3
 #: Hex digits of the shuffle key that name a slice of a source's order: 16^3 slices.
@@ -126,8 +126,9 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken; the order is for the reader to choose."""
-    own = [c for c in docs.columns if c not in ("_row", "_times")]
-    marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = marked.select(F.col("_row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"))
-    taken = mix(cut(rows), share=share).documents.filter("times > 0").select(F.col("row_id").alias("_r"), F.col("times").alias("_times"))
-    return marked.join(taken, F.col("_row") == F.col("_r")).select(*own, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_times")).select(*own)
+    own = docs.columns
+    row, times = free_name(docs, "row_no"), free_name(docs, "times")
+    marked = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = marked.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"))
+    taken = mix(cut(rows), share=share).documents.filter("times > 0").select(F.col("row_id").alias(row + "_taken"), F.col("times").alias(times))
+    return marked.join(taken, F.col(row) == F.col(row + "_taken")).select(*own, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*own)

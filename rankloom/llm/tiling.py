@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import Words, bit_map, in_bit_map, mix, slices, whole_texts, window_hashes
+from rankloom.llm.common import Words, bit_map, free_name, in_bit_map, mix, slices, whole_texts, window_hashes
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -64,7 +64,7 @@ def seeds(texts: DataFrame, key: str, min_match: int = MIN_MATCH, only=None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             at, h = words(b.column("text"))
             doc, pos, win = window_hashes(at, h, min_match)
             n = np.diff(at)
@@ -128,6 +128,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Each row is judged by its own text, also where rows share a doc_id or have none.
     """
-    text_hash = F.xxhash64("text")
-    bad = cut(_covering(docs.select(text_hash.alias("text_hash"), "text"), "text_hash", benchmark).select(F.col("text_hash").alias("_bad")).distinct())
-    return docs.join(bad, text_hash == F.col("_bad"), "left_anti")
+    text_hash, bad = F.xxhash64("text"), free_name(docs, "contaminated_hash")
+    found = _covering(docs.select(text_hash.alias("text_hash"), "text"), "text_hash", benchmark)
+    return docs.join(cut(found.select(F.col("text_hash").alias(bad)).distinct()), text_hash == F.col(bad), "left_anti")
