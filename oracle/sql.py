@@ -328,6 +328,15 @@ Q["M01_tfidf_vectors"] = f"""with w as (select site, page, regexp_extract_all(lo
   n as (select site, count(*) docs from texts group by site), v as (select * from (select site, term, count(*) df, row_number() over (partition by site order by sum(tf) desc, term) rn from tf group by site, term) where rn <= 8192),
   x as (select tf.site, page, tf.term, tf * (ln((1 + docs) / (1 + df)) + 1) x from tf join v on v.site = tf.site and v.term = tf.term join n on n.site = tf.site)
   select site, page, term, {rnd('x / sqrt(sum(x * x) over (partition by site, page))', 6)} weight from x"""
+# word vectors with their exact weights; of equal ones (to six decimals) the smallest page stands for all
+TEXT_VECTORS = Q["M01_tfidf_vectors"].replace(rnd("x / sqrt(sum(x * x) over (partition by site, page))", 6), "x / sqrt(sum(x * x) over (partition by site, page))")
+TEXT_PAIRS = f"""same as (select site, page, min(page) over (partition by site, v) same_as from (select site, page, list((term, round(weight, 6)) order by term) v from wv group by all)),
+  rv as (select wv.* from wv join same s on s.site = wv.site and s.page = wv.page and s.page = same_as),
+  tp as (select x.site, x.page a, y.page b, sum(x.weight * y.weight) sim from rv x join rv y on x.site = y.site and x.term = y.term and x.page < y.page group by all having sim >= 0.55)"""
+Q["J19_sparse_pairs"] = f"with wv as ({TEXT_VECTORS}), {TEXT_PAIRS} select site, a, b, {rnd('sim', 6)} sim from tp"
+Q["G01_text_components"] = f"""with recursive wv as ({TEXT_VECTORS}), {TEXT_PAIRS}, e as (select site, a, b from tp union select site, same_as, page from same where page <> same_as), be as (from e union select site, b, a from e),
+  r as (select site, page, page c from texts union select r.site, be.b, r.c from r join be on be.site = r.site and be.a = r.page)
+  select site, page, min(c) as cluster from r group by site, page"""
 Q["M02_incremental_embeddings"] = f"""select site, page, {HASH} hash, l.doc_id is not null reused, case when l.doc_id is not null then 0.0 else 1.0 end::double v1, length(text)::double v2 from texts t left join (select distinct doc_id from labels) l on l.doc_id = t.doc_id"""
 PARTS = lambda n: f"""(select site, cluster, string_agg('--- PÁGINA ' || i || ' (slug: ' || page || ') [posição ' || coalesce(printf('%.1f', position), 's/d') || ', ' || clicks || ' cliques, ' || impressions || ' impressões] ---' || chr(10) || coalesce(text, '')[1:{n}], chr(10) || chr(10) order by i) blocks,
   min(page) filter (i = 1) best, count(*) shown from (select e.*, t.text, row_number() over (partition by e.site, e.cluster order by clicks desc, impressions desc, coalesce(position, 9999), e.page) i from enriched e left join texts t on t.page = e.page) where i <= 6 group by site, cluster)"""

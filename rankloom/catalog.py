@@ -13,11 +13,12 @@ from rankloom.functions.wordlists import TTL_HOURS
 from rankloom.lineage import cut
 from rankloom.operators import (
     consolidation as cons, content, entities as ent, history as hist, keywords as kw, links, portfolio, prompts,
-    pruning, ranking, similarity as sim, trends, vectors as vec,
+    pruning, ranking, similarity as sim, sparse, trends, vectors as vec,
 )
 from rankloom.sources import files, history as stored, metrics, reviewed_plan as rp, sitemap as sm
 from rankloom.sinks import reports
 
+TEXT_NEAR = 0.55  # the same for word vectors of the given texts
 NEAR = 0.40  # similarity threshold that gives groups on the given vectors
 AS_OF = "2024-01-28"
 COL = F.col
@@ -256,6 +257,10 @@ def _priority(d):
     return sim.group_priority(_perf(d))
 
 
+def _text_weights(d):
+    return d.once("text_weights", lambda: cut(vec.tfidf(d.texts().select("site", "page", "text"))))
+
+
 def _texts(d):
     return d.texts().withColumn("site", F.lit("all")).select("site", "page", "text")
 
@@ -461,6 +466,7 @@ QUERIES = {
     "J17_brand_entity": lambda d: ent.brand_entity(_candidates(d)),
     "J18_refresh_worklist": j18,
     "J18_upsert_results": lambda d: hist.upsert_results(_results_of(d, 0), _results_of(d, 1)),
+    "J19_sparse_pairs": lambda d: sparse.sparse_cosine_pairs(_text_weights(d), TEXT_NEAR).withColumn("sim", F.round("sim", 6)),
     "J19_cosine_pairs": lambda d: sim.cosine_pairs(sim.distinct_vectors(d.vectors()), NEAR).select("site", "a", "b", F.round("sim", 6).alias("sim")),
     # 2.6 aggregations
     "A01_position_summary": lambda d: ranking.position_summary(d.position_rows()),
@@ -519,6 +525,7 @@ QUERIES = {
         "site", "url", F.array_join("covered", " ").alias("covered"), F.array_join("gaps", " ").alias("gaps")),
     # 2.9 graph and plans
     "G01_threshold_components": lambda d: sim.threshold_clusters(d.vectors(), NEAR),
+    "G01_text_components": lambda d: sparse.sparse_clusters(d.texts(), _text_weights(d), TEXT_NEAR),
     "G02_linkage_clusters": lambda d: sim.linkage_clusters(d.vectors(), NEAR),
     "G02_average_linkage": lambda d: sim.linkage_clusters(d.vectors(), NEAR, "average"),
     "G03_build_clusters": lambda d: sim.cluster_table(_members(d)),

@@ -2,8 +2,6 @@
 except entity unescaping, which needs the HTML5 entity table."""
 
 import html
-import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,36 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from rankloom.functions.folding import fold
 from rankloom.functions.wordlists import SLUG_STOPWORDS, TERM_STOPWORDS, KEYWORD_STOPWORDS
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
-@lru_cache(maxsize=1)
-def _fold_alphabet():
-    """Latin letters whose compatibility decomposition is one base letter plus marks."""
-    src, dst = [], []
-    for cp in range(0xA0, 0x0250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(cp) and base.isascii():
-            src.append(chr(cp))
-            dst.append(base)
-    return "".join(src), "".join(dst)
-
-
-@pandas_udf(StringType())
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
-
-
 def fold_accents(c) -> Column:
-    """X10a. The compatibility decomposition without combining marks, in any script.
-
-    Latin letters are translated in the JVM; only texts that still hold something outside ASCII go on to Python.
-    """
-    src, dst = _fold_alphabet()
-    latin = F.translate(c, src, dst)
-    return F.coalesce(_decomposed(F.when(latin.rlike(r"[^\x00-\x7F]"), latin)), latin)
+    """X10a. The compatibility decomposition without combining marks, in any script."""
+    return fold(c)
 
 
 def ascii_fold(c) -> Column:

@@ -3,13 +3,16 @@
 Items are (site, cluster, slug, keyword, impressions); their order is (cluster, slug, keyword).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_tokens, normalize_keyword
 from rankloom.lineage import cut
 from rankloom.operators.setjoin import ordered_jaccard_pairs, ordered_subset_pairs, rare_first
 
+#: Sets of a site that the first round of near_groups settles, and how many times as far each next one reaches.
+FIRST_PREFIX, GROWTH = 512, 8
+
 
 def keyword_items(plan: DataFrame) -> DataFrame:
     items = plan.withColumn("norm", normalize_keyword(F.col("keyword"))).filter(F.col("norm") != "")
@@ -32,47 +35,78 @@ def exact_collisions(items: DataFrame) -> DataFrame:
     return _collisions(items, ["site", "norm"], "exata")
 
 
+def near_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(site, left, right): pairs of different sets of two rare_first tables that are near: by Jaccard, or one inside the other."""
+    similar = ordered_jaccard_pairs(left, right, threshold).select("site", "left", "right").filter(F.col("left") != F.col("right"))
+    around = ordered_subset_pairs(right, left).select("site", F.col("right").alias("left"), F.col("left").alias("right"))
+    return similar.unionByName(ordered_subset_pairs(left, right)).unionByName(around).distinct()
+
+
 def near_sets(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """J13. (site, left, right) token sets, both of two or more words, that are near: subset or Jaccard."""
     ordered = cut(rare_first(items.filter(F.size("tokens") >= 2)))
-    similar = ordered_jaccard_pairs(ordered, ordered, threshold).select("site", "left", "right").filter(F.col("left") != F.col("right"))
-    inside = ordered_subset_pairs(ordered)
-    both = inside.unionByName(inside.select("site", F.col("right").alias("left"), F.col("left").alias("right")))
-    return similar.unionByName(both).distinct()
+    return near_between(ordered, ordered, threshold)
 
 
-def near_groups(items: DataFrame, threshold: float = 0.7) -> DataFrame:
+def numbered(sets: DataFrame) -> DataFrame:
+    """(site, tokens, idx): the place of every set (site, tokens, ord) in its site's order, from 0. Rows are dealt by range, so that no site is sorted in one task."""
+    dealt = cut(sets.repartitionByRange("site", "ord").sortWithinPartitions("site", "ord").select("site", "tokens", F.monotonically_increasing_id().alias("at")))
+    dealt = dealt.withColumn("part", F.shiftright("at", 33))
+    parts = dealt.groupBy("site", "part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    before = F.sum("n").over(Window.partitionBy("site").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("site", "part", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("shift"))
+    return dealt.join(starts, ["site", "part"]).select("site", "tokens", (F.col("at") + F.col("shift")).alias("idx"))
+
+
+def near_groups(items: DataFrame, threshold: float = 0.7, prefix: int = FIRST_PREFIX, growth: int = GROWTH) -> DataFrame:
     """J13. (site, tokens, seed): the token set whose first item opened the group.
 
-    In item order, an unused set opens a group and takes every later set near to it. A set is settled
-    once the first of its earlier, untaken neighbours is known to open a group, so each round settles
+    In item order, an unused set opens a group and takes every later set near to it. A round settles the next stretch of every
+    site, ``growth`` times as long as all before: near pairs are looked for among the stretch's free sets only, and the sets that open a group
+    then take the later ones near to them. A set that is taken is never looked at again, so a dense vocabulary costs
+    about a pair for each set, not one for each near pair, and no table of all near pairs is made.
+    """
+    long_sets = items.filter(F.size("tokens") >= 2)
+    first = long_sets.groupBy("site", "tokens").agg(F.min("ord").alias("ord"))
+    free = cut(numbered(first).join(rare_first(long_sets), ["site", "tokens"]).select("site", "tokens", "ordered", "idx"))
+    end = free.agg(F.max("idx")).first()[0]
+    moved, reach = first.select("site", "tokens", F.col("tokens").alias("seed")).limit(0), prefix
+    while end is not None:
+        stretch = free.filter(F.col("idx") < reach)
+        inside = _settled(near_between(stretch, stretch, threshold), stretch)
+        moved = moved.unionByName(inside)
+        if reach > end:
+            break
+        later = free.filter(F.col("idx") >= reach)
+        openers = cut(stretch.join(inside.select("site", "tokens"), ["site", "tokens"], "left_anti"))
+        met = near_between(openers, later, threshold).join(openers.select("site", F.col("tokens").alias("left"), "idx"), ["site", "left"])
+        taken = cut(met.groupBy("site", F.col("right").alias("tokens")).agg(F.min_by("left", "idx").alias("seed")))
+        moved = moved.unionByName(taken)
+        free = cut(later.join(taken.select("site", "tokens"), ["site", "tokens"], "left_anti"))
+        reach *= growth
+    return first.select("site", "tokens").join(moved, ["site", "tokens"], "left").select("site", "tokens", F.coalesce("seed", "tokens").alias("seed"))
+
+
+def _settled(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(site, tokens, seed) of the sets that an earlier one takes, from all near pairs among ``sets``; stored.
+
+    A set is settled once the first of its earlier, untaken neighbours is known to open a group, so each round settles
     many sets at once; sequential order is kept exactly and rounds stay few ("Greedy Sequential Maximal
     Independent Set and Matching are Parallel on Average", Blelloch et al., 2012).
     """
-    first = cut(items.filter(F.size("tokens") >= 2).groupBy("site", "tokens").agg(F.min("ord").alias("ord")))
-    near = near_sets(items, threshold)
-    so = first.select("site", F.col("tokens").alias("left"), F.col("ord").alias("lo"))
-    do = first.select("site", F.col("tokens").alias("right"), F.col("ord").alias("ro"))
-    active = cut(near.join(so, ["site", "left"]).join(do, ["site", "right"]).filter(F.col("lo") < F.col("ro")).select("site", "left", "lo", "right"))
-    taken = []
+    left = sets.select("site", F.col("tokens").alias("left"), F.col("idx").alias("lo"))
+    right = sets.select("site", F.col("tokens").alias("right"), F.col("idx").alias("ro"))
+    active = cut(near.join(left, ["site", "left"]).join(right, ["site", "right"]).filter(F.col("lo") < F.col("ro")).select("site", "left", "lo", "right"))
+    out = active.select("site", F.col("right").alias("tokens"), F.col("left").alias("seed")).limit(0)
     while not active.isEmpty():
-        earliest = active.groupBy("site", "right").agg(F.min(F.struct("lo", "left")).alias("m"))
-        open_sets = active.select("site", "left").distinct().join(
-            earliest.select("site", F.col("right").alias("left")), ["site", "left"], "left_anti"
-        )
-        settled = cut(
-            earliest.select("site", "right", F.col("m.left").alias("left")).join(open_sets, ["site", "left"]).select("site", F.col("right").alias("tokens"), F.col("left").alias("seed"))
-        )
-        taken.append(settled)
-        gone_right = settled.select("site", F.col("tokens").alias("right"))
-        gone_left = settled.select("site", F.col("tokens").alias("left"))
-        active = cut(active.join(gone_right, ["site", "right"], "left_anti").join(gone_left, ["site", "left"], "left_anti").select("site", "left", "lo", "right"))
-    out = first.select("site", "tokens", F.col("tokens").alias("seed"))
-    if taken:
-        moved = taken[0]
-        for t in taken[1:]:
-            moved = moved.unionByName(t)
-        out = out.join(moved.select("site", "tokens"), ["site", "tokens"], "left_anti").unionByName(moved)
+        earliest = active.groupBy("site", "right").agg(F.min_by("left", "lo").alias("left"))
+        taken = earliest.select("site", F.col("right").alias("left"))
+        opening = active.select("site", "left").distinct().join(taken, ["site", "left"], "left_anti")
+        settled = cut(earliest.join(opening, ["site", "left"]).select("site", F.col("right").alias("tokens"), F.col("left").alias("seed")))
+        out = out.unionByName(settled)
+        for side in ("right", "left"):
+            active = active.join(settled.select("site", F.col("tokens").alias(side)), ["site", side], "left_anti")
+        active = cut(active.select("site", "left", "lo", "right"))
     return out
 
 

@@ -13,7 +13,6 @@ from rankloom.operators.setjoin import jaccard_pairs
 REVIEW_IMPRESSIONS = 10
 TOP_QUERIES = 3
 SLUG_JACCARD = 0.5
-HEAVY_QUERY_PAIRS = 1_000_000
 
 
 def sitemap_keys(sitemap: DataFrame) -> DataFrame:
@@ -80,58 +79,35 @@ def top_ghost_queries(ghosts: DataFrame, query_page: DataFrame, top: int = TOP_Q
     )
 
 
-def targets_by_query(
-    ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, heavy_pairs: int = HEAVY_QUERY_PAIRS, keys: DataFrame | None = None
-) -> DataFrame:
+def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """J03. Per ghost the live page that shares the most of its query impressions.
 
     Score of (ghost, page) = sum over shared non-brand queries of ghost impressions + 1, ties by the
-    page's clicks on them, then URL. Queries with few (ghost, page) pairs are joined as they are. A
-    query that many ghosts and many pages share would pair them all, so it takes another way: pages
-    with the same set of heavy queries get the same heavy score, hence one of them (most clicks, then
-    URL) stands for all that share nothing else with the ghost. Both ways together are exact.
+    page's clicks on them, then URL. Of the pages that share one query only with a ghost, the first of that query's pages is the best, so it
+    stands for all, and the best of these is what others must beat. A page that shares two or more is met at the rarer of them: a ghost's
+    queries are gone through from few pages to many, never its last one, and only while all that is still open reaches
+    that bound. So a query that many ghosts and pages share pairs them only where it is not a ghost's commonest one and could decide.
     """
     keys = url_keys(query_page) if keys is None else keys
     g, a = cut(_ghost_side(ghosts, query_page, sitemap, keys)), cut(_page_side(query_page, sitemap, keys))
-    q = ["site", "query"]
-    load = g.groupBy(*q).agg(F.count("*").alias("gs")).join(a.groupBy(*q).agg(F.count("*").alias("ps")), q)
-    heavy = cut(load.filter(F.col("gs") * F.col("ps") > heavy_pairs).select(*q))
-    pair = ["site", "match_key", "url"]
+    q, old, pair = ["site", "query"], ["site", "match_key"], ["site", "match_key", "url"]
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), F.col("url").alias("u")))
+    met = g.join(a.groupBy(*q).agg(first.alias("first"), F.count("*").alias("pages")), q).withColumn("most", F.col("w") * -F.col("first.n"))
+    own = Window.partitionBy(*old)
+    order = own.orderBy("pages", "query")
+    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = met.withColumns({"bound": F.max("most").over(own), "open": F.sum("most").over(own) - before, "more": F.lead("query").over(order).isNotNull()})
+    met = cut(met.withColumn("probed", F.col("more") & (F.col("open") >= F.col("bound"))))
+    singles = met.select(*old, F.col("first.u").alias("url"), F.col("most").alias("score"), (F.col("m") * -F.col("first.c")).alias("pair_clicks"))
     points = [F.sum(F.col("w") * F.col("n")).alias("score"), F.sum(F.col("m") * F.col("c")).alias("pair_clicks")]
-    if heavy.isEmpty():
-        return _best_target(g.join(a, q).groupBy(*pair).agg(*points))
-    light_pairs = g.join(heavy, q, "left_anti").join(a, q).groupBy(*pair).agg(*points)
-
-    gh, ah = g.join(heavy, q, "left_semi"), a.join(heavy, q, "left_semi")
-    # what heavy queries add to pairs that already share a light one
-    added = light_pairs.select(*pair).join(ah, ["site", "url"]).join(gh, ["site", "match_key", "query"]).groupBy(*pair).agg(*points)
-
-    # signatures: the heavy queries of a ghost, and of a page
-    gsig = gh.groupBy("site", "match_key").agg(F.array_sort(F.collect_list(F.struct("query", "m"))).alias("gsig"))
-    asig = ah.groupBy("site", "url").agg(F.array_sort(F.collect_list(F.struct("query", "n"))).alias("asig"))
-    shapes = gsig.select("site", "gsig").distinct().select("site", "gsig", F.explode("gsig").alias("e")).select(
-        "site", "gsig", F.col("e.query").alias("query"), F.col("e.m").alias("m")
-    )
-    stand_in = shapes.join(ah, q).groupBy("site", "gsig", "url").agg(F.sum(F.col("m") * F.col("c")).alias("pc")).join(
-        asig, ["site", "url"]
-    ).groupBy("site", "gsig", "asig").agg(F.min(F.struct((-F.col("pc")).alias("k"), F.col("url").alias("u"))).alias("top"))
-    reach = gsig.join(stand_in, ["site", "gsig"]).select(
-        "site", "match_key", F.col("top.u").alias("url"), (-F.col("top.k")).alias("pair_clicks"), F.explode("asig").alias("e")
-    ).select("site", "match_key", "url", "pair_clicks", F.col("e.query").alias("query"), F.col("e.n").alias("n"))
-    heavy_only = reach.join(gh, ["site", "match_key", "query"]).groupBy(*pair).agg(
-        F.sum(F.col("w") * F.col("n")).alias("score"), F.first("pair_clicks").alias("pair_clicks")
-    )
-    scored = light_pairs.unionByName(added).groupBy(*pair).agg(
-        F.sum("score").alias("score"), F.sum("pair_clicks").alias("pair_clicks")
-    ).unionByName(heavy_only)
-    return _best_target(scored)
-
-
-def _best_target(scored: DataFrame) -> DataFrame:
+    found = met.filter("probed").select(*q, "match_key", "w", "m").join(a, q).groupBy(*pair).agg(*points)
+    limits = met.groupBy(*old).agg(F.max("bound").alias("bound"), F.sum(F.when(~F.col("probed"), F.col("most")).otherwise(0)).alias("rest"))
+    hopeful = cut(found.join(limits, old).filter(F.col("score") + F.col("rest") >= F.col("bound")).select(*pair, "score", "pair_clicks"))
+    rest = met.filter("not probed").select(*old, "query", "w", "m")
+    added = hopeful.select(*pair).join(rest, old).join(a, ["site", "query", "url"]).groupBy(*pair).agg(*points)
+    whole = hopeful.unionByName(added).groupBy(*pair).agg(F.sum("score").alias("score"), F.sum("pair_clicks").alias("pair_clicks"))
     best = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("pair_clicks")).alias("c"), F.col("url").alias("u")))
-    return scored.groupBy("site", "match_key").agg(best.alias("b")).select(
-        "site", "match_key", F.col("b.u").alias("target"), (-F.col("b.s")).alias("score")
-    )
+    return singles.unionByName(whole).groupBy(*old).agg(best.alias("b")).select(*old, F.col("b.u").alias("target"), (-F.col("b.s")).alias("score"))
 
 
 def _ghost_side(ghosts, query_page, sitemap, keys):

@@ -56,15 +56,16 @@ def ordered_jaccard_pairs(left: DataFrame, right: DataFrame, t: float) -> DataFr
     return met.filter(F.col("score") >= t).select("site", "left", "right", "score").distinct()
 
 
-def ordered_subset_pairs(ordered: DataFrame) -> DataFrame:
-    """(site, left, right) where left, of two or more tokens, is a proper subset of right.
+def ordered_subset_pairs(ordered: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(site, left, right) where left, of two or more tokens, is a proper subset of right, a set of the same table or of ``others``.
 
     They meet at the two rarest tokens of left, which right holds in the same order.
     """
     o = ordered.filter(F.size("ordered") >= 2)
     small = o.select("site", F.col("tokens").alias("left"), F.element_at("ordered", 1).alias("t1"), F.element_at("ordered", 2).alias("t2"))
     rest = F.slice("ordered", F.col("i") + 2, F.size("ordered"))
-    large = o.select("site", "tokens", "ordered", F.posexplode("ordered").alias("i", "t1")).select(
+    wide = o if others is None else others.filter(F.size("ordered") >= 2)
+    large = wide.select("site", "tokens", "ordered", F.posexplode("ordered").alias("i", "t1")).select(
         "site", F.col("tokens").alias("right"), "t1", F.explode(rest).alias("t2")
     )
     inside = (F.size("left") < F.size("right")) & (F.size(F.array_except("left", "right")) == 0)

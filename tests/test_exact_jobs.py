@@ -89,15 +89,15 @@ def test_redirect_plan_without_groups(spark):
     assert consolidation.consolidation_plan(members).count() == 0
 
 
-@pytest.mark.parametrize("heavy", [0, 6, 10**6])
-def test_targets_by_shared_query(spark, heavy):
-    rows = query_rows(7, urls=14, queries=40)
+@pytest.mark.parametrize("seed,queries", [(7, 40), (8, 12), (9, 4), (10, 25)])
+def test_targets_by_shared_query(spark, seed, queries):
+    rows = query_rows(seed, urls=14, queries=queries)
     rows += [("a", "marca a.x loja", "https://a.x/u0", 1, 5, 0.0, 1.0)]
     live = [("a", f"https://www.a.x/u{i}/", i) for i in range(0, 14, 2)] + [("b", f"https://b.x/u{i}", i) for i in range(1, 14, 3)]
     qp, sm = spark.createDataFrame(rows, QP), spark.createDataFrame(live, "site string, url string, pos long")
     metrics = qp.groupBy("site", "url").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.lit(0.0).alias("ctr"), F.lit(1.0).alias("position"))
     ghosts = pruning.ghost_urls(metrics, sm)
-    got = {(r.site, r.match_key): (r.target, r.score) for r in pruning.targets_by_query(ghosts, qp, sm, heavy_pairs=heavy).collect()}
+    got = {(r.site, r.match_key): (r.target, r.score) for r in pruning.targets_by_query(ghosts, qp, sm).collect()}
     alive = {(s, u.replace("www.", "").rstrip("/")) for s, u, _ in live}
     score = {}
     for site, q, url, *_m in rows:
@@ -166,6 +166,27 @@ def test_keyword_collisions(spark, seed):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("prefix,growth", [(1, 2), (3, 2), (5, 8), (512, 8)])
+def test_near_groups_in_stretches(spark, prefix, growth):
+    r = random.Random(prefix)
+    words = [f"w{i}" for i in range(8)]
+    rows = [(site, 1, f"p{i:03d}", " ".join(r.sample(words, r.randint(1, 5))), 1) for site in "st" for i in range(50)]
+    rows += [("s", 2, f"q{i}", " ".join(["azul", "verde", "claro", f"z{i}"]), 1) for i in range(12)]
+    items = keywords.keyword_items(spark.createDataFrame(rows, "site string, cluster long, slug string, keyword string, impressions long"))
+    got = {(x.site, tuple(x.tokens)): tuple(x.seed) for x in keywords.near_groups(items, prefix=prefix, growth=growth).collect()}
+    want = {}
+    for site in "st":
+        sets = []
+        for x in sorted((x for x in rows if x[0] == site), key=lambda x: x[1:4]):
+            tokens = tuple(sorted(set(x[3].split())))
+            if len(tokens) >= 2 and tokens not in sets:
+                sets.append(tokens)
+        for i, tokens in enumerate(sets):
+            opener = next((o for o in sets[:i] if want[site, o] == o and near(o, tokens)), tokens)
+            want[site, tokens] = opener
+    assert got == want
+
+
 def vectors(seed, n=60, d=4, copies=0):
     r = np.random.default_rng(seed)
     v = r.normal(size=(n, d)).astype(np.float32)
