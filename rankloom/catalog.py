@@ -1,6 +1,7 @@
 """Every registered query: operator id and name to a function of the derived tables."""
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from rankloom.functions.scoring import (
     band_action, band_label, expected_ctr, is_fresh, opportunity_band, opportunity_score, verdict_category,
 )
 from rankloom.functions.wordlists import TTL_HOURS
-from rankloom.lineage import cut
+from rankloom.lineage import cut, run_folder
 from rankloom.operators import (
     consolidation as cons, content, entities as ent, history as hist, keywords as kw, links, portfolio, prompts,
     pruning, ranking, similarity as sim, sparse, trends, vectors as vec,
@@ -303,6 +304,44 @@ def d01(d):
     return portfolio.run_per_site(rows, ratio, "clicks_per_url double")
 
 
+def d01_tables(d):
+    """Clicks and the best URL of every site from its own metric rows; one site fails, one has no rows."""
+    sites = d.page_metrics().select("site").distinct().unionByName(d.table("region").select(F.concat(F.lit("novo-"), F.col("r_regionkey")).alias("site")).filter("site = 'novo-1'"))
+
+    def best(site, batches):
+        clicks, urls, top = 0, 0, None
+        for b in batches:
+            for r in b.select(["url", "clicks"]).to_pylist():
+                clicks, urls = clicks + r["clicks"], urls + 1
+                top = min(top, (-r["clicks"], r["url"])) if top else (-r["clicks"], r["url"])
+        if site == "s3":
+            raise ValueError("site unavailable")
+        return {"urls": urls, "clicks": clicks, "best_url": top and top[1]}
+
+    return portfolio.run_over_sites(sites, d.page_metrics().select("site", "url", "clicks"), best, "urls long, clicks long, best_url string")
+
+
+def s05_files(d):
+    folder = f"{run_folder(d.spark)}/sitemaps-{uuid.uuid4().hex}"
+    sm.land_sitemaps(d.sitemap_docs(), folder)
+    return sm.sitemap_urls(sm.read_sitemaps(d.spark, folder)).select("site", "url", "doc", "pos")
+
+
+def _plan_and_conflicts(d):
+    members = _members_of_groups(d)
+    states = cons.url_states(members)
+    return cons.consolidation_plan(members, states, place=True), cons.consolidation_conflicts(members, states)
+
+
+def k07_files(d):
+    """Rule files of the redirect plan as they lie on disk: each line with its number in the file."""
+    folder = f"{run_folder(d.spark)}/rules-{uuid.uuid4().hex}"
+    reports.write_rules(reports.redirect_rules(_plan_and_conflicts(d)[0]), folder)
+    text = d.spark.read.text(folder, wholetext=True)
+    lines = text.select(F.col("site_dir").alias("site"), F.col("file").alias("format"), F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("n", "line"))
+    return lines
+
+
 def m02(d):
     pages = d.texts().select("site", "page", "text")
     seen = vec.hashed(pages, "m", "b").join(d.table("labels").select(d.slug_of(F.col("doc_id")).alias("page")), "page", "left_semi")
@@ -385,6 +424,7 @@ QUERIES = {
     "S03_daily_metrics": lambda d: metrics.daily_metrics(d.query_daily(), "query"),
     "S04_report_window": lambda d: metrics.in_report_window(d.site_daily(), F.lit(AS_OF).cast("date"), 14),
     "S05_sitemap_urls": s05,
+    "S05_sitemap_files": s05_files,
     "S06_robots_sitemap": s06,
     "S07_folder_pages": s07,
     "S08_folder_sources": s08,
@@ -402,6 +442,8 @@ QUERIES = {
     "K04_indexing_history_append": lambda d: reports.indexing_snapshot(ranking.indexing_summary(d.inspections(), "date")),
     "K05_redirect_csv": lambda d: reports.redirect_csv_rows(cons.consolidation_plan(_members_of_groups(d))),
     "K06_pruning_csv": lambda d: reports.pruning_csv_rows(_plan(d)),
+    "K05_redirect_csv_lines": lambda d: reports.redirect_csv_lines(*_plan_and_conflicts(d)).select(F.col("site_dir").alias("site"), "part", F.col("value").alias("line")),
+    "K07_rule_files": k07_files,
     "K07_redirect_rules": lambda d: reports.redirect_rules(cons.consolidation_plan(_members_of_groups(d))),
     "K08_removal_rules": lambda d: reports.removal_rules(_reviewed(d)),
     "K09_portfolio_csv": lambda d: reports.portfolio_rows(_run_summary(d)),
@@ -544,5 +586,6 @@ QUERIES = {
     "M06_omitted_pages": lambda d: prompts.omitted_pages(_priority(d), _enriched(d), max_pages=3),
     # 2.11 user functions
     "D01_per_site_function": d01,
+    "D01_site_tables": d01_tables,
     "D02_scorer_plugin": lambda d: prompts.score_prompts(prompts.judgement_prompts(_priority(d), _enriched(d), _texts(d)), _judge),
 }

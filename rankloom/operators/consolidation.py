@@ -31,46 +31,58 @@ def _rows(members: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(members: DataFrame) -> DataFrame:
+    """Member rows with ``at``, their number in the order of site, group and fitness, and ``g``, the number of their group's first row; stored.
+
+    Rows are dealt by range, so no site is sorted in one task. The rounds compare these numbers only.
+    """
+    rows, order = _rows(members), ["site", "gkey", "fit"]
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    groups = dealt.groupBy(*_KEYS).agg(F.min("at").alias("g"))
+    return cut(dealt.join(groups, _KEYS))
+
+
 def url_states(members: DataFrame) -> DataFrame:
-    """Final state of every URL that got one: (site, url, kind, to_url, gkey of the deciding group, severity, clicks_from, clicks_to)."""
-    return _states(cut(_rows(members)))
+    """Final state of every URL that got one: (site, url, kind, to_url, gkey and fit in the deciding group, severity, clicks_from, clicks_to)."""
+    return _states(_numbered(members))
 
 
 def _states(rows: DataFrame) -> DataFrame:
-    active = rows.withColumn("kind", F.lit(None).cast("string"))
-    decided = []
+    active = rows.select("site", "g", "at", "url", F.lit(None).cast("string").alias("kind"))
+    decided = None
     while True:
         # a group can act when a free URL other than its best candidate exists
-        free = F.col("kind").isNull()
-        groups = active.groupBy(*_KEYS).agg(
+        free, best_moves = F.col("kind").isNull(), F.col("best.kind") == "canonical"
+        groups = active.groupBy("site", "g").agg(
             F.count_if(free).alias("n_free"),
-            F.min(F.when(free | (F.col("kind") == "canonical"), F.struct("fit", "kind"))).alias("best"),
-        ).filter((F.col("n_free") >= 2) | ((F.col("n_free") == 1) & (F.col("best.kind") == "canonical")))
-        open_rows = cut(active.join(groups.select(*_KEYS, "best"), _KEYS))
-        if open_rows.isEmpty():
+            F.min(F.when(free | (F.col("kind") == "canonical"), F.struct("at", "kind"))).alias("best"),
+        ).filter((F.col("n_free") >= 2) | ((F.col("n_free") == 1) & best_moves))
+        open_rows = cut(active.join(groups.select("site", "g", "best"), ["site", "g"]))
+        owned = open_rows.filter(free).groupBy("site", "url").agg(F.min(F.struct("g", "at", "best")).alias("o")).select("site", "url", "o.*")
+        is_best = F.col("at") == F.col("best.at")
+        sure = owned.groupBy("g").agg(F.count_if(~is_best).alias("leave"), F.bool_or(is_best | best_moves).alias("fixed"))
+        sure = sure.filter((F.col("leave") > 0) & F.col("fixed")).select("g")
+        new = cut(owned.join(sure, "g").select("site", "url", "at", F.when(is_best, "canonical").otherwise("redirect").alias("kind"), F.col("best.at").alias("to_at")))
+        if new.isEmpty():
             break
-        owned = open_rows.filter(free).groupBy("site", "url").agg(F.min(F.struct("gkey", "fit", "best", "severity")).alias("o")).select("site", "url", "o.*")
-        is_best = F.col("url") == F.col("best.fit.u")
-        sure = owned.groupBy(*_KEYS).agg(F.count_if(~is_best).alias("leave"), F.bool_or(is_best | (F.col("best.kind") == "canonical")).alias("fixed"))
-        sure = sure.filter((F.col("leave") > 0) & F.col("fixed")).select(*_KEYS)
-        new = cut(owned.join(sure, _KEYS).select(
-            "site", "url", F.when(is_best, "canonical").otherwise("redirect").alias("kind"), F.when(~is_best, F.col("best.fit.u")).alias("to_url"), "gkey", "severity",
-            (-F.col("fit.c")).alias("clicks_from"), (-F.col("best.fit.c")).alias("clicks_to"),
-        ))
-        decided.append(new)
+        decided = new if decided is None else decided.unionByName(new)
         fresh = new.select("site", "url", F.col("kind").alias("new_kind"))
         active = open_rows.drop("best").join(fresh, ["site", "url"], "left").withColumn("kind", F.coalesce("kind", "new_kind")).drop("new_kind")
-    out = rows.select("site", "url", F.lit("").alias("kind"), F.lit("").alias("to_url"), "gkey", "severity", F.lit(0).cast("long").alias("clicks_from"), F.lit(0).cast("long").alias("clicks_to")).limit(0)
-    for i, d in enumerate(decided):
-        out = out.unionByName(d) if i else d
-    return out
+    if decided is None:
+        decided = new
+    clicks = -F.col("fit.c")
+    target = rows.select(F.col("at").alias("to_at"), F.col("url").alias("best_url"), clicks.alias("clicks_to"))
+    own = rows.select("at", "gkey", "fit", "severity", clicks.alias("clicks_from"))
+    moved = F.col("kind") == "redirect"
+    return cut(decided.join(own, "at").join(target, "to_at").select("site", "url", "kind", F.when(moved, F.col("best_url")).alias("to_url"), "gkey", "fit", "severity", "clicks_from", "clicks_to"))
 
 
-def consolidation_plan(members: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """G04. Redirect rows, one per URL; no target is itself redirected."""
+def consolidation_plan(members: DataFrame, states: DataFrame | None = None, place: bool = False) -> DataFrame:
+    """G04. Redirect rows, one per URL; no target is itself redirected. With ``place``, also a column to sort a site's plan by."""
     states = url_states(members) if states is None else states
     return states.filter(F.col("kind") == "redirect").select(
-        "site", F.col("url").alias("from_url"), "to_url", F.col("gkey.q").alias("keyword"), "severity", "clicks_from", "clicks_to"
+        "site", F.col("url").alias("from_url"), "to_url", F.col("gkey.q").alias("keyword"), "severity", "clicks_from", "clicks_to",
+        *([F.struct("gkey", "fit").alias("place")] if place else []),
     )
 
 
@@ -81,8 +93,9 @@ def consolidation_totals(plan: DataFrame) -> DataFrame:
 
 def consolidation_conflicts(members: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """G04. Why a URL of a group was not redirected to that group's canonical URL."""
-    rows = cut(_rows(members))
+    rows = _numbered(members)
     states = _states(rows) if states is None else states
+    rows = rows.drop("at", "g")
     st = states.select("site", "url", "kind", "to_url", F.col("gkey").alias("at"))
     rows = rows.join(st, ["site", "url"], "left")
     moved = F.coalesce((F.col("kind") == "redirect") & (F.col("at") < F.col("gkey")), F.lit(False))

@@ -79,8 +79,8 @@ def text_measures(pages: DataFrame) -> DataFrame:
 def content_verdicts(pages: DataFrame, keywords: DataFrame, signals: DataFrame) -> DataFrame:
     """A23. Flags and verdict of every page (site, url, text)."""
     page = ["site", "url"]
-    # the raw text moves at most once: everything derived from it comes after the joins
-    m = text_measures(pages.select(*page, "text").join(keywords, page, "left").join(signals, page, "left"))
+    # the raw text moves once, dealt by page whatever the size: everything derived from it comes after the joins
+    m = text_measures(pages.select(*page, "text").repartition(*page).join(keywords, page, "left").join(signals, page, "left"))
     m = m.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))).withColumn(
         "slug", slug_phrase(F.col("url"))
     ).withColumn("slug_folded", tx.fold_accents(F.col("slug")))

@@ -1,8 +1,15 @@
 """Portfolio view: one row per site, and a caller's function per site."""
 
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from rankloom.functions.wordlists import VERDICT_ORDER
 
@@ -41,3 +48,41 @@ def run_per_site(sites: DataFrame, fn, schema: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["site", "status", "error", *fields])
 
     return sites.mapInPandas(run, f"site string, status string, error string, {schema}")
+
+
+def run_over_sites(sites: DataFrame, rows: DataFrame, fn: Callable[[str, Iterator[pa.RecordBatch]], dict], schema: str) -> DataFrame:
+    """D01. ``fn(site, batches) -> dict`` for every requested site over that site's own ``rows``; a failing site becomes an error row.
+
+    Rows are dealt and sorted by site and streamed to ``fn`` as Arrow batches of ``rows``' columns, so a site larger than memory is read batch by
+    batch, and what ``fn`` leaves unread is skipped. A requested site without rows gets no batch; rows of other sites are left out.
+    ``schema`` names the columns ``fn`` returns; ``site``, ``status`` and ``error`` are added. A site that is requested twice runs once.
+    """
+    fields = [f.split()[0] for f in schema.split(",")]
+    mark = "requested"
+    while mark in rows.columns:
+        mark += "_"
+    asked = sites.select("site").distinct().select(*[F.col("site") if c == "site" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.lit(True).alias(mark))
+    wanted = rows.join(sites.select("site").distinct(), "site", "left_semi").select(*rows.columns, F.lit(False).alias(mark))
+    dealt = asked.unionByName(wanted).repartition("site").sortWithinPartitions("site", F.desc(mark))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("site"))
+            start = 0
+            for end, site in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                yield site, batch.slice(start, end - start)
+                start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for site, parts in groupby(pieces(batches), key=lambda p: p[0]):
+            first = next(parts)[1]  # the request, ahead of the site's rows
+            own = (b.drop_columns([mark]) for b in chain([first.slice(1)], (b for _, b in parts)) if b.num_rows)
+            try:
+                out = {"site": site, "status": "OK", "error": None, **{k: v for k, v in fn(site, own).items() if k in fields}}
+            except Exception as exc:
+                out = {"site": site, "status": "ERRO", "error": str(exc)}
+            yield pa.RecordBatch.from_pylist([{k: out.get(k) for k in ("site", "status", "error", *fields)}], schema=result)
+
+    head = f"site string, status string, error string, {schema}"
+    result = to_arrow_schema(_parse_datatype_string(head))
+    return dealt.mapInArrow(run, head)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import ascii_fold
 from rankloom.functions.urls import partition_name, path_or_root, query_string, url_path_query
 
+#: First line of every file of suggestions.
+NOTICE = "# SUGESTAO: exige revisao humana antes de aplicar"
 REGEX_SPECIAL = r"([\\.^$|?*+()\[\]{}\-#&~\s])"
 
 
@@ -67,8 +69,9 @@ def redirect_rules(plan: DataFrame) -> DataFrame:
     apache = F.concat(F.lit("Redirect 301 "), source, F.lit(" "), F.col("to_url"))
     nginx = F.concat(F.lit("location = "), source, F.lit(" { return 301 "), F.col("to_url"), F.lit("; }"))
     servers = F.array(F.struct(F.lit("htaccess").alias("f"), apache.alias("r")), F.struct(F.lit("nginx").alias("f"), nginx.alias("r")))
-    return plan.select("site", "from_url", comment.alias("comment"), F.explode(servers).alias("s")).select(
-        "site", "from_url", "comment", F.col("s.f").alias("format"), F.col("s.r").alias("rule")
+    place = [c for c in plan.columns if c == "place"]
+    return plan.select("site", "from_url", *place, comment.alias("comment"), F.explode(servers).alias("s")).select(
+        "site", "from_url", *place, "comment", F.col("s.f").alias("format"), F.col("s.r").alias("rule")
     )
 
 
@@ -101,11 +104,60 @@ def removal_rules(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def write_rules(rules: DataFrame, path: str) -> None:
-    """K07, K08. Rule lines as text, one folder per site and format."""
+def _lines(site, file, part: int, place, value) -> list:
+    return [F.coalesce(partition_name(site), F.lit("")).alias("site_dir"), file.alias("file"), F.lit(part).alias("part"), place.alias("place"), value.alias("value")]
+
+
+def _under_notice(body: DataFrame, notice: str) -> DataFrame:
+    """``body`` with the notice as the first line of every file."""
+    head = body.select("site_dir", "file").distinct().withColumns(
+        {"part": F.lit(0), "place": F.lit(None).cast(body.schema["place"].dataType), "value": F.lit(notice)})
+    return head.unionByName(body)
+
+
+def rule_lines(rules: DataFrame, notice: str = NOTICE) -> DataFrame:
+    """K07, K08. (site_dir, file, part, place, value): the lines of every site's rule files, a notice and then each rule under its comment.
+
+    Rules come in the order of ``place`` where they have one, else of their URL.
+    """
     comment = F.col("comment") if "comment" in rules.columns else F.concat(F.lit("# "), ascii_fold(F.col("url")))
-    lines = rules.select(partition_name(F.col("site")).alias("site_dir"), "format", F.concat_ws("\n", comment, "rule").alias("value"))
-    lines.write.partitionBy("site_dir", "format").mode("append").text(path)
+    place = F.col("place") if "place" in rules.columns else F.col("from_url" if "from_url" in rules.columns else "url")
+    return _under_notice(rules.select(*_lines(F.col("site"), F.col("format"), 1, place, F.concat_ws("\n", comment, "rule"))), notice)
+
+
+def redirect_csv_lines(plan: DataFrame, conflicts: DataFrame, notice: str = NOTICE) -> DataFrame:
+    """K05. (site_dir, file, part, place, value): the lines of every site's redirect table: notice, header, redirects in plan order, conflicts.
+
+    ``plan`` has a ``place`` column; a site with conflicts only has a file as well.
+    """
+    names = ["from_url", "to_url", "keyword", "severity", "clicks_from", "clicks_to"]
+    file, group = F.lit("redirects"), F.concat(F.lit('grupo "'), "keyword", F.lit('": '))
+    rows = plan.select(*_lines(F.col("site"), file, 2, F.struct(F.col("place.gkey").alias("g"), F.col("place.fit.u").alias("u"), F.col("place").alias("p")), F.to_csv(F.struct(*names))))
+    none = F.lit(None).cast(rows.schema["place"].dataType)
+    text = (
+        F.when(F.col("conflict") == "grupo_ignorado", F.concat(group, F.lit("todas as URLs ja possuem redirect em grupos de maior severidade")))
+        .when(F.col("conflict") == "canonica_de_outro_grupo", F.concat(group, "url", F.lit(" e canonica de outro grupo")))
+        .otherwise(F.concat(group, "url", F.lit(" ja redireciona para "), "kept_target"))
+    )
+    told = conflicts.select(*_lines(F.col("site"), file, 3, none, F.concat(F.lit("# conflito: "), text)))
+    body = rows.unionByName(told)
+    header = body.select("site_dir", "file").distinct().withColumns({"part": F.lit(1), "place": none, "value": F.lit(",".join(names))})
+    return _under_notice(header.unionByName(body), notice)
+
+
+def write_site_files(lines: DataFrame, path: str) -> None:
+    """One text file a site and file name, its lines in order; a rerun replaces the files of the sites it has and leaves other sites' alone.
+
+    The rows of a file are sorted in its task and written as they come; files appear when the whole job has succeeded.
+    """
+    keys = ["site_dir", "file"]
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "part", "place", "value").select(*keys, "value")
+    ordered.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def write_rules(rules: DataFrame, path: str, notice: str = NOTICE) -> None:
+    """K07, K08. The rule files of every site."""
+    write_site_files(rule_lines(rules, notice), path)
 
 
 def redirect_csv_rows(plan: DataFrame) -> DataFrame:

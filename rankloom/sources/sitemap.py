@@ -1,11 +1,26 @@
 """Live URLs from sitemap documents (site, doc_url, seq, xml) and robots.txt texts (site, text)."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import unescape
 
 
+def read_sitemaps(spark: SparkSession, folder: str) -> DataFrame:
+    """S05. (site, doc_url, seq, xml) of landed sitemap files, plain or gzipped: one document a file, below site=<site>/seq=<n>/doc_url=<address>.
+
+    The protocol bounds a document (50,000 entries, 50 MB), so it is one row; files are read in parallel. A broken one is sorted out by ``sitemap_urls``.
+    """
+    read = spark.read.schema("value string, site string, seq int, doc_url string").text(folder, wholetext=True)
+    return read.select("site", "doc_url", "seq", F.col("value").alias("xml"))
+
+
+def land_sitemaps(docs: DataFrame, folder: str) -> None:
+    """Writes documents (site, doc_url, seq, xml) where ``read_sitemaps`` finds them; a site's documents that come again are replaced."""
+    docs.select("site", "seq", "doc_url", F.col("xml").alias("value")).write.partitionBy("site", "seq", "doc_url").mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").text(folder)
+
+
 def _locs(docs: DataFrame, root: str, entry: str) -> DataFrame:
     """Addresses of a document's entries in order. Only elements of the root's namespace count, so those of extensions (image:loc) do not;
     a document that is not well-formed as a whole gives none."""

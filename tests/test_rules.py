@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,7 +324,7 @@ def test_sinks(spark, tmp_path):
     assert {r.format: r.rule for r in rules.collect()} == {"htaccess": "Redirect 301 /x?y=1 https://a/z", "nginx": "location = /x?y=1 { return 301 https://a/z; }"}
     reports.write_rules(rules, str(tmp_path / "r"))
     lines = spark.read.text(str(tmp_path / "r"))
-    assert {r.value for r in lines.filter("format = 'nginx'").collect()} == {"# keyword: preco  (severidade media)", "location = /x?y=1 { return 301 https://a/z; }"}
+    assert {r.value for r in lines.filter("file = 'nginx'").collect()} == {reports.NOTICE, "# keyword: preco  (severidade media)", "location = /x?y=1 { return 301 https://a/z; }"}
     reports.write_by_site(reports.redirect_csv_rows(plan), str(tmp_path / "c"), "csv", header=True)
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().site_dir == "a_b_c"
     p = spark.createDataFrame([("s", "u", 1, 2, 1.0, 3.25, "busca", "410", ["q" * 70, " b "], None, None), ("s", "v", 1, 2, 1.0, None, "busca", "410", [], None, None)],
@@ -378,3 +379,66 @@ def test_hub_choice(spark):
     rows = lambda df: sorted((r.cluster, r.hub, r.hub_keyword, r.spoke, r.keyword) for r in df.collect())
     assert rows(links.hub_choice(members, perf, plan)) == [("a", "z", "kz", "x", "kx"), ("b", "q", "", "p", "")]
     assert rows(links.hub_choice(members, perf)) == [("a", "x", "", "y", ""), ("a", "x", "", "z", ""), ("b", "q", "", "p", "")]
+
+
+def test_rule_files_are_ordered_and_replaced(spark, tmp_path):
+    out = str(tmp_path / "rules")
+    rows = [(site, f"https://{site}/{(i * 7919) % 5000}", "https://x/z", "k", "alta", 1, 2, (i * 7919) % 5000) for site in ("a", "b") for i in range(5000)]
+    plan = spark.createDataFrame(rows, "site string, from_url string, to_url string, keyword string, severity string, clicks_from long, clicks_to long, place long").repartition(5)
+    for _ in range(2):  # a rerun replaces
+        reports.write_rules(reports.redirect_rules(plan), out)
+    reports.write_rules(reports.redirect_rules(plan.filter("site = 'b' and place < 3")), out)
+    found = {}
+    for f in (tmp_path / "rules").glob("site_dir=*/file=*/*.txt"):
+        found.setdefault((f.parts[-3][9:], f.parts[-2][5:]), []).append(f.read_text().splitlines())
+    assert sorted(found) == [(s, f) for s in "ab" for f in ("htaccess", "nginx")] and all(len(v) == 1 for v in found.values())
+    lines = found["a", "htaccess"][0]
+    assert lines[0] == reports.NOTICE and [x for x in lines if x.startswith("Redirect")] == [f"Redirect 301 /{i} https://x/z" for i in range(5000)]
+    assert len(found["b", "nginx"][0]) == 7
+
+
+def test_redirect_table_with_conflicts(spark):
+    place = "struct<gkey:struct<s:int>,fit:struct<u:string>>"
+    plan = spark.createDataFrame([("s", "https://s/a", "https://s/b", "k, x", "alta", 1, 2, ((1,), ("a",)))], f"site string, from_url string, to_url string, keyword string, severity string, clicks_from long, clicks_to long, place {place}")
+    conflicts = spark.createDataFrame([("s", "q", "https://s/c", "destino_mantido", "https://s/d"), ("t", "w", None, "grupo_ignorado", None)], "site string, keyword string, url string, conflict string, kept_target string")
+    got = [(r.site_dir, r.part, r.value) for r in reports.redirect_csv_lines(plan, conflicts).orderBy("site_dir", "part").collect()]
+    head = "from_url,to_url,keyword,severity,clicks_from,clicks_to"
+    assert got == [
+        ("s", 0, reports.NOTICE), ("s", 1, head), ("s", 2, 'https://s/a,https://s/b,"k, x",alta,1,2'), ("s", 3, '# conflito: grupo "q": https://s/c ja redireciona para https://s/d'),
+        ("t", 0, reports.NOTICE), ("t", 1, head), ("t", 3, '# conflito: grupo "w": todas as URLs ja possuem redirect em grupos de maior severidade')]
+
+
+def test_function_over_the_rows_of_sites(spark):
+    rows = spark.createDataFrame([(f"s{i % 3}", i, "r") for i in range(3000)], "site string, n long, requested string")
+    sites = spark.createDataFrame([("s0",), ("s1",), ("s1",), ("leer",)], "site string")
+
+    def total(site, batches):
+        if site == "s1":
+            next(batches)
+            raise ValueError("no")
+        return {"total": sum(sum(b.column("n").to_pylist()) for b in batches), "other": 1}
+
+    got = {r.site: (r.status, r.error, r.total) for r in portfolio.run_over_sites(sites, rows, total, "total long").collect()}
+    assert got == {"s0": ("OK", None, sum(range(0, 3000, 3))), "s1": ("ERRO", "no", None), "leer": ("OK", None, 0)}
+    assert portfolio.run_over_sites(sites.limit(0), rows, total, "total long").count() == 0
+
+
+def test_sitemap_files(spark, tmp_path):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    doc = lambda *urls: f"<urlset {ns}>\n" + "\n".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    index = f"<sitemapindex {ns}><sitemap><loc>https://s/1.xml?a=b</loc></sitemap><sitemap><loc>https://s/2.xml</loc></sitemap></sitemapindex>"
+    docs = [("s", "https://s/sitemap.xml", 0, index), ("s", "https://s/1.xml?a=b", 1, doc("https://s/a", "https://s/b")), ("s", "https://s/2.xml", 2, doc("https://s/c")[:-3]), ("t", "https://t/sitemap.xml", 0, doc("https://t/x"))]
+    df = spark.createDataFrame(docs, "site string, doc_url string, seq int, xml string")
+    for _ in range(2):
+        sitemap.land_sitemaps(df, str(tmp_path / "maps"))
+    got = sorted((r.site, r.url, r.doc, r.pos) for r in sitemap.sitemap_urls(sitemap.read_sitemaps(spark, str(tmp_path / "maps"))).collect())
+    assert got == [("s", "https://s/a", 0, 0), ("s", "https://s/b", 0, 1), ("t", "https://t/x", 0, 0)]
+
+
+def test_fold_of_letters_that_become_several(spark):
+    texts = ["ﬁm ½ Ǆ", "한국어 각", "ß ø «", "Ｆｕｌｌ ①②", "é̂", "", None, "plain", "𝔘𝔫𝔦 😀 ﷺ"]
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.f for r in df.select("i", tx.fold_accents(F.col("t")).alias("f")).orderBy("i").collect()] == want
+    plan = df.select(tx.normalize_keyword(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
