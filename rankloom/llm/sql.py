@@ -7,14 +7,18 @@ win as (select doc_id, i, array_to_string(words[i : i + 4], ' ') as g from (sele
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from win) where n > 1),
 covered as (select doc_id, count(distinct i + k) as n from twice, range(5) t(k) group by doc_id),
 r as (select w.doc_id, host, len(words) as n_words, length(array_to_string(words, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from w left join covered c using (doc_id)),
+  len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from w left join covered c using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from r),
-h as (select host, count(*) as n, sum(case when base_failed then 1 else 0 end)::double as f from b group by host),
-m as (select avg(f / n) as mean, var_pop(f / n) as var from h),
-p as (select mean, case when var > 0 and mean * (1 - mean) > var then mean * (1 - mean) / var - 1 when var > 0 then 0 end as k from m),
-s as (select host, round(case when k is null then mean else (f + mean * k) / (n + mean * k + (1 - mean) * k) end, 9) as host_rate from h, p)
-select b.doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, not base_failed and host_rate <= 0.5 as kept
-from b join s on b.host is not distinct from s.host
+f as (select host, unnest([{'rule': 'short', 'bad': n_words < 10}, {'rule': 'repeats', 'bad': 100 * n_repeat_words > 20 * n_words},
+  {'rule': 'symbols', 'bad': 100 * n_symbols > 10 * n_words}, {'rule': 'lines', 'bad': 100 * n_dup_lines > 30 * n_lines}], recursive := true) from b),
+h as (select host, rule, count(*) as n, count(*) filter (bad)::double as f from f group by host, rule),
+m as (select rule, sum(f) / sum(n) as mean, sum(f * f / n) / sum(n) as sq, (count(*) - 1) / sum(n) as part from h group by rule),
+p as (select rule, mean, case when sq - mean * mean - mean * (1 - mean) * part > 1e-12 then greatest(mean * (1 - mean) / (sq - mean * mean - mean * (1 - mean) * part) - 1, 2) end as k from m),
+s as (select host, rule, mean, n, k, round(case when k is null then mean else (f + mean * k) / (n + k) end, 9) as rate from h join p using (rule)),
+v as (select host, max(rate) filter (rule = 'short') as rate_short, max(rate) filter (rule = 'repeats') as rate_repeats, max(rate) filter (rule = 'symbols') as rate_symbols,
+  max(rate) filter (rule = 'lines') as rate_lines, bool_or(rate - case when k is null then 0 else 2 * sqrt(rate * (1 - rate) / (n + k + 1)) end > greatest(0.2, 3 * mean)) as host_failed from s group by host)
+select b.doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rate_short, rate_repeats, rate_symbols, rate_lines, host_failed, not base_failed and not host_failed as kept
+from b join v on b.host is not distinct from v.host
 """
 
 OP3 = r"""
