@@ -4,8 +4,8 @@ Every source is a queue of its shuffled documents. A document's virtual finish t
 and with it, over the source's target; a source whose target exceeds its size starts over, up to ``max_repeats`` times.
 Serving documents by finish time and stopping when the total budget is used gives every source its target up to one document.
 
-The cumulative sums come in two levels (slices of the hash order, then rows within a slice) and the cut is
-looked for in one range partition only, so neither a large source nor the whole mix is ever one task's.
+The cumulative sums come in two levels (range slices of a source's shuffled order, then rows within a slice) and the cut is
+looked for in one range partition only, so neither a large source, nor copies of one row, nor the whole mix is ever one task's.
 """
 
 from dataclasses import dataclass
@@ -17,8 +17,6 @@ from rankloom.lineage import cut
 from rankloom.llm.common import free_name, n_words
 
 MAX_REPEATS = 3
-#: Hex digits of the shuffle key that name a slice of a source's order: 16^3 slices.
-SLICE_DIGITS = 3
 
 
 def cycled_weights(sources: DataFrame) -> DataFrame:
@@ -55,18 +53,18 @@ class Mix:
 
 
 def mix(rows: DataFrame, weighed=cycled_weights, share: float = 1.0, max_repeats: int = MAX_REPEATS) -> Mix:
-    """``rows`` has row_id, doc_id, source and size, and should be stored, as it is read several times.
+    """``rows`` has row_id, doc_id, source, size and key, and should be stored, as it is read several times.
 
-    The shuffle follows md5(doc_id), then size, then row_id, so reruns agree. A null source is a source, a null doc_id shuffles by the
-    word null, a document of size 0 is served with the one before it and takes nothing. An empty table gives no rows.
+    The shuffle follows ``shuffle_key``; rows with equal keys are equal rows, so reruns agree whatever the files' layout. A null source is a source, a document of size 0 is served with the one before it and takes nothing. An empty table gives no rows.
     """
     goal = targets(rows, weighed, share, max_repeats)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    keyed = rows.select("row_id", "doc_id", "source", "size", key.alias("key"), F.substring(key, 1, SLICE_DIGITS).alias("slice"))
+    order = [F.col("source").asc_nulls_last(), "key", "row_id"]
+    keyed = rows.select("row_id", "doc_id", "source", "size", "key").repartitionByRange(*order)
+    keyed = cut(keyed.withColumn("slice", F.spark_partition_id()))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("source", "slice").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     starts = starts.select(F.col("source").alias("s"), F.col("slice").alias("sl"), "start")
-    upto = Window.partitionBy("source", "slice").orderBy("key", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source", "slice").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     queued = keyed.withColumn("within", F.sum("size").over(upto)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl")))
     goal = goal.select(F.col("source").alias("g"), "source_size", "target")
     queued = queued.join(goal, F.col("source").eqNullSafe(F.col("g"))).select(
@@ -119,9 +117,15 @@ def _last_served(served: DataFrame, order: list[str], budget: int):
     return found
 
 
+def shuffle_key() -> Column:
+    """md5 over doc_id, source and text (a null is the empty string): the place of a document in its source's shuffled order."""
+    parts = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))]
+    return F.md5(F.concat_ws(":", *parts))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, source, size), stored: the size of a text is its number of words."""
-    return cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words("text").alias("size")))
+    """(row_id, doc_id, source, size, key), stored: the size of a text is its number of words."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words("text").alias("size"), shuffle_key().alias("key")))
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
@@ -129,6 +133,6 @@ def mixed_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
     own = docs.columns
     row, times = free_name(docs, "row_no"), free_name(docs, "times")
     marked = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = marked.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"))
+    rows = marked.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"), shuffle_key().alias("key"))
     taken = mix(cut(rows), share=share).documents.filter("times > 0").select(F.col("row_id").alias(row + "_taken"), F.col("times").alias(times))
     return marked.join(taken, F.col(row) == F.col(row + "_taken")).select(*own, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*own)

@@ -49,16 +49,17 @@ select d.doc_id, case when text is null then 0 else n_lines end as n_lines, n_re
 """
 
 OP8 = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, 'null')) as key from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+  md5(coalesce(doc_id::varchar, '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, ''))) as key from documents),
 s as (select source, sum(size) as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w from d group by source),
 c as (select *, 3 * source_size / w as stop, sum(source_size) over () as budget,
   coalesce(sum(3 * source_size) over (order by 3 * source_size / w, source rows between unbounded preceding and 1 preceding), 0) as stopped,
   sum(w) over (order by 3 * source_size / w, source rows between current row and unbounded following) as open from s),
 l as (select arg_min((budget - stopped) / open, stop) as level from c where (budget - stopped) / open <= stop),
 t as (select source, source_size, least(level * w, 3 * source_size)::double as target, budget from c, l),
-q as (select d.*, source_size, target, budget, sum(size) over (partition by d.source order by key, size, doc_id) as reach from d join t on d.source is not distinct from t.source),
+q as (select d.*, source_size, target, budget, sum(size) over (partition by d.source order by key) as reach from d join t on d.source is not distinct from t.source),
 i as (select doc_id, key, turn, size, budget, (turn * source_size + reach) / target as finish from q, range(3) r(turn) where target > 0 and turn * source_size + reach - size < target),
-o as (select doc_id, size, sum(size) over (order by finish, key, doc_id, turn rows between unbounded preceding and current row) <= budget as served from i),
+o as (select doc_id, size, sum(size) over (order by finish, key, turn rows between unbounded preceding and current row) <= budget as served from i),
 n as (select doc_id, count(*) as times from o where served group by doc_id)
 select q.doc_id, source, size, source_size::bigint as source_size, target, (size * coalesce(times, 0))::bigint as taken, coalesce(times, 0)::int as times from q left join n using (doc_id)
 """
