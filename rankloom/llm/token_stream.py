@@ -2,10 +2,10 @@
 
 A file is an Arrow IPC stream of record batches with two fixed-size-list columns, ``ids`` (uint16, or uint32 for a
 vocabulary over 65,536) and ``mask`` (boolean, true for a token and false for filling), one row per sequence. As every row has the same width, sequence k of a file
-lies at a fixed distance within its batch's buffer, so a reader that maps the file reaches it without copying.
+lies at a fixed distance within its batch's buffer, so a reader that maps the file reaches it without copying (``TokenFile``).
 Beside it a second stream, ``.docs``, lists the file's documents: doc_id, first token within the file, token count.
 
-Documents are range-partitioned by doc_id and sorted within a partition; a task encodes its documents batch by batch and
+Documents are range-partitioned by doc_id, then by a hash of the text and the row's place, so one id of a third of the rows is many tasks' work; a task encodes its documents batch by batch and
 writes one file, so nothing is gathered. A lost executor's task writes the same file again under a temporary
 name and renames it. Global positions follow from the files' token totals, a few numbers a file.
 """
@@ -160,11 +160,13 @@ class _Sequences:
 def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encoder], end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
     """Writes every document of ``docs`` (doc_id, text) in ascending doc_id order and returns (file_no, path, n_docs, n_tokens), stored.
 
-    A null text is empty and gives the end id alone; a null doc_id comes first; rows that repeat a doc_id follow each other by text.
-    An empty table writes no file. Other columns are not read.
+    A null text is empty and gives the end id alone; a null doc_id comes first; rows that repeat a doc_id follow each other by the hash
+    of their text, then the text. An empty table writes no file. Other columns are not read.
     """
-    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    first = F.col("doc_id").asc_nulls_first()
+    # equal rows encode alike, so their places only spread them over tasks
+    ordered = rows.repartitionByRange(first, "hash", F.col("text").asc_nulls_first(), "place").sortWithinPartitions(first, "hash", F.col("text").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
     run = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
@@ -220,6 +222,29 @@ def open_tokens(path: str):
     return pa.ipc.open_stream(source)
 
 
+class TokenFile:
+    """Random access to the sequences of a token file. Where the store is a local or mounted folder the file is mapped and nothing is copied:
+    opening it reads the batches' headers only, a sequence is a view of the mapped bytes."""
+
+    def __init__(self, path: str):
+        self.batches = list(open_tokens(path))
+        self.ends = np.cumsum([b.num_rows for b in self.batches], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence ``k``, counted from 0; IndexError beyond the last."""
+        if not 0 <= k < len(self):
+            raise IndexError(f"sequence {k} of {len(self)}")
+        i = int(np.searchsorted(self.ends, k, side="right"))
+        batch = self.batches[i]
+        length = batch.schema.field("ids").type.list_size
+        start = (k - int(self.ends[i]) + batch.num_rows) * length
+        ids, mask = (batch.column(c).values.slice(start, length) for c in ("ids", "mask"))
+        return ids.to_numpy(), mask
+
+
 def read_documents(path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """(document rows, their ids) read back from a file, batch by batch; holds one document batch and one sequence batch."""
     store, at = file_system(path)
