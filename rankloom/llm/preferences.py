@@ -19,11 +19,14 @@ def sibling_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation; rejected has the same turns, but its last assistant turn holds the last assistant text of the sibling
     (conv_id with its lowest bit flipped). Without a sibling or an assistant turn in it, rejected ends before that turn. Turns go by number, then
-    role and text; repeated rows are repeated turns; null conv_ids make one conversation, whose sibling is none.
+    role and text; repeated rows are repeated turns. A row without a conv_id is a conversation of one turn, with no pair_id and no sibling, so such
+    rows never meet.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("c"), F.struct(F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    both = c.groupBy(F.shiftright("c", 1).alias("k")).agg(F.collect_list(F.when(F.col("c").isNull() | (F.col("c").bitwiseAND(F.lit(1)) == 0), F.col("t"))).alias("a"), F.collect_list(
-        F.when(F.col("c").bitwiseAND(F.lit(1)) == 1, F.col("t"))).alias("b"))
+    odd = F.col("c").bitwiseAND(F.lit(1)) == 1
+    both = c.filter("c is not null").groupBy(F.shiftright("c", 1).alias("k")).agg(F.collect_list(F.when(~odd, F.col("t"))).alias("a"), F.collect_list(F.when(odd, F.col("t"))).alias("b"))
+    alone = c.filter("c is null").select(F.col("c").alias("k"), F.array("t").alias("a"), F.slice(F.array("t"), 1, 0).alias("b"))
+    both = both.unionByName(alone)
     both = both.select("k", F.sort_array("a").alias("a"), F.sort_array("b").alias("b"))
     sides = F.array(F.struct(F.lit(0).alias("bit"), F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.lit(1).alias("bit"), F.col("b").alias("own"), F.col("a").alias("other")))
     one = both.select("k", F.explode(sides).alias("s")).filter(F.size("s.own") > 0)
