@@ -136,11 +136,13 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` documents that are not held out, the first by md5 of doc_id; rows without a label or doc_id are left out."""
+    """Texts and labels of at most ``rows`` documents that are not held out, the first by md5 of doc_id; rows without a label or doc_id are left out.
+    Rows that repeat a doc_id count once, by their first text, so the driver never holds more than ``rows`` texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     wanted = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")  # at most ``rows`` small rows
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     got = sorted((r["doc_id"], r["text"] or "", r["y"]) for r in found.toLocalIterator())
     return [g[1] for g in got], np.array([g[2] for g in got], dtype=np.int64)
 
