@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,21 @@ def test_host_rules(odd, none):
     assert host_rules.host_quality_rules(odd).count() == len(ROWS) and host_rules.host_quality_rules(none).count() == 0
 
 
+def test_hosts_that_stand_out(spark):
+    """Of 31 hosts one repeats lines in most documents, one has symbols; one of a single bad document is judged by the others."""
+    good, signs = " ".join(f"word{i}" for i in range(40)), " ".join(f"#{i}" for i in range(10))
+    rows = [(100 * h + i, f"{good} {h} {i}" + (f"\nmenu {i}" * 3 if i < 2 else ""), f"h{h}") for h in range(28) for i in range(40)]
+    rows += [(5000 + i, f"{good} {i}" + (f"\nmenu {i}" * 3 if i < 24 else ""), "lines") for i in range(40)]
+    rows += [(6000 + i, f"{good} {i} {signs}", "symbols") for i in range(40)] + [(7000, f"{good}" + "\nmenu" * 3, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in host_rules.host_quality_rules(docs).collect():
+        assert not r["base_failed"]
+        got.setdefault(r["host"], set()).add(r["kept"])
+    assert got.pop("lines") == {False} and got.pop("symbols") == {False}
+    assert set(map(frozenset, got.values())) == {frozenset({True})}
+
+
 def test_components(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(odd).collect()), key=str)
     assert (None, 3, 1) in got and got.count((2, 3, 1)) == 2 and (1, 3, 1) in got and (3, 0, 3) in got and (5, 0, 5) in got and (7, 1, 7) in got
@@ -144,6 +160,36 @@ def test_token_file_layout(spark, tmp_path):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [again.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_sequences_without_copies(spark, tmp_path):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, "the and of " * (i % 50)) for i in range(900)], "doc_id long, text string").repartition(1)
+    encode = token_stream.Encoder(token_stream.vocabulary_path())
+    files = token_stream.write_token_files(docs, str(tmp_path), lambda: token_stream.worker_encoder(token_stream.vocabulary_path()), length=16).orderBy("file_no").collect()
+    for f in files:
+        held = pa.total_allocated_bytes()
+        tokens = token_stream.TokenFile(f["path"])
+        got = [tokens.sequence(k) for k in range(len(tokens))]
+        assert pa.total_allocated_bytes() == held and all(not ids.flags.owndata for ids, _ in got)
+        whole = np.concatenate([ids[mask.to_numpy(zero_copy_only=False)] for ids, mask in got])
+        want = np.concatenate([ids for _, found in token_stream.read_documents(f["path"]) for ids in found])
+        assert len(whole) == f["n_tokens"] and (whole == want).all() and len(tokens) == -(-f["n_tokens"] // 16)
+        with pytest.raises(IndexError):
+            tokens.sequence(len(tokens))
+    assert encode.dtype == np.uint16
+
+
+def test_one_id_of_a_third_of_the_rows(spark, tmp_path):
+    """A null id, with equal and different texts, is cut into several files and slices; reruns over other layouts agree."""
+    rows = [(None if i % 3 == 0 else i, f"a b c {i % 50 if i % 6 else 0} " * (1 + i % 4), f"s{i % 3}") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    files = token_stream.write_token_files(docs, str(tmp_path), lambda: token_stream.worker_encoder(token_stream.vocabulary_path())).collect()
+    assert sum(f["n_docs"] for f in files) == len(rows)
+    assert len(files) == 1 or max(f["n_docs"] for f in files) <= 2 * len(rows) / len(files)
+    takes = [sorted((str(r["doc_id"]), r["source"], r["size"], r["times"]) for r in mixing.mix(mixing.sized(t)).documents.collect()) for t in (docs, docs.repartition(3, "text"))]
+    assert takes[0] == takes[1]
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(mixing.sized(odd)).documents.collect()
     assert len(got) == len(ROWS) and all(r["taken"] <= 3 * r["size"] for r in got) and sum(r["taken"] for r in got) <= sum(r["size"] for r in got)
@@ -172,10 +218,11 @@ def test_shards(spark, odd, none):
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "hi", 1), (0, 1, "assistant", "yes <|im_end|>", 1), (1, 0, "user", "hi", 1), (1, 1, "assistant", "no", 1), (2, 0, "user", None, 1), (4, 1, None, "z", 1), (4, 0, "assistant", "a", 1),
-        (5, 0, "assistant", "a", 1), (5, 0, "assistant", "a", 1), (None, 0, "assistant", "q", 1)]
+        (5, 0, "assistant", "a", 1), (5, 0, "assistant", "a", 1), (None, 0, "assistant", "q", 1), (None, 0, "user", "q", 1)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, prompt long")
-    got = {r["pair_id"]: r for r in preferences.format_preferences(preferences.sibling_pairs(df)).collect()}
-    assert set(got) == {0, 1, 2, 4, 5, None}
+    out = preferences.format_preferences(preferences.sibling_pairs(df)).orderBy("pair_id", F.desc("n_prompt_turns")).collect()
+    got = {r["pair_id"]: r for r in out}
+    assert set(got) == {0, 1, 2, 4, 5, None} and [r["n_prompt_turns"] for r in out if r["pair_id"] is None] == [1, 0]
     r = got[0]
     assert r["n_prompt_turns"] == 1 and r["prompt"] == "<|im_start|>user\nhi<|im_end|>\n" and r["chosen"] == "<|im_start|>assistant\nyes < |im_end|><|im_end|>\n"
     assert r["rejected"] == "<|im_start|>assistant\nno<|im_end|>\n"
