@@ -165,8 +165,8 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Encode
     """
     rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
     first = F.col("doc_id").asc_nulls_first()
-    # equal rows encode alike, so their places only spread them over tasks
-    ordered = rows.repartitionByRange(first, "hash", F.col("text").asc_nulls_first(), "place").sortWithinPartitions(first, "hash", F.col("text").asc_nulls_first())
+    # equal rows encode alike, so their places only spread them over tasks; no text is a range key, as those are sampled to the driver
+    ordered = rows.repartitionByRange(first, "hash", "place").sortWithinPartitions(first, "hash", F.col("text").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
     run = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
