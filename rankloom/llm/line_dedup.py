@@ -5,6 +5,10 @@ gives each word a count that is never too low, and count and hash together are o
 that the prefix filter needs. With Jaccard >= 4/5 the first n - ceil(4n/5) + 2 words of two linked sets share two; the
 join on one keeps pairs that share two and pass the length and positional filters, and the whole sets are verified.
 
+Words are put in order in one pass, which keeps a line's set key and prefix; the whole words are looked up again only for sets in a pair.
+A prefix word's earliest set is compared first: what it links is decided, so a group of k similar lines costs k pairs, and only sets
+that are still open meet the others.
+
 Equal sets meet as one. Of linked sets the one that occurs first stays, and every occurrence of the others is removed, as are
 later occurrences of a set. Occurrences are ordered by (doc_id, hash of the text, line number).
 """
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
-from rankloom.llm.common import SPACES
+from rankloom.llm.common import SPACES, free_name
 
 #: Lines of fewer distinct words are never removed: only those without a word, which say nothing.
 MIN_WORDS = 1
@@ -26,21 +30,26 @@ SKETCH_BITS = 18
 #: Prefixes are so long that linked sets share at least this many of their words.
 SHARED = 2
 MAP_BITS = 24
+#: The place of a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of every line with a word."""
+    """(d, t, l, line) of every line: the place of doc_id, the hash of the text, the line number."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select(_place("doc_id").alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("l", "line"))
+
+
+def _place(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID).cast("long"))
 
 
-def _words(line: str) -> Column:
-    """Distinct word hashes of a line."""
+def _parts(line: str) -> Column:
+    """The words of a line, with empty ones between two blanks."""
     low = F.lower(line)
     # a line of single blanks only is split without a pattern
     other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    parts = F.when(other, F.split(low, SPACES)).otherwise(F.split(low, " "))
-    return F.array_distinct(F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w)))
+    return F.when(other, F.split(low, SPACES)).otherwise(F.split(low, " "))
 
 
 def _array(values: list, kind: str) -> Column:
@@ -49,51 +58,76 @@ def _array(values: list, kind: str) -> Column:
 
 
 def rarity(lines: DataFrame) -> list[int]:
-    """2^SKETCH_BITS counters: how many lines hold a word of each hash class."""
-    slot = F.pmod(F.col("w"), F.lit(1 << SKETCH_BITS)).cast("int")
-    counts = lines.select(F.explode("words").alias("w")).groupBy(slot.alias("slot")).count()
+    """2^SKETCH_BITS counters: how many words of the lines are of each hash class."""
+    words = lines.select(F.explode(_parts("line")).alias("w")).filter(F.col("w") != "")
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int").alias("slot")).groupBy("slot").count()
     out = [0] * (1 << SKETCH_BITS)
     for r in counts.toLocalIterator():
         out[r["slot"]] = r["count"]
     return out
 
 
-def _ordered(lines: DataFrame, counts: list[int]) -> DataFrame:
-    """``lines`` with ``words`` as one long each, rarest first: a logarithmic count above 48 bits of the hash."""
+def _order(counts: list[int]) -> Column:
+    """A constant: for each hash class a logarithmic count, at the place above 48 bits of a hash."""
     top = max(1, max(counts))
     steps = [min(32767, int(32767 * (c.bit_length() - 1 + c / (1 << (c.bit_length() - 1)) - 1) / top.bit_length())) if c else 0 for c in counts]
-    table = _array(steps, "array<int>")
-    code = lambda w: F.shiftleft(F.get(table, F.pmod(w, F.lit(1 << SKETCH_BITS)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(w, 16))
-    return lines.withColumn("words", F.sort_array(F.transform("words", code)))
+    return _array([s << 48 for s in steps], "array<bigint>")
+
+
+def _words(line: str, order: Column) -> Column:
+    """A line's distinct words as one long each, rarest first."""
+    hashes = F.array_distinct(F.transform(F.array_remove(_parts(line), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(order, h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))))
 
 
 def _prefix() -> Column:
     n = F.size("words")
-    return n - F.ceil(n * NUM / DEN).cast("int") + SHARED
+    return F.when(n >= LEAST_LINKED, F.slice("words", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + SHARED)).otherwise(F.slice("words", 1, 0))
 
 
-def similar_sets(sets: DataFrame) -> DataFrame:
-    """(a, b): keys of different sets with Jaccard of at least NUM / DEN; ``sets`` (key, words in order) may repeat rows."""
-    sets = sets.filter(F.size("words") >= LEAST_LINKED)
-    rows = sets.select("key", F.size("words").alias("n"), F.posexplode(F.slice("words", F.lit(1), _prefix())).alias("at", "word")).distinct()
-    a, b = rows.select(*[F.col(c).alias(f"{c}_a" if c != "word" else c) for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_b" if c != "word" else c) for c in rows.columns])
+def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key_a, key_b) of sets that may be linked, from prefix rows (word, key_x, n_x, at_x)."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
-    met = a.join(b, "word").filter((F.col("key_a") < F.col("key_b")) & (DEN * small >= NUM * large))
+    met = a.join(b, "word").filter((F.col("key_a") != F.col("key_b")) & (DEN * small >= NUM * large))
     pairs = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
     # up to the last shared prefix word everything shared is counted; beyond it no more than the shorter rest can be
     room = F.col("shared") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
-    pairs = cut(pairs.filter((F.col("shared") >= SHARED) & (room >= needed)).select("key_a", "key_b"))
-    wanted = cut(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
-    words = cut(sets.filter(_among(wanted)).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "words"))
-    both = pairs.join(words.select(F.col("key").alias("key_a"), F.col("words").alias("wa")), "key_a").join(words.select(F.col("key").alias("key_b"), F.col("words").alias("wb")), "key_b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.filter(DEN * shared >= NUM * (F.size("wa") + F.size("wb") - shared)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return pairs.filter((F.col("shared") >= SHARED) & (room >= needed)).select("key_a", "key_b")
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "at", "d")])
+
+
+def _linked(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, order: Column) -> DataFrame:
+    """(key): of every pair that the whole sets verify, the set that occurs later."""
+    pairs = cut(pairs)
+    wanted = cut(firsts.join(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "key", "left_semi").select("key", "first.*"))
+    found = lines.filter(_among(wanted)).join(wanted, ["d", "t", "l"]).select("key", F.struct("d", "t", "l").alias("first"), _words("line", order).alias("words"))
+    words = cut(found.dropDuplicates(["key"]))  # rows that repeat a document repeat its lines
+    both = pairs
+    for side in "ab":
+        both = both.join(words.select(*[F.col(c).alias(f"{c}_{side}") for c in words.columns]), f"key_{side}")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    both = both.filter(DEN * shared >= NUM * (F.size("words_a") + F.size("words_b") - shared))
+    return cut(both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct())
+
+
+def later_sets(firsts: DataFrame, lines: DataFrame, order: Column) -> DataFrame:
+    """(key): sets with Jaccard of at least NUM / DEN to one that occurs earlier; ``firsts`` (key, first, n, prefix) has each set once."""
+    rows = firsts.select("key", "n", F.col("first.d").alias("d"), F.posexplode("prefix").alias("at", "word"))
+    hubs = rows.groupBy("word").agg(F.min(F.struct("d", "key", "n", "at")).alias("hub"), F.count("*").alias("many")).filter(F.col("many") > 1).select("word", "hub.*")
+    late = _linked(_candidates(_side(hubs, "a"), _side(rows, "b")).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct(), firsts, lines, order)
+    # an open set looks for an earlier one among all; sets that first occur in one document meet in both directions
+    open_ = _side(firsts.join(late, "key", "left_anti").select("key", "n", F.col("first.d").alias("d"), F.posexplode("prefix").alias("at", "word")), "b")
+    return late.union(_linked(_candidates(_side(rows, "a").join(hubs.select("word"), "word", "left_semi"), open_).select(
+        F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct(), firsts, lines, order)).distinct()
 
 
 def _among(wanted: DataFrame) -> Column:
-    """A filter of fixed size by a bit map of the wanted keys, ahead of the exact join: it keeps other sets' words from the shuffle."""
-    slot = F.pmod("key", F.lit(1 << MAP_BITS))
+    """A filter of fixed size by a bit map of the wanted places, ahead of the exact join: it keeps other lines from the shuffle."""
+    slot = F.xxhash64("d", "t", "l").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     found = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("bits"))
     bits = [0] * (1 << (MAP_BITS - 6))
     for r in found.toLocalIterator():
@@ -107,21 +141,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Lines are what line feeds separate. A null text stays null with no lines. Rows that repeat doc_id and text are one document to the order, so both
     keep or lose the same lines; a null doc_id comes first. Columns named like the new ones are replaced. No rows, no result rows.
     """
-    lines = _lines(docs).withColumn("words", _words("line")).filter(F.size("words") >= min_words)
-    key = F.xxhash64(F.sort_array("words"), F.size("words")).alias("key")
-    at = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l")).alias("at")
-    rows = cut(lines.select(at, key))
-    sets = _ordered(lines.select(key, "words"), rarity(lines))
-    firsts = cut(rows.groupBy("key").agg(F.min("at").alias("first")))
-    links = cut(similar_sets(sets))
-    ends = links.join(firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
-    later = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
-    verdict = firsts.join(later.withColumn("late", F.lit(True)), "key", "left").select("key", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = rows.join(verdict, "key").filter(F.col("late") | (F.col("at") != F.col("first"))).groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.collect_set("at.l").alias("_gone"))
+    lines = _lines(docs)
+    order = _order(rarity(lines))
+    sets = lines.select("d", "t", "l", _words("line", order).alias("words")).filter(F.size("words") >= min_words)
+    rows = cut(sets.select("d", "t", "l", F.xxhash64("words", F.size("words")).alias("key"), F.size("words").alias("n"), _prefix().alias("prefix")))
+    firsts = cut(rows.groupBy("key").agg(F.min(F.struct("d", "t", "l")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    late = later_sets(firsts, lines, order)
+    verdict = firsts.join(late.withColumn("late", F.lit(True)), "key", "left").select("key", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    gone = rows.select("d", "t", "l", "key").join(verdict, "key").filter(F.col("late") | (F.struct("d", "t", "l") != F.col("first")))
     base = docs.drop("n_lines", "n_removed")
-    marked = base.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = marked.join(gone, (F.col("_k") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    k, h, g = free_name(base, "_place"), free_name(base, "_hash"), free_name(base, "_gone")
+    gone = gone.groupBy(F.col("d").alias(k), F.col("t").alias(h)).agg(F.collect_set("l").alias(g))
+    joined = base.withColumns({k: _place("doc_id"), h: F.xxhash64(F.coalesce("text", F.lit("")))}).join(gone, [k, h], "left")
     parts = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
+    kept = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in base.columns], F.when(
-        F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+        F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long").alias("n_removed"))
