@@ -1,8 +1,10 @@
 """Whole jobs: cases that earlier versions of the operators cut short."""
 
 import glob
+import math
 import os
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -147,3 +149,60 @@ def test_one_row_of_each_component_of_random_rows(spark):
         c = component[i]
         least[c] = min(least.get(c, r), r)
     assert sorted(map(tuple, jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS)).collect())) == sorted(least.values())
+
+
+def _article(inside="", outside=""):
+    body = f"<h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    return f"<body><article>{body}{inside}</article>{outside}</body>", "\n".join(["Title", *[PARAGRAPH.strip()] * 3])
+
+
+def test_a_teaser_article_does_not_win():
+    body = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(5))
+    want = "\n".join([PARAGRAPH.strip()] * 5)
+    for teaser in ("<article><h2>Other</h2><p>Read on, please.</p></article>", "<article><p>A teaser, of one sentence.</p></article>"):
+        assert tag_paths.main_text(f"<body><div>{body}</div>{teaser}</body>") == want
+        assert tag_paths.main_text(f"<body>{teaser}<div>{body}</div></body>") == want
+        assert tag_paths.main_text(f"<body><article>{body}</article>{teaser}</body>").startswith(want)
+
+
+def test_boxes_in_and_beside_an_article():
+    said = "<p>What a good text, thank you.</p><p>I do not agree, sorry.</p>"
+    for junk in (
+        "<div class='comments-area'>{}</div>", "<ol class='comment-list'><li>{}</li></ol>", "<div id=disqus_thread>{}</div>", "<section><h2>Comments</h2>{}</section>", "<section><h3>3 comments</h3>{}</section>",
+        "<div><div><h2>Leave a reply</h2></div>{}</div>", "<div class='ad-slot'>{}</div>", "<div class='ad-container'>{}</div>", "<div class='cookie-bar'>{}</div>",
+        "<div class='newsletter-box'>{}</div>", "<div class='sidebar-left'>{}</div>", "<div class='widget-area'>{}</div>", "<div class='footer-bottom'>{}</div>", "<div class=social><p>Follow us</p></div>"):
+        for page, want in (_article(junk.format(said)), _article("", junk.format(said))):
+            assert tag_paths.main_text(page) == want, junk
+    page, want = _article("<article><p>A comment.</p></article><div><article><p>And another, longer one.</p></article></div>")
+    assert tag_paths.main_text(page) == want
+
+
+def test_sections_about_tools_stay():
+    for part in ("<section id=search>{}</section>", "<section id=pagination>{}</section>", "<div class=social>{}</div>"):
+        page, want = _article(part.format(f"<p>{PARAGRAPH}</p>"))
+        assert tag_paths.main_text(page) == want + "\n" + PARAGRAPH.strip()
+
+
+def test_deep_pages_in_linear_time():
+    for page, lines in (("<div>word " * 100_000, 100_000), ("<li><ul>" + "<div><li>x</li>" * 40_000, 40_000), ("<h1>a " * 50_000, 50_000), ("<article>x <p>" * 50_000, None)):
+        start = time.time()
+        text = tag_paths.main_text(page)
+        assert time.time() - start < 20 and (lines is None or text.count("\n") == lines - 1)
+
+
+def test_block_values_by_hand():
+    """The ratio rule path by path, block by block."""
+    rng = random.Random(5)
+    for _ in range(100):
+        n = rng.randint(1, 30)
+        paths, sizes = [rng.randint(0, 4) for _ in range(n)], [rng.randint(1, 300) for _ in range(n)]
+        marks, linked = [rng.randint(0, 9) for _ in range(n)], [rng.randint(0, s) for s in sizes]
+        own = []
+        for p in paths:
+            at = [i for i in range(n) if paths[i] == p]
+            chars = sum(sizes[i] for i in at)
+            own.append(chars / len(at) * (1 + sum(marks[i] for i in at) / len(at)) * (1 - sum(linked[i] for i in at) / chars))
+        bell = [math.exp(-k * k / 2) for k in range(-2, 3)]
+        for i, value in enumerate(tag_paths.block_values(paths, sizes, marks, linked)):
+            near = sum(w * own[min(n - 1, max(0, i + k))] for w, k in zip(bell, range(-2, 3))) / sum(bell)
+            assert abs(value - (own[i] + near) / 2) < 1e-6 * (1 + abs(value))
