@@ -205,18 +205,18 @@ class _Page:
         self.blocks = [b for b, ok in zip(self.blocks, flags) if ok]
 
 
-def block_values(paths: list[int], sizes: list[int], marks: list[int], linked: list[int]) -> np.ndarray:
-    """The fused value of every block, from its path, characters, punctuation marks and characters within links."""
+def block_values(paths: list[int], sizes: list[int], marks: list[int], linked: list[int], fused: float = FUSED) -> np.ndarray:
+    """The fused value of every block, from its path, characters, punctuation marks and characters within links; ``fused`` is the weight of the smoothed one."""
     _, at, count = np.unique(np.asarray(paths, dtype=np.int64), return_inverse=True, return_counts=True)
     total, mark, link = (np.bincount(at, weights=np.asarray(x, dtype=float)) for x in (sizes, marks, linked))
     own = (total / count * (1 + mark / count) * (1 - link / total))[at]
     near = np.convolve(np.pad(own, 2, mode="edge"), KERNEL / KERNEL.sum(), mode="valid")
-    return (1 - FUSED) * own + FUSED * near
+    return (1 - fused) * own + fused * near
 
 
-def _content(page: _Page) -> list[bool]:
+def _content(page: _Page, fused: float = FUSED) -> list[bool]:
     """Whether each block's value reaches the share of the spread that makes content."""
-    values = block_values([page.p.path[e] for e, _, _ in page.blocks], [len(t) for _, t, _ in page.blocks], [len(MARKS.findall(t)) for _, t, _ in page.blocks], [n for _, _, n in page.blocks])
+    values = block_values([page.p.path[e] for e, _, _ in page.blocks], [len(t) for _, t, _ in page.blocks], [len(MARKS.findall(t)) for _, t, _ in page.blocks], [n for _, _, n in page.blocks], fused)
     return (values >= SPREAD_SHARE * values.std()).tolist()
 
 
@@ -226,7 +226,7 @@ def _boxes(page: _Page) -> set[int]:
     total, named, holding = chars[0], page.p.named, page.p.holding
     out = set()
     if named:
-        told = page.sums(len(t) if ok else 0 for (_, t, _), ok in zip(page.blocks, _content(page)))
+        told = page.sums(len(t) if ok else 0 for (_, t, _), ok in zip(page.blocks, _content(page, 0)))  # by its own path: text beside it says nothing
         of_kind, linked, around = defaultdict(int), defaultdict(int), [0] * len(page.tags)
         for e in range(1, len(page.tags)):
             above = page.parent[e]
