@@ -19,8 +19,13 @@ HANGUL, HANGUL_END = 0xAC00, 0xD7A3
 VOWELS, TAILS = 21, 28
 
 
-def folded(char: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+def folded(text: str) -> str:
+    out = unicodedata.normalize("NFKD", text)
+    # a text has few different characters, so it is searched once a mark and not looked at one by one
+    for char in set(out):
+        if unicodedata.combining(char):
+            out = out.replace(char, "")
+    return out
 
 
 @lru_cache(maxsize=1)

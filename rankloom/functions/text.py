@@ -1,15 +1,19 @@
 """Text expressions: folding, tokens, phrase counts, markup stripping. All columns stay in the JVM
-except entity unescaping, which needs the HTML5 entity table."""
+except entity unescaping, which needs the HTML5 entity table, and what is done on every character or word
+of a long text: folding a page and counting its grams."""
 
 import html
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from rankloom.functions.folding import fold
+from rankloom.functions.folding import fold, folded
 from rankloom.functions.wordlists import SLUG_STOPWORDS, TERM_STOPWORDS, KEYWORD_STOPWORDS
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -83,53 +87,51 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_BEST_GRAM = "struct<cover:int,n:int,cnt:int,phrase:string>"
+#: Pages that are Python objects at once.
+SLICE_ROWS = 256
+_GRAM = StructType([StructField(c, t) for c, t in (("cover", IntegerType()), ("n", IntegerType()), ("cnt", IntegerType()), ("phrase", StringType()))])
 
 
-def dominant_ngram(tokens, min_count: int = 4) -> Column:
-    """W06. Most repeated 2- or 3-gram of a folded token array as struct(cover, n, cnt, phrase), or null.
-
-    A page is handled inside its own row: its grams are sorted, and a gram that occurs ``min_count``
-    times equals the one ``min_count`` - 1 places further. No exploded gram ever reaches a shuffle.
-    """
-    def best(t):
-        edge = F.transform(t, lambda w: F.when(~w.isin(*sorted(SLUG_STOPWORDS)), w))
-        return let(edge, lambda e: F.greatest(_best_gram(_bigrams(e), 2, min_count), _best_gram(_trigrams(t, e), 3, min_count)))
-
-    return let(tokens, best)
+def _slices(column: pa.Array):
+    for start in range(0, len(column), SLICE_ROWS):
+        yield column.slice(start, SLICE_ROWS)
 
 
-def _tail(a, start: int) -> Column:
-    return F.slice(a, F.lit(start), F.greatest(F.size(a) - (start - 1), F.lit(0)))
+@arrow_udf(StringType())
+def fold_text(texts: pa.Array) -> pa.Array:
+    """As fold_accents, for whole texts: the characters of a page are folded at once in Python, a text within ASCII stays."""
+    return pa.array([t if t is None or t.isascii() else folded(t) for part in _slices(texts) for t in part.to_pylist()], pa.string())
 
 
-def _joined(a, b) -> Column:
-    """Element-wise "a b"; null where either side is, and past the shorter side."""
-    return F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y))
+def _best_gram(tokens, min_count: int) -> dict | None:
+    """The gram of 2 or 3 words with the greatest (cover, n, cnt, phrase) of those that occur ``min_count`` times and are not numbers only."""
+    counts = Counter(tokens)
+    edges = {w for w, c in counts.items() if c >= min_count and w is not None and w not in SLUG_STOPWORDS}
+    if not edges:
+        return None
+    two = [f"{a} {b}" for a, b in zip(tokens, tokens[1:]) if a in edges and b in edges]
+    three = [f"{a} {m} {b}" for a, m, b in zip(tokens, tokens[1:], tokens[2:]) if a in edges and b in edges and m is not None]
+    found = [(c * n, n, c, g) for n, grams in ((2, two), (3, three)) for g, c in Counter(grams).items() if c >= min_count and not g.replace(" ", "").isdecimal()]
+    return dict(zip(_GRAM.names, max(found))) if found else None
 
 
-def _bigrams(edge) -> Column:
-    return _joined(edge, _tail(edge, 2))
+@lru_cache(maxsize=None)
+def _dominant(min_count: int):
+    @arrow_udf(_GRAM)
+    def best(tokens: pa.Array) -> pa.Array:
+        out = [None if t is None else _best_gram(list(t), min_count) for part in _slices(tokens) for t in part.to_pandas()]
+        return pa.array(out, pa.struct([("cover", pa.int32()), ("n", pa.int32()), ("cnt", pa.int32()), ("phrase", pa.string())]))
 
+    return best
 
-def _trigrams(tokens, edge) -> Column:
-    return _joined(_joined(edge, _tail(tokens, 2)), _tail(edge, 3))
 
+def dominant_ngram(tokens, min_count: int = 4) -> Column:
+    """W06. Most repeated 2- or 3-gram of a folded token array as struct(cover, n, cnt, phrase), or null.
 
-def _best_gram(grams, n: int, min_count: int) -> Column:
-    ahead = min_count - 1
-    ordered = F.array_sort(F.array_compact(grams))
-    frequent = let(ordered, lambda s: F.filter(s, lambda g, i: g == F.get(s, i + ahead)))
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(None).cast(_BEST_GRAM).alias("best"))
-
-    def step(acc, g):
-        run = F.when(acc["g"] == g, acc["run"] + 1).otherwise(F.lit(1))
-        cnt = run + ahead
-        cand = F.struct((cnt * n).alias("cover"), F.lit(n).alias("n"), cnt.alias("cnt"), g.alias("phrase"))
-        better = (acc["best"].isNull() | (cand > acc["best"])) & ~g.rlike(r"^[\p{Nd} ]+$")
-        return F.struct(g.alias("g"), run.alias("run"), F.when(better, cand).otherwise(acc["best"]).cast(_BEST_GRAM).alias("best"))
-
-    return F.aggregate(frequent, start, step, lambda acc: acc["best"])
+    A page is handled inside its own row: only words that occur ``min_count`` times can begin or end such a gram, and only
+    their grams are counted. No exploded gram ever reaches a shuffle.
+    """
+    return _dominant(min_count)(tokens)
 
 
 def cut_element(markup, tag: str) -> Column:

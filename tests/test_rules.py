@@ -442,3 +442,44 @@ def test_fold_of_letters_that_become_several(spark):
     assert [r.f for r in df.select("i", tx.fold_accents(F.col("t")).alias("f")).orderBy("i").collect()] == want
     plan = df.select(tx.normalize_keyword(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_texts_are_folded_as_columns_are(spark):
+    texts = ["preço já é 10½", "ﬁm Ｆｕｌｌ 한국 ёлка", "plain", "", None, "ȩ́t"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(tx.fold_text(F.col("t")).alias("a"), tx.fold_accents(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    assert "translate(" not in plan(content.text_measures(df.withColumnRenamed("t", "text")))
+
+
+def test_dominant_ngram_takes_the_greatest_of_equals(spark):
+    words = [["bb", "cc"] * 4 + ["xx"] + ["dd", "ee"] * 4, ["aa", None, "aa"] * 5, [], ["a1", "b1", "c1"] * 4]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>")
+    got = [r.g for r in df.select("i", tx.dominant_ngram(F.col("w")).alias("g")).orderBy("i").collect()]
+    assert tuple(got[0]) == (8, 2, 4, "dd ee") and tuple(got[1]) == (8, 2, 4, "aa aa")
+    assert got[2] is None and tuple(got[3]) == (12, 3, 4, "a1 b1 c1")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_verdicts_are_computed_before_the_sort(spark):
+    pages = spark.createDataFrame([("s", "https://s/u", "um texto " * 5)], "site string, url string, text string")
+    signals = spark.createDataFrame([("s", "https://s/u", 1, 0.1, ["texto"], 1, True)], "site string, url string, entity_count int, salience_concentration double, top_names array<string>, n_entities int, classified boolean")
+    words = spark.createDataFrame([("s", "https://s/u", ["texto"])], "site string, url string, keywords array<string>")
+    listed = content.verdict_listing(content.content_verdicts(pages, words, signals))
+    assert "regexp_extract_all" not in plan(listed) and [r.verdict for r in listed.collect()] == ["raso"]
+
+
+def test_a_snapshot_is_computed_once(spark):
+    rows = "site string, date string, url string, position double"
+    stored_rows, calls = spark.createDataFrame([("s", "2024-01-01", "u", 1.0)], rows), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            calls.add(len(pdf))
+            yield pdf
+
+    snapshot = spark.createDataFrame([("s", "2024-02-01", "u", 2.0)], rows).mapInPandas(counted, rows)
+    assert len(history.upsert_snapshot(stored_rows, snapshot).collect()) == 2 and calls.value == 1
