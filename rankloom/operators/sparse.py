@@ -1,13 +1,17 @@
-"""Near-duplicate pages by sparse vectors: an exact cosine join over an inverted index.
+"""Near-duplicate pages by sparse vectors: an exact cosine join over blocks of pages.
 
-Input weights are (site, page, term, weight) rows of unit vectors, as ``vectors.tfidf`` makes them. A vector's terms are ordered from rare to
-common. Two vectors whose first shared term leaves a norm of r and s (itself and everything after it) have a cosine of r * s at
-most, so only terms with a remaining norm of the threshold or more are indexed: the rare ones, while common terms, which would pair
-nearly everything, are never joined. Shared index terms add up to a part of the cosine; what can still come is bounded by the
-norms behind the last of them, and only pairs that can reach the threshold get their exact sum.
+Input weights are (site, page, term, weight) rows of unit vectors, as ``vectors.tfidf`` makes them. A page becomes one row of numbered terms and
+weights, a site's pages are dealt to blocks of bounded size, and a pair of blocks is one task. There the right block is an inverted
+index, and a left page adds up the products of its terms' postings: only sums of one page are held, and products never reach a shuffle.
+At usual thresholds no prefix of rare terms is short enough to join on: the indexed terms would hold most of a vector's norm, and
+their joined rows grow with the square of a term's pages.
 """
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.lineage import cut
@@ -15,8 +19,12 @@ from rankloom.operators.similarity import components
 
 #: Decimals to which the weights of two vectors agree when they count as equal.
 EQUAL_DECIMALS = 6
-#: Kept below the threshold in the bounds, so that rounding loses no pair.
-SLACK = 1e-9
+#: Pages of a block, about; a site of fewer pages has up to ``LEAST_BLOCKS`` blocks of at least ``LEAST_PAGES``.
+BLOCK_PAGES = 8192
+LEAST_BLOCKS = 2
+LEAST_PAGES = 512
+#: Pairs that a task hands on at once.
+PAIRS_OUT = 1 << 18
 
 
 def distinct_sparse(weights: DataFrame) -> DataFrame:
@@ -31,17 +39,59 @@ def distinct_sparse(weights: DataFrame) -> DataFrame:
     return cut(named.join(first, key).select("site", "page", "same_as"))
 
 
-def indexed_terms(weights: DataFrame, threshold: float) -> DataFrame:
-    """(site, page, term, weight, at, behind): the entries whose remaining norm reaches the threshold, rarest first; ``behind`` is the norm after one."""
-    counts = weights.groupBy("site", "term").agg(F.count("*").alias("pages"))
-    own = Window.partitionBy("site", "page")
-    order = own.orderBy("pages", "term")
-    upto = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(F.col("weight") * F.col("weight")).over(own)
-    placed = weights.join(counts, ["site", "term"]).select(
-        "site", "page", "term", "weight", F.row_number().over(order).alias("at"), F.sqrt(F.greatest(whole - upto, F.lit(0.0))).alias("behind"))
-    remaining = F.sqrt(F.col("behind") * F.col("behind") + F.col("weight") * F.col("weight"))
-    return placed.filter(remaining >= threshold - SLACK)
+def _packed(weights: DataFrame, same: DataFrame) -> DataFrame:
+    """(site, page, pages, terms, weights): every page that stands for itself, its entries in one row with terms as numbers; ``pages`` counts the site's."""
+    kept = same.filter("page = same_as").select("site", "page")
+    kept = cut(kept.join(kept.groupBy("site").agg(F.count("*").alias("pages")), "site"))
+    known = weights.filter(F.col("weight").isNotNull())
+    numbers = cut(known.select("site", "term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    entries = known.join(kept, ["site", "page"]).join(numbers, ["site", "term"])
+    entries = entries.groupBy("site", "page", "pages").agg(F.collect_list(F.struct("number", "weight")).alias("e"))
+    return entries.select("site", "page", "pages", F.col("e.number").alias("terms"), F.col("e.weight").alias("weights"))
+
+
+def _block_pairs(packed: DataFrame, block_pages: int) -> DataFrame:
+    """Rows with ``block``, once for every pair ``block_a`` <= ``block_b`` of the site's blocks that theirs is in."""
+    blocks = F.greatest(F.ceil(F.col("pages") / block_pages), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("pages") / LEAST_PAGES))).cast("int")
+    dealt = packed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("site", "page", "terms", "weights", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+
+
+def _similar(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """The pages of both sides of a block pair, and for every left page its number, the numbers of its right partners and their similarities.
+
+    Within one block a page's partners come after it.
+    """
+    pdf = pdf.sort_values("page", kind="stable")
+    same = pdf["block_a"].iloc[0] == pdf["block_b"].iloc[0]
+    left, right = pdf[pdf["block"] == pdf["block_a"].iloc[0]], pdf[pdf["block"] == pdf["block_b"].iloc[0]]
+
+    def partners():
+        if not len(left) or not len(right):
+            return
+        owner = np.repeat(np.arange(len(right), dtype=np.int32), right["terms"].map(len))
+        terms = np.concatenate(right["terms"].to_list())
+        order = np.argsort(terms, kind="stable")
+        owner, weight = owner[order], np.concatenate(right["weights"].to_list())[order]
+        known, first = np.unique(terms[order], return_index=True)
+        ends = np.append(first[1:], len(terms))
+        for i, (own, x) in enumerate(zip(left["terms"], left["weights"])):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            at, x = at[hit], x[hit]
+            if not len(at):
+                continue
+            postings = [slice(a, b) for a, b in zip(first[at], ends[at])]
+            products = np.concatenate([weight[p] for p in postings]) * np.repeat(x, ends[at] - first[at])
+            sim = np.bincount(np.concatenate([owner[p] for p in postings]), products, minlength=len(right))
+            if same:
+                sim[:i + 1] = 0.0
+            j = np.nonzero((sim >= threshold) & (sim != 0))[0]
+            if len(j):
+                yield i, j, sim[j]
+
+    return left["page"].to_numpy(), right["page"].to_numpy(), partners()
 
 
 def sparse_cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
@@ -49,27 +99,57 @@ def sparse_cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
 
     Of pages with equal vectors the smallest stands for all. A page without terms is in no pair.
     """
-    same = distinct_sparse(weights)
-    reps = cut(weights.join(same.filter("page = same_as").select("site", "page"), ["site", "page"], "left_semi").select("site", "page", "term", "weight"))
-    return _pairs_of(reps, threshold)
-
-
-def _pairs_of(reps: DataFrame, threshold: float) -> DataFrame:
-    index = cut(indexed_terms(reps, threshold))
-    a, b = (index.select("site", "term", F.col("page").alias(s), F.col("weight").alias(f"w_{s}"), F.col("behind").alias(f"behind_{s}")) for s in "ab")
-    shared = a.join(b, ["site", "term"]).filter("a < b").groupBy("site", "a", "b").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.min("behind_a").alias("behind_a"), F.min("behind_b").alias("behind_b"))
-    hopeful = cut(shared.filter(F.col("part") + F.col("behind_a") * F.col("behind_b") >= threshold - SLACK).select("site", "a", "b"))
-    left = reps.select("site", F.col("page").alias("a"), "term", F.col("weight").alias("x"))
-    right = reps.select("site", F.col("page").alias("b"), "term", F.col("weight").alias("y"))
-    sums = hopeful.join(left, ["site", "a"]).join(right, ["site", "b", "term"]).groupBy("site", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
-    return sums.filter(F.col("sim") >= threshold)
+    return _pairs_of(_packed(weights, distinct_sparse(weights)), threshold)
+
+
+def _pairs_of(packed: DataFrame, threshold: float, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    def named(site, a, b, sim) -> pd.DataFrame:
+        a, b, sim = np.concatenate(a), np.concatenate(b), np.concatenate(sim)
+        swap = a > b
+        return pd.DataFrame({"site": site, "a": np.where(swap, b, a), "b": np.where(swap, a, b), "sim": sim})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames))
+        p, q, found = _similar(pdf, threshold)
+        a, b, sims, held = [], [], [], 0
+        for i, j, sim in found:
+            a.append(np.repeat(p[i:i + 1], len(j)))
+            b.append(q[j])
+            sims.append(sim)
+            held += len(j)
+            if held >= PAIRS_OUT:
+                yield named(pdf["site"].iloc[0], a, b, sims)
+                a, b, sims, held = [], [], [], 0
+        if held:
+            yield named(pdf["site"].iloc[0], a, b, sims)
+
+    return _block_pairs(packed, block_pages).groupBy("site", "block_a", "block_b").applyInPandas(compare, "site string, a string, b string, sim double")
+
+
+def sparse_forest(packed: DataFrame, threshold: float, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(site, a, b) edges with the same components as the pairs, fewer than the pages of a block pair for each: a dense group of near copies costs its size and not its square."""
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q, found = _similar(pdf, threshold)
+        same = pdf["block_a"].iloc[0] == pdf["block_b"].iloc[0]
+        pages = p if same else np.concatenate([p, q])
+        label = np.arange(len(pages))  # a part's smallest number
+        a, b = [], []
+        for i, j, _ in found:
+            parts = np.unique(label[np.append(j if same else j + len(p), i)])
+            if len(parts) > 1:
+                label[np.isin(label, parts)] = parts[0]
+                a.append(np.repeat(parts[0], len(parts) - 1))
+                b.append(parts[1:])
+        a, b = (pages[np.concatenate(x)] if x else [] for x in (a, b))
+        return pd.DataFrame({"site": pdf["site"].iloc[0], "a": a, "b": b}).astype(str)
+
+    return _block_pairs(packed, block_pages).groupBy("site", "block_a", "block_b").applyInPandas(forest, "site string, a string, b string")
 
 
 def sparse_clusters(pages: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
     """G01 on sparse vectors: (site, page, cluster), the smallest page reachable over pairs; a page without partners or terms is its own."""
     same = distinct_sparse(weights)
-    reps = cut(weights.join(same.filter("page = same_as").select("site", "page"), ["site", "page"], "left_semi").select("site", "page", "term", "weight"))
-    edges = _pairs_of(reps, threshold).select("site", "a", "b").unionByName(same.filter("page <> same_as").select("site", F.col("same_as").alias("a"), F.col("page").alias("b")))
+    copies = same.filter("page <> same_as").select("site", F.col("same_as").alias("a"), F.col("page").alias("b"))
+    edges = sparse_forest(_packed(weights, same), threshold).unionByName(copies)
     found = components(edges).select("site", F.col("node").alias("page"), "component")
     return pages.select("site", "page").distinct().join(found, ["site", "page"], "left").select("site", "page", F.coalesce("component", "page").alias("cluster"))
