@@ -25,6 +25,8 @@ RATE = 0.4
 CHARS = (3, 4, 5)
 SEED = 20
 THRESHOLD = 0.3
+#: Features of training documents in one array: the system takes arrays of this size back when training ends, which it does not with many small ones.
+KEPT = 1 << 23
 
 _PAIR, _CHARS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -101,11 +103,17 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     if not 0 < share < 1:
         return Model(np.zeros(buckets), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     features, docs = Features(buckets), []
+    kept, used = (np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)), 0
     for a in range(0, len(texts), 64):
         owner, rows = features(pa.array(texts[a : a + 64], pa.large_string()))
         for i in range(len(texts[a : a + 64])):
             ids, n = np.unique(rows[owner == i], return_counts=True)
-            docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+            if used + len(ids) > len(kept[0]):
+                size, used = max(KEPT, len(ids)), 0
+                kept = np.empty(size, dtype=np.int32), np.empty(size, dtype=np.float32)
+            own = slice(used, used + len(ids))
+            kept[0][own], kept[1][own], used = ids, n / max(1, n.sum()), own.stop
+            docs.append((kept[0][own], kept[1][own]))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1.0 / dim, 1.0 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
