@@ -256,6 +256,17 @@ def test_linkage(spark, linkage, seed):
         assert all(sim[i, j] > 0.6 for g in got.values() for i in g for j in g if i != j)
 
 
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_linkage_drops_pairs_that_cannot_merge(spark, monkeypatch, linkage):
+    stored = []
+    monkeypatch.setattr(similarity, "cut", lambda df: stored.append(cut(df)) or stored[-1])
+    rows = [("s", f"p{d}", [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for d in (0, 30, 75)]
+    got = {r.page: r.cluster for r in similarity.linkage_clusters(spark.createDataFrame(rows, VEC), 0.6, linkage).collect()}
+    assert got == {"p0": "p0", "p30": "p0", "p75": "p75"}
+    pairs = [t for t in stored if {"a", "b"} <= set(t.columns)]
+    assert all(dict(t.dtypes)["a"] == "bigint" for t in pairs) and pairs[-1].isEmpty()
+
+
 def test_toy_clusters(spark):
     v = [("a1", [1, 0, 0]), ("a2", [0.99, 0.1, 0]), ("a3", [0.98, 0, 0.1]), ("b1", [0, 1, 0]), ("b2", [0.1, 0.99, 0]), ("c1", [0, 0, 1])]
     df = spark.createDataFrame([("s", p, [float(x) for x in e]) for p, e in v], VEC)
