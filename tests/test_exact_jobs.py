@@ -267,6 +267,27 @@ def test_linkage_drops_pairs_that_cannot_merge(spark, monkeypatch, linkage):
     assert all(dict(t.dtypes)["a"] == "bigint" for t in pairs) and pairs[-1].isEmpty()
 
 
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+@pytest.mark.parametrize("most", [9, 100])
+def test_linkage_settles_components_in_tasks(spark, monkeypatch, linkage, most):
+    monkeypatch.setattr(similarity, "FIRST_SPLIT", 1)
+    monkeypatch.setattr(similarity, "TASK_CLUSTERS", most)
+    rounds, mutual = [], similarity._mutual
+    monkeypatch.setattr(similarity, "_mutual", lambda edges: rounds.append(1) or mutual(edges))
+    # angles with growing gaps join one after another: a round each
+    angles = [sum(1 + i / 10 for i in range(k)) for k in range(12)]
+    rows = [("s", f"p{k:02}", [float(np.cos(np.radians(x))), float(np.sin(np.radians(x))), 0.0]) for k, x in enumerate(angles)] + [("s", "q0", [0.0, 0.0, 1.0]), ("s", "q1", [0.0, 0.1, 1.0])]
+    rows += [(s, f"r{p}", v) for s, p, v in vectors(7, n=30, d=3, copies=3)]
+    sim = unit(rows) @ unit(rows).T
+    got = {}
+    for r in similarity.linkage_clusters(spark.createDataFrame(rows, VEC), 0.9, linkage).collect():
+        got.setdefault(r.cluster, set()).add(r.page)
+    assert {frozenset(g) for g in got.values()} == {frozenset(rows[i][1] for i in g) for g in agglomerate(sim, 0.9, linkage)}
+    assert all(c == min(g) for c, g in got.items())
+    if most == 100:
+        assert len(rounds) <= 2
+
+
 def test_toy_clusters(spark):
     v = [("a1", [1, 0, 0]), ("a2", [0.99, 0.1, 0]), ("a3", [0.98, 0, 0.1]), ("b1", [0, 1, 0]), ("b2", [0.1, 0.99, 0]), ("c1", [0, 0, 1])]
     df = spark.createDataFrame([("s", p, [float(x) for x in e]) for p, e in v], VEC)
