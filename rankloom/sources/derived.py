@@ -56,9 +56,10 @@ class Derived:
         )
 
     def page_metrics(self) -> DataFrame:
-        tenths = F.round(F.col("position") * 10).cast("long") * F.col("impressions")
-        return self.query_page().groupBy("site", "url").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(tenths).alias("t")).select(
-            "site", "url", "clicks", "impressions", F.round(100.0 * F.col("clicks") / F.col("impressions"), 2).alias("ctr"),
+        # a page is a supplier: the log is added up by its number, names are made for pages only
+        tenths, k = F.round(F.col("position") * 10).cast("long") * F.col("impressions"), F.col("l_suppkey")
+        return self._metrics("l_partkey").groupBy(k).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(tenths).alias("t")).select(
+            self.site_of(k).alias("site"), self.url_of(k).alias("url"), "clicks", "impressions", F.round(100.0 * F.col("clicks") / F.col("impressions"), 2).alias("ctr"),
             F.round(F.col("t") / F.col("impressions") / 10.0, 1).alias("position"),
         )
 

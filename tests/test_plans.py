@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from rankloom import catalog
+from rankloom.operators import pruning
 from rankloom.plans import reports as plans
 from rankloom.sources.derived import Derived
 from rankloom.sources.history import read_history
@@ -32,6 +34,29 @@ def test_pruning_reports(spark):
     assert done["rules"].count() == 3 * done["plan"].filter("status = 'entry'").count()
 
 
+def test_log_is_read_once_for_ghosts_and_groups(spark, monkeypatch):
+    d, calls, met = Derived(spark, FOLDER), [], pruning.ghost_queries
+    monkeypatch.setattr(pruning, "ghost_queries", lambda *a: calls.append(1) or met(*a))
+    pruning.pruning_plan(d.page_metrics(), d.sitemap(), d.query_page(), d.export_list())
+    assert len(calls) == 1
+    monkeypatch.setattr(catalog.sim, "threshold_clusters", lambda v, t: v.select("site", "page", F.col("page").alias("cluster")))
+    assert catalog._enriched(d) is catalog._enriched(d)
+
+
+def test_page_metrics_add_up_the_log(spark, tmp_path):
+    rows = [(None, 1, 1, "R", 3.0), (None, 2, 2, "N", 4.0), (7, 1, 1, "R", 5.0), (7, 2, 3, "N", 6.0), (7, 2, 3, "N", 6.0), (12, 3, 2, "R", 7.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = Derived(spark, str(tmp_path))
+    got, log = d.page_metrics(), d.query_page().collect()
+    want = {}
+    for r in log:
+        c, i, t = want.get((r.site, r.url), (0, 0, 0))
+        want[r.site, r.url] = c + r.clicks, i + r.impressions, t + int(r.position * 10 + 0.5) * r.impressions
+    assert {(r.site, r.url): (r.clicks, r.impressions, r.position) for r in got.collect()} == {k: (c, i, int(t / i + 0.5) / 10) for k, (c, i, t) in want.items()}
+    # pages are added up by their number, not by names made for every row of the log
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [l_suppkey") == 2
+
+
 def test_semantic_report(spark):
     d = Derived(spark, FOLDER)
     files = spark.createDataFrame([("all", "inc.php", "<?php foreach ($x as $y) formatStringToURL($y);")], "site string, path string, text string")
