@@ -70,16 +70,17 @@ def ghost_queries(ghosts: DataFrame, query_page: DataFrame, keys: DataFrame | No
     return query_page.join(wanted, ["site", "url"])
 
 
-def top_ghost_queries(ghosts: DataFrame, query_page: DataFrame, top: int = TOP_QUERIES, keys: DataFrame | None = None) -> DataFrame:
-    """J06. The few biggest queries of each ghost, as an ordered array."""
+def top_ghost_queries(ghosts: DataFrame, query_page: DataFrame, top: int = TOP_QUERIES, keys: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """J06. The few biggest queries of each ghost, as an ordered array. ``rows`` are its ghost_queries where they are stored."""
     w = Window.partitionBy("site", "match_key").orderBy(F.desc("impressions"), "query", "url")
-    ranked = ghost_queries(ghosts, query_page, keys).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    rows = ghost_queries(ghosts, query_page, keys) if rows is None else rows
+    ranked = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.groupBy("site", "match_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "query"))), lambda x: x["query"]).alias("top_queries")
     )
 
 
-def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFrame, keys: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """J03. Per ghost the live page that shares the most of its query impressions.
 
     Score of (ghost, page) = sum over shared non-brand queries of ghost impressions + 1, ties by the
@@ -89,7 +90,8 @@ def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFram
     that bound. So a query that many ghosts and pages share pairs them only where it is not a ghost's commonest one and could decide.
     """
     keys = url_keys(query_page) if keys is None else keys
-    g, a = cut(_ghost_side(ghosts, query_page, sitemap, keys)), cut(_page_side(query_page, sitemap, keys))
+    rows = ghost_queries(ghosts, query_page, keys) if rows is None else rows
+    g, a = cut(_ghost_side(rows, sitemap)), cut(_page_side(query_page, sitemap, keys))
     q, old, pair = ["site", "query"], ["site", "match_key"], ["site", "match_key", "url"]
     first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), F.col("url").alias("u")))
     met = g.join(a.groupBy(*q).agg(first.alias("first"), F.count("*").alias("pages")), q).withColumn("most", F.col("w") * -F.col("first.n"))
@@ -110,8 +112,8 @@ def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFram
     return singles.unionByName(whole).groupBy(*old).agg(best.alias("b")).select(*old, F.col("b.u").alias("target"), (-F.col("b.s")).alias("score"))
 
 
-def _ghost_side(ghosts, query_page, sitemap, keys):
-    rows = ghost_queries(ghosts, query_page, keys).join(site_brands(sitemap), "site", "left")
+def _ghost_side(rows, sitemap):
+    rows = rows.join(site_brands(sitemap), "site", "left")
     rows = rows.filter(~is_brand_query(F.col("query"), F.col("brand")))
     return rows.groupBy("site", "query", "match_key").agg(
         F.sum(F.col("impressions") + 1).alias("w"), F.count("*").alias("m")
@@ -148,6 +150,7 @@ def pruning_plan(
     """G05. Old URLs with suggested action and target: by query, else by slug, else home for those with traffic."""
     olds = cut(ghosts_and_exports(metrics, sitemap, exports))
     on, log_keys = ["site", "match_key"], url_keys(query_page)
+    rows = cut(ghost_queries(olds, query_page, log_keys).select(*on, "query", "url", "impressions"))  # a small part of the log, used twice
     spelled = sitemap_keys(sitemap)
 
     def in_sitemap_form(targets, by, name):
@@ -155,13 +158,13 @@ def pruning_plan(
         known = spelled.select("site", F.col("match_key").alias("tk"), "sitemap_url")
         return keyed.join(known, ["site", "tk"], "left").select("site", by, F.coalesce("sitemap_url", "target").alias(name))
 
-    by_query = in_sitemap_form(targets_by_query(olds, query_page, sitemap, keys=log_keys), "match_key", "by_query")
+    by_query = in_sitemap_form(targets_by_query(olds, query_page, sitemap, keys=log_keys, rows=rows), "match_key", "by_query")
     by_slug = in_sitemap_form(targets_by_slug(olds, sitemap), "url", "by_slug")
     traffic = (F.col("clicks") > 0) | (F.col("impressions") >= min_impressions)
     home = F.when(traffic, F.col("home_url")) if home_fallback else F.lit(None).cast("string")
     joined = (
         olds.join(by_query, on, "left").join(by_slug, ["site", "url"], "left")
-        .join(top_ghost_queries(olds, query_page, keys=log_keys), on, "left").join(home_pages(sitemap), "site", "left")
+        .join(top_ghost_queries(olds, query_page, keys=log_keys, rows=rows), on, "left").join(home_pages(sitemap), "site", "left")
     )
     return joined.select(
         "site", "url", "clicks", "impressions", "ctr", "position", "origin",
