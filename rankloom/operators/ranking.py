@@ -7,6 +7,7 @@ from rankloom.functions.scoring import (
     band_action, band_label, band_rank, expected_ctr, opportunity_band, opportunity_score,
 )
 from rankloom.functions.wordlists import CATEGORIES, HEALTH_GRADES, HEALTH_WEIGHTS, NO_DATA_BAND, POSITION_BANDS
+from rankloom.lineage import cut
 
 MIN_IMPRESSIONS = 10
 MAX_POSITION = 30
@@ -157,10 +158,9 @@ def cannibalization(query_page: DataFrame, **limits) -> DataFrame:
 
 def cannibalization_members(query_page: DataFrame, **limits) -> DataFrame:
     """The competing URLs of every A06 group, one row each."""
-    groups = cannibalization(query_page, **limits).select("site", "query", "url_count", "severity", "severity_score", "best_url")
-    return competing(query_page, **limits).select(
-        "site", "query", "url", "position", "clicks", "impressions", "ctr"
-    ).join(groups, ["site", "query"])
+    rows = cut(competing(query_page, **limits).select("site", "query", "url", "position", "clicks", "impressions", "ctr"))  # the log is read once
+    groups = cannibalization(rows, **limits).select("site", "query", "url_count", "severity", "severity_score", "best_url")
+    return rows.join(groups, ["site", "query"])
 
 
 def group_listing(members: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def ranking_report(t: SearchTables, date: str, content_pages: int | None = 8) ->
     indexing = ranking.indexing_summary(ranking.newest_report(t.inspections))
     health = cut(ranking.health_score(rows, indexing))
     members = cut(ranking.cannibalization_members(t.query_page))
-    states = cut(consolidation.url_states(members))
+    numbered = consolidation.number_members(members)
+    states = consolidation.url_states(members, numbered)
     redirects = consolidation.consolidation_plan(members, states)
     named, topics = entities.entity_filter(t.entities_raw), entities.category_filter(t.categories_raw)
     near = (rows if content_pages is None else ranking.opportunity_urls(rows, content_pages)).select("site", "url")
@@ -55,7 +56,7 @@ def ranking_report(t: SearchTables, date: str, content_pages: int | None = 8) ->
     return {
         "positions": rows, "summary": summary, "health": health, "alerts": ranking.component_alerts(health), "bands": ranking.band_distribution(rows),
         "opportunities": ranking.opportunity_ranking(rows), "without_impressions": ranking.pages_without_impressions(rows),
-        "groups": groups, "redirects": redirects, "conflicts": consolidation.consolidation_conflicts(members, states), "redirect_rules": reports.redirect_rules(redirects),
+        "groups": groups, "redirects": redirects, "conflicts": consolidation.consolidation_conflicts(members, states, numbered), "redirect_rules": reports.redirect_rules(redirects),
         "trends": demand, "trend_positions": trends.trend_positions(demand, t.query_page), "content": content.verdict_listing(verdicts),
         "history": merged, "tracking": history.content_tracking(merged), "pivot": history.history_pivot(merged),
         "portfolio": portfolio.site_run_summary(t.sitemap.select("site"), summary, health, groups, verdicts, merged),

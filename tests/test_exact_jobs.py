@@ -85,6 +85,43 @@ def test_redirect_plan(spark, seed):
     assert got == clashes
 
 
+def counted(spark, table):
+    """``table`` and an accumulator of the rows that jobs have read of it."""
+    read, schema = spark.sparkContext.accumulator(0), table.schema
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return cut(table).mapInArrow(count, schema), read
+
+
+def test_the_log_is_read_once_for_the_redirect_plan(spark):
+    rows = query_rows(3)
+    log, read = counted(spark, spark.createDataFrame(rows, QP))
+    members = ranking.cannibalization_members(log)
+    numbered = consolidation.number_members(members)
+    states = consolidation.url_states(members, numbered)
+    plan = consolidation.consolidation_plan(members, states, place=True).collect()
+    told = consolidation.consolidation_conflicts(members, states, numbered).collect()
+    assert check_redirects(rows, {(r.site, r.from_url): (r.to_url, r.keyword) for r in plan}) == {(r.site, r.keyword, r.url, r.conflict) for r in told}
+    assert read.value == len(rows)
+
+
+def test_rounds_of_the_redirect_plan_see_numbers_only(spark):
+    numbered = consolidation.number_members(ranking.cannibalization_members(spark.createDataFrame(query_rows(4), QP)))
+    assert dict(numbered.numbers.dtypes) == {"g": "bigint", "at": "bigint", "u": "bigint"}
+    rows = numbered.numbers.join(numbered.names, "at").collect()
+    assert [r.at for r in sorted(rows, key=lambda r: (r.site, r.gkey, r.fit))] == sorted(r.at for r in rows)
+    groups, urls = {}, {}
+    for r in rows:
+        groups.setdefault((r.site, r.gkey), set()).add(r.g)
+        urls.setdefault((r.site, r.fit.u), set()).add(r.u)
+    for found in (groups, urls):
+        assert all(len(n) == 1 for n in found.values()) and len(set.union(*found.values())) == len(found)
+
+
 def test_redirect_plan_without_groups(spark):
     members = ranking.cannibalization_members(spark.createDataFrame([("a", "q", "u", 1, 50, 1.0, 2.0)], QP))
     assert consolidation.consolidation_plan(members).count() == 0
