@@ -33,7 +33,8 @@ def ghosts_and_exports(metrics: DataFrame, sitemap: DataFrame, exports: DataFram
     """U01. Ghosts plus exported URLs that neither the sitemap nor the ghosts know."""
     keys = ["site", "match_key"]
     ghosts = cut(ghost_urls(metrics, sitemap).withColumn("origin", F.lit(ORIGIN_SEARCH)))
-    first = exports.withColumn("match_key", match_key(F.col("url"))).groupBy(*keys).agg(F.min_by("url", "pos").alias("url"))
+    # keys are made once a row, not again in the filters of the joins
+    first = cut(exports.select("site", "url", "pos", match_key(F.col("url")).alias("match_key"))).groupBy(*keys).agg(F.min_by("url", "pos").alias("url"))
     extra = first.join(sitemap_keys(sitemap), keys, "left_anti").join(ghosts.select(*keys), keys, "left_anti").select(
         "site", "url", "match_key", F.lit(0).cast("long").alias("clicks"), F.lit(0).cast("long").alias("impressions"),
         F.lit(0.0).alias("ctr"), F.lit(None).cast("double").alias("position"), F.lit(ORIGIN_EXPORT).alias("origin"),
@@ -57,15 +58,25 @@ def site_brands(sitemap: DataFrame) -> DataFrame:
     return sitemap.filter(has_host).groupBy("site").agg(brand_compact(F.min_by("url", "pos")).alias("brand"))
 
 
+def stored_log(query_page: DataFrame) -> DataFrame:
+    """The columns of the query log that the plan needs, written once: the log is itself added up from more rows."""
+    return cut(query_page.select("site", "query", "url", "clicks", "impressions"))
+
+
 def url_keys(query_page: DataFrame) -> DataFrame:
-    """(site, url, match_key) of the URLs in the query log, written once: the log has many rows a URL, and a
-    key filter that the optimizer moves into the log's scan would be computed on each of them."""
-    return cut(query_page.select("site", "url").distinct().withColumn("match_key", match_key(F.col("url"))))
+    """(site, url, match_key, u, k) of the URLs in the query log, written once: the log has many rows a URL, and a
+    key filter that the optimizer moves into the log's scan would be computed on each of them. ``u`` numbers the URLs in the order
+    of site and URL, ``k`` is the number of the first URL with the same match key; pairs of ghosts and pages are pairs of these."""
+    urls = cut(query_page.select("site", "url").distinct()).withColumn("match_key", match_key(F.col("url")))
+    numbered = cut(urls.repartitionByRange("site", "url").sortWithinPartitions("site", "url").withColumn("u", F.monotonically_increasing_id()))
+    return cut(numbered.join(numbered.groupBy("site", "match_key").agg(F.min("u").alias("k")), ["site", "match_key"]))
 
 
 def ghost_queries(ghosts: DataFrame, query_page: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """J06. Query rows of the ghosts, met by match key."""
-    keys = url_keys(query_page) if keys is None else keys
+    if keys is None:
+        query_page = stored_log(query_page)
+        keys = url_keys(query_page)
     wanted = keys.join(ghosts.select("site", "match_key").distinct(), ["site", "match_key"], "left_semi")
     return query_page.join(wanted, ["site", "url"])
 
@@ -89,40 +100,44 @@ def targets_by_query(ghosts: DataFrame, query_page: DataFrame, sitemap: DataFram
     queries are gone through from few pages to many, never its last one, and only while all that is still open reaches
     that bound. So a query that many ghosts and pages share pairs them only where it is not a ghost's commonest one and could decide.
     """
-    keys = url_keys(query_page) if keys is None else keys
+    if keys is None:
+        query_page = stored_log(query_page)
+        keys = url_keys(query_page)
     rows = ghost_queries(ghosts, query_page, keys) if rows is None else rows
     g, a = cut(_ghost_side(rows, sitemap)), cut(_page_side(query_page, sitemap, keys))
-    q, old, pair = ["site", "query"], ["site", "match_key"], ["site", "match_key", "url"]
-    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), F.col("url").alias("u")))
+    q, pair = ["site", "query"], ["k", "u"]
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), "u"))
     met = g.join(a.groupBy(*q).agg(first.alias("first"), F.count("*").alias("pages")), q).withColumn("most", F.col("w") * -F.col("first.n"))
-    own = Window.partitionBy(*old)
+    own = Window.partitionBy("k")
     order = own.orderBy("pages", "query")
     before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = met.withColumns({"bound": F.max("most").over(own), "open": F.sum("most").over(own) - before, "more": F.lead("query").over(order).isNotNull()})
     met = cut(met.withColumn("probed", F.col("more") & (F.col("open") >= F.col("bound"))))
-    singles = met.select(*old, F.col("first.u").alias("url"), F.col("most").alias("score"), (F.col("m") * -F.col("first.c")).alias("pair_clicks"))
+    singles = met.select("k", "first.u", F.col("most").alias("score"), (F.col("m") * -F.col("first.c")).alias("pair_clicks"))
     points = [F.sum(F.col("w") * F.col("n")).alias("score"), F.sum(F.col("m") * F.col("c")).alias("pair_clicks")]
-    found = met.filter("probed").select(*q, "match_key", "w", "m").join(a, q).groupBy(*pair).agg(*points)
-    limits = met.groupBy(*old).agg(F.max("bound").alias("bound"), F.sum(F.when(~F.col("probed"), F.col("most")).otherwise(0)).alias("rest"))
-    hopeful = cut(found.join(limits, old).filter(F.col("score") + F.col("rest") >= F.col("bound")).select(*pair, "score", "pair_clicks"))
-    rest = met.filter("not probed").select(*old, "query", "w", "m")
-    added = hopeful.select(*pair).join(rest, old).join(a, ["site", "query", "url"]).groupBy(*pair).agg(*points)
+    found = met.filter("probed").select(*q, "k", "w", "m").join(a, q).groupBy(*pair).agg(*points)
+    limits = met.groupBy("k").agg(F.max("bound").alias("bound"), F.sum(F.when(~F.col("probed"), F.col("most")).otherwise(0)).alias("rest"))
+    hopeful = cut(found.join(limits, "k").filter(F.col("score") + F.col("rest") >= F.col("bound")).select(*pair, "score", "pair_clicks"))
+    rest = met.filter("not probed").select(*q, "k", "w", "m")
+    added = hopeful.select(*pair).join(rest, "k").join(a, [*q, "u"]).groupBy(*pair).agg(*points)
     whole = hopeful.unionByName(added).groupBy(*pair).agg(F.sum("score").alias("score"), F.sum("pair_clicks").alias("pair_clicks"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("pair_clicks")).alias("c"), F.col("url").alias("u")))
-    return singles.unionByName(whole).groupBy(*old).agg(best.alias("b")).select(*old, F.col("b.u").alias("target"), (-F.col("b.s")).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("pair_clicks")).alias("c"), "u"))
+    chosen = singles.unionByName(whole).groupBy("k").agg(best.alias("b")).select("k", "b.u", (-F.col("b.s")).alias("score"))
+    named = keys.filter(F.col("k") == F.col("u")).select("site", "match_key", "k")
+    return chosen.join(named, "k").join(keys.select("u", F.col("url").alias("target")), "u").select("site", "match_key", "target", "score")
 
 
 def _ghost_side(rows, sitemap):
     rows = rows.join(site_brands(sitemap), "site", "left")
     rows = rows.filter(~is_brand_query(F.col("query"), F.col("brand")))
-    return rows.groupBy("site", "query", "match_key").agg(
+    return rows.groupBy("site", "query", "k").agg(
         F.sum(F.col("impressions") + 1).alias("w"), F.count("*").alias("m")
     )
 
 
 def _page_side(query_page, sitemap, keys):
     live = keys.filter(~is_home(F.col("url"))).join(sitemap_keys(sitemap).select("site", "match_key"), ["site", "match_key"], "left_semi")
-    return query_page.join(live.select("site", "url"), ["site", "url"], "left_semi").groupBy("site", "query", "url").agg(
+    return query_page.join(live.select("site", "url", "u"), ["site", "url"]).groupBy("site", "query", "u").agg(
         F.sum("clicks").alias("c"), F.count("*").alias("n")
     )
 
@@ -130,10 +145,10 @@ def _page_side(query_page, sitemap, keys):
 def targets_by_slug(ghosts: DataFrame, sitemap: DataFrame, min_jaccard: float = SLUG_JACCARD) -> DataFrame:
     """J04. Live URL with the most similar slug words; the first in the sitemap wins ties."""
     words = F.array_sort(F.array_distinct(slug_words(F.col("url"))))
-    live = sitemap.withColumn("tokens", words).filter(F.size("tokens") > 0).groupBy("site", "tokens").agg(
+    live = cut(cut(sitemap.select("site", "url", "pos", words.alias("tokens"))).filter(F.size("tokens") > 0).groupBy("site", "tokens").agg(
         F.min(F.struct("pos", "url")).alias("first")
-    )
-    old = ghosts.withColumn("tokens", words).filter(F.size("tokens") > 0)
+    ))
+    old = cut(ghosts.select("site", "url", words.alias("tokens"))).filter(F.size("tokens") > 0)  # words are made once a URL
     pairs = jaccard_pairs(old, live, min_jaccard)
     best = pairs.join(live.select("site", F.col("tokens").alias("right"), "first"), ["site", "right"]).groupBy("site", "left").agg(
         F.min(F.struct((-F.col("score")).alias("s"), F.col("first.pos").alias("p"), F.col("first.url").alias("u"))).alias("b")
@@ -149,8 +164,9 @@ def pruning_plan(
 ) -> DataFrame:
     """G05. Old URLs with suggested action and target: by query, else by slug, else home for those with traffic."""
     olds = cut(ghosts_and_exports(metrics, sitemap, exports))
+    query_page = stored_log(query_page)
     on, log_keys = ["site", "match_key"], url_keys(query_page)
-    rows = cut(ghost_queries(olds, query_page, log_keys).select(*on, "query", "url", "impressions"))  # a small part of the log, used twice
+    rows = cut(ghost_queries(olds, query_page, log_keys).select(*on, "k", "query", "url", "impressions"))  # a small part of the log, used twice
     spelled = sitemap_keys(sitemap)
 
     def in_sitemap_form(targets, by, name):

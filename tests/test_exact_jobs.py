@@ -122,6 +122,16 @@ def test_rounds_of_the_redirect_plan_see_numbers_only(spark):
         assert all(len(n) == 1 for n in found.values()) and len(set.union(*found.values())) == len(found)
 
 
+def test_the_log_is_read_once_for_the_pruning_plan(spark):
+    rows = query_rows(8, urls=14, queries=12)
+    given = spark.createDataFrame(rows, QP)
+    log, read = counted(spark, given)
+    metrics = given.groupBy("site", "url").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.lit(0.0).alias("ctr"), F.lit(1.0).alias("position"))
+    sitemap = spark.createDataFrame([("a", f"https://www.a.x/u{i}/", i) for i in range(0, 14, 2)], "site string, url string, pos long")
+    plan = pruning.pruning_plan(metrics, sitemap, log, spark.createDataFrame([], "site string, url string, pos long")).collect()
+    assert plan and read.value == len(rows)
+
+
 def test_redirect_plan_without_groups(spark):
     members = ranking.cannibalization_members(spark.createDataFrame([("a", "q", "u", 1, 50, 1.0, 2.0)], QP))
     assert consolidation.consolidation_plan(members).count() == 0
