@@ -92,3 +92,34 @@ def test_a_dense_group_costs_its_size(spark):
     assert sparse.sparse_forest(packed, 0.3).count() < 80
     pages = spark.createDataFrame(rows, "site string, page string, text string")
     assert {r.cluster for r in sparse.sparse_clusters(pages, weights, 0.3).collect()} == {"p000"}
+
+
+def test_a_page_is_sent_for_half_the_blocks_and_meets_each_once(spark, monkeypatch):
+    """Two, three, four and seven blocks: every pair of pages is compared in one task, and no page is sent to every block."""
+    monkeypatch.setattr(sparse, "LEAST_PAGES", 10**6)
+    packed = spark.createDataFrame([("s", f"p{i:02d}", 56, [1, 100 + i], [0.8, 0.6]) for i in range(56)], "site string, page string, pages long, terms array<long>, weights array<double>")
+    for block_pages in (28, 19, 14, 8):
+        sent = sparse._dealt(packed, block_pages).groupBy("page").count().collect()
+        blocks = -(-56 // block_pages)
+        assert len(sent) == 56 and sum(r["count"] for r in sent) <= 56 * (blocks // 2 + 1) and (blocks < 3 or max(r["count"] for r in sent) < blocks)
+        got = sorted((r.a, r.b, round(r.sim, 6)) for r in sparse._pairs_of(packed, 0.6, block_pages).collect())
+        assert got == [(f"p{a:02d}", f"p{b:02d}", 0.64) for a in range(56) for b in range(a + 1, 56)]
+
+
+def test_common_and_rare_terms_and_odd_weights(spark, monkeypatch):
+    """Terms as matrix columns, as postings and both give the plain sums; a weight that is no number reaches only pages that share its term."""
+    rng = random.Random(5)
+    pages = {f"p{i:02d}": {t: rng.choice([-0.5, 0.25, 0.5, 1.0]) for t in {*rng.sample(range(6), 3), *rng.sample(range(6, 60), 6)}} for i in range(40)}
+    pages["p03"][0], pages["p04"][1], pages["p05"][59] = math.inf, math.nan, math.inf
+    packed = spark.createDataFrame([("s", p, 40, [*x], [*map(float, x.values())]) for p, x in pages.items()], "site string, page string, pages long, terms array<long>, weights array<double>")
+    want = {}
+    for a in pages:
+        for b in pages:
+            s = sum((w * pages[b][t] for t, w in pages[a].items() if t in pages[b]), 0.0)
+            if a < b and s >= 0.25:
+                want[a, b] = s
+    for share, entries, least in ((8, 1 << 23, 512), (1, 1 << 23, 5), (10**6, 1 << 23, 5), (8, 1, 5)):
+        for name, value in (("DENSE_SHARE", share), ("DENSE_ENTRIES", entries), ("LEAST_PAGES", least)):
+            monkeypatch.setattr(sparse, name, value)
+        got = {(r.a, r.b): r.sim for r in sparse._pairs_of(packed, 0.25).collect()}
+        assert got == pytest.approx(want, abs=1e-12) and any(math.isinf(x) for x in got.values())
